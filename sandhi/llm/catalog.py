@@ -5,20 +5,69 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sandhi.llm import neardup
+from sandhi.llm import balance, components, mixing, neardup, termcount
 from sandhi.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.short_speakers(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "speaker_targets"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.speaker_sample(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "speaker_targets"))[1]
+
+
+def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.speaker_sample(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "speaker_targets"))[0]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = termcount.all_counts(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "cs_bigrams"))
+    return counts.where(F.col("mark").isNotNull()).select("field", "term", "mark")
+
+
+def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return termcount.all_counts(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "cs_bigrams"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.found(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "cs_bigrams"))
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(*neardup.near_texts(table(spark, sf_dir, "utterances"), "utt_id", "text"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.spread(table(spark, sf_dir, "utterances"))
+
+
+def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.assign(table(spark, sf_dir, "utterances"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.compose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, demand = mixing.compose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+    return mixing.report(demand, mixed)
+
+
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found}
+    return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from sandhi.llm.oracles import SQL
+
+    return dict(SQL)
