@@ -65,13 +65,19 @@ class Edits:
 Rule = Jaccard | Edits
 
 
-def token_sketch(df: DataFrame, col: str) -> np.ndarray:
-    """Counts of all tokens of all rows by the upper bits of their hashes."""
+#: values in order and lengths of the records to further block keys and their numbers a record
+Further = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def token_sketch(df: DataFrame, col: str, further: Further | None = None) -> np.ndarray:
+    """Counts of all tokens (and further keys) of all rows by the upper bits of their hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for b in batches:
-            v, _ = lists(b.column(0))
+            v, n = lists(b.column(0))
+            if further:
+                v = np.concatenate([v, further(v, n)[0]])
             total += np.bincount((v.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
@@ -103,8 +109,8 @@ def signatures(v: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
 ENTRY = "block long, meta int, id long, side byte, " + ", ".join(f"s{w} long" for w in range(WORDS))
 
 
-def entries(df: DataFrame, sketch: np.ndarray, rule: Rule, least: int = 1) -> DataFrame:
-    """df(id long, tokens array<long>, side byte) to block entries. Rows of equal id and side within
+def entries(df: DataFrame, sketch: np.ndarray, rule: Rule, least: int = 1, further: Further | None = None) -> DataFrame:
+    """df(id long, tokens array<long>, side byte) to block entries, by prefix tokens and further keys. Rows of equal id and side within
     an arrow batch enter once, so a group of copies, however large, adds one row a batch."""
     counts = df.sparkSession.sparkContext.broadcast(sketch)
 
@@ -115,16 +121,19 @@ def entries(df: DataFrame, sketch: np.ndarray, rule: Rule, least: int = 1) -> Da
             b = b.take(pa.array(np.sort(first)))
             ids, side = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             v, n = lists(b.column(1))
+            more = further(v, n) if further else (np.zeros(0, np.int64), np.zeros(len(n), np.int64))
             v, c, n = ordered(v, n, counts.value)
             if not (big := n >= max(1, least)).all():
                 in_big = np.repeat(big, n)
                 v, c, n, ids, side = v[in_big], c[in_big], n[big], ids[big], side[big]
+                more = more[0][np.repeat(big, more[1])], more[1][big]
             if not len(n):
                 continue
             sig = signatures(v, n)
             pre = within(n) < np.repeat(rule.prefix(n), n)
-            rec = np.repeat(np.arange(len(n)), n)[pre]
-            key, g = v[pre].view(np.uint64), 1 + c[pre].astype(np.int64) // TILE
+            rec = np.concatenate([np.repeat(np.arange(len(n)), n)[pre], np.repeat(np.arange(len(n)), more[1])])
+            key = np.concatenate([v[pre], more[0]]).view(np.uint64)
+            g = 1 + counts.value[(key >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64) // TILE
             own = (mix(ids.view(np.uint64))[rec] % g.astype(np.uint64)).astype(np.int64)
             rec, key, own, wide = np.repeat(rec, g), np.repeat(key, g), np.repeat(own, g), np.repeat(g, g)
             other = within(g)

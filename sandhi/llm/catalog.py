@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sandhi.llm import balance, components, mixing, neardup, termcount
+from sandhi.llm import balance, components, mixing, neardup, overlap, termcount
 from sandhi.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,18 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(*neardup.near_texts(table(spark, sf_dir, "utterances"), "utt_id", "text"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.found(table(spark, sf_dir, "utterances"))
+
+
+def p4_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlaps(table(spark, sf_dir, "utterances"))
+
+
+def p4_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.by_split(table(spark, sf_dir, "utterances"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.spread(table(spark, sf_dir, "utterances"))
 

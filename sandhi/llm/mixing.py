@@ -99,8 +99,8 @@ def mix(sized: DataFrame, demand: DataFrame) -> DataFrame:
     offset = per.withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inside = F.sum("tokens").over(Window.partitionBy("source", "bucket").orderBy("h", "doc").rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("inside", F.coalesce(inside, F.lit(0))).join(offset, ["source", "bucket"]).withColumn("start", F.col("offset") + F.col("inside"))
-    # pass r of a document begins at start + r * available; passes are those that begin before the demand is met
-    passes = F.ceil((F.col("use") - F.col("start")) / F.col("available")).cast("int")
+    # pass r of a document begins at start + r * available; it is used where its middle lies before the end of the demand
+    passes = F.ceil((F.col("use") - F.col("start") - F.col("tokens") / 2) / F.col("available")).cast("int")
     d = d.where(passes > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), passes - 1)))
     x = (F.col("start") + F.col("pass") * F.col("available")) / F.col("use")
     # cumulative weight (1 - ramp) t + ramp t^2 = x
