@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sandhi.llm import balance, components, mixing, neardup, overlap, termcount
+from sandhi.llm import balance, components, leak, lookalike, mixing, neardup, overlap, termcount
 from sandhi.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,14 @@ def p4_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.by_split(table(spark, sf_dir, "utterances"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.found(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "cs_bigrams"))
+
+
+def p5_spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.spelled(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "cs_bigrams"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.spread(table(spark, sf_dir, "utterances"))
 
@@ -62,6 +70,14 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.assign(table(spark, sf_dir, "utterances"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
 
