@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sandhi.llm import balance, components, leak, lookalike, mixing, neardup, overlap, termcount
+from sandhi.llm import balance, components, leak, lookalike, mixing, mojibake, neardup, overlap, termcount
 from sandhi.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,14 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(demand, mixed)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.found(table(spark, sf_dir, "documents"))
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.decode(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "restored", "encodings", "complete")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
