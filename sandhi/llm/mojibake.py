@@ -27,17 +27,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sandhi.llm.blocks import SKETCH_BITS, token_sketch
-from sandhi.llm.common import term_hashes
+from sandhi.llm.common import lists, mix, term_hashes
 from sandhi.runtime import materialize
 
 LOST = "�"
 SINGLE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp866", "koi8_r", "cp1250")
 WIDE = "gb18030"
-#: characters two-byte text turns UTF-8 into
-WIDE_RUN = re.compile("[⺀-鿿-︰-﹏＀-￯�]+")
+#: two-byte text turns UTF-8 into ideographs, kana, private characters, and now and then signs and letters
+WIDE_RUN = re.compile("[^\\x00-\\x7f\\u0900-\\u097f]+")
+IDEOGRAPH = re.compile("[\\u2e80-\\u9fff\\ue000-\\uf8ff\\ufe30-\\ufe4f\\uff00-\\uffef]")
 ODD_TEXT = "[^\\x00-\\x7f\\u0900-\\u097f]"
 ROUNDS = 6
+WORD_BITS = 20  # two rows of 2^20 counters, 8 MB to send at any input size
 BEAM = 64
 
 HIGH = "".join(bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0x100))
@@ -131,7 +132,9 @@ def single(ch: Channel, text: str) -> tuple[int, list[tuple[int, int, list[list[
 def wide(text: str) -> tuple[int, list[tuple[int, int, list[list[str]]]]]:
     """The same for two-byte text."""
     n, out = 0, []
-    for m in WIDE_RUN.finditer(text):
+    for m in WIDE_RUN.finditer(text) if IDEOGRAPH.search(text) else ():
+        if not IDEOGRAPH.search(m.group()):
+            continue
         data: list[int | None] = []
         for c in m.group():
             if c == LOST:
@@ -160,6 +163,31 @@ def garbled(text: str) -> bool:
     return LOST in text or any(single(ch, text)[0] for ch in CHANNELS) or bool(wide(text)[0])
 
 
+def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two counters of a word's hash."""
+    shift = np.uint64(64 - WORD_BITS)
+    return (h >> shift).astype(np.int64), (mix(h + np.uint64(1)) >> shift).astype(np.int64) + (1 << WORD_BITS)
+
+
+def word_counts(rows: DataFrame, text: str) -> np.ndarray:
+    """Counting sketch of all words of all texts; a word's count is the lesser of its two counters."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 << WORD_BITS, dtype=np.int64)
+        for b in batches:
+            for s in slots(lists(b.column(0))[0].view(np.uint64)):
+                at, n = np.unique(s, return_counts=True)
+                total[at] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+
+    hashed = rows.select(term_hashes(F.col(text)).alias("terms"))
+    got = hashed.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(2 << WORD_BITS, dtype=np.uint32)
+    out[got["slot"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**32 - 1)
+    return out
+
+
 class Model:
     """Pairs of Devanagari characters and words of the corpus."""
 
@@ -168,8 +196,8 @@ class Model:
         self.logp, self.words = np.log(p / p.sum(axis=1, keepdims=True)), words
 
     def count(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word.lower().encode(), 42)
-        return int(self.words[h >> (64 - SKETCH_BITS)])
+        a, b = slots(np.array([xxhash.xxh64_intdigest(word.lower().encode(), 42)], dtype=np.uint64))
+        return int(min(self.words[a[0]], self.words[b[0]]))
 
     def step(self, a: str, b: str) -> float:
         i, j = (ord(c) - 0x900 if "ऀ" <= c < "ঀ" else 128 for c in (a or " ", b))
@@ -266,7 +294,7 @@ def pair_counts(texts: DataFrame, col: str) -> np.ndarray:
 def decode(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, text, restored, encodings, complete) of every garbled document."""
     rows = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    model = (pair_counts(rows, "text"), token_sketch(rows.select(term_hashes(F.col("text")).alias("terms")), "terms"))
+    model = (pair_counts(rows, "text"), word_counts(rows, "text"))
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
