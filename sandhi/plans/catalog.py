@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from sandhi.plans import score_queries, select_queries, text_queries  # noqa: F401
+from sandhi.plans.registry import QUERIES, SQL, Query
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
