@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WHITE = r"(?U)[\s\x1c-\x1f]+"
 #: ASCII and Devanagari without composed letters: NFKC leaves such text alone (marks out of order aside).
@@ -16,7 +17,7 @@ STABLE = "^[\\x00-\\x7f\\u0900-\\u0928\\u092a-\\u0930\\u0932\\u0933\\u0935-\\u09
 OUT_OF_ORDER = "\\u094d\\u093c"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 

@@ -22,7 +22,7 @@ NEITHER = rf"[^{DEVANAGARI}{LATIN}\s]*"
 
 def word_lang(w: Column) -> Column:
     d, e = w.rlike(f"[{DEVANAGARI}]"), w.rlike(f"[{LATIN}]")
-    return F.when(d & e, "mixed").when(d, "hi").when(e, "en").when(w.isNotNull(), "other")
+    return F.when(d, F.when(e, "mixed").otherwise("hi")).when(e, "en").when(w.isNotNull(), "other")
 
 
 def split_boundaries(t: Column) -> Column:
@@ -33,7 +33,7 @@ def split_boundaries(t: Column) -> Column:
 
 def words(t: Column) -> Column:
     """Tokens of a text with single blanks, without splitting; an empty text has none."""
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return F.array_remove(F.split(t, " "), "")
 
 
 def tokenize(t: Column) -> Column:

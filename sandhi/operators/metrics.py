@@ -30,10 +30,10 @@ def edit_distance_hybrid(r: Column, h: Column) -> Column:
 
 def mer(df: DataFrame, ref: Column, hyp: Column, hybrid: bool = False) -> DataFrame:
     """df with token arrays ref and hyp to one row: errors, units, mer (percent, 0 without references)."""
-    kept = df.select(ref.alias("r"), hyp.alias("h")).where(F.size("r") > 0)
+    kept = df.select(ref.alias("r"), hyp.alias("h"))  # blank references have no units and are skipped below
     errors = (edit_distance_hybrid if hybrid else edit_distance)(F.col("r"), F.col("h"))
     units = F.aggregate(F.transform("r", lambda w: F.when(word_lang(w) == "hi", F.length(w)).otherwise(1)), F.lit(0), lambda a, x: a + x) if hybrid else F.size("r")
-    sums = kept.select(errors.alias("e"), units.alias("u")).agg(F.coalesce(F.sum("e"), F.lit(0)).cast("long").alias("errors"), F.coalesce(F.sum("u"), F.lit(0)).cast("long").alias("units"))
+    sums = kept.select(F.when(F.size("r") > 0, errors).alias("e"), units.alias("u")).agg(F.coalesce(F.sum("e"), F.lit(0)).cast("long").alias("errors"), F.coalesce(F.sum("u"), F.lit(0)).cast("long").alias("units"))
     return sums.withColumn("mer", F.when(F.col("units") > 0, 100.0 * F.col("errors") / F.col("units")).otherwise(0.0))
 
 
@@ -50,7 +50,7 @@ def align(refs: DataFrame, hyps: DataFrame, key: str) -> DataFrame:
 
 def reference_pairs(df: DataFrame, group: Column, ws: Column) -> DataFrame:
     """(g, kind, first, second, n): switch bigrams of every record, counted per group before any cap."""
-    e = df.select(group.alias("g"), F.explode(cs_bigrams(ws)).alias("b"))
+    e = df.select(group.alias("g"), F.explode_outer(cs_bigrams(ws)).alias("b")).where("b is not null")
     return e.groupBy("g", F.col("b.kind").alias("kind"), F.col("b.first").alias("first"), F.col("b.second").alias("second")).agg(F.count("*").alias("n"))
 
 
@@ -58,10 +58,10 @@ def cba(ref_pairs: DataFrame, hyp: DataFrame, mode: str = "adjacent") -> DataFra
     """Switch-bigram accuracy: hyp(g, ws) is a group's hypothesis. adjacent: a pair is matched as often as
     the hypothesis has it; lenient: as often as it has both words anywhere."""
     if mode == "adjacent":
-        h = hyp.select("g", F.explode(all_bigrams(F.col("ws"))).alias("b")).groupBy("g", F.col("b.first").alias("first"), F.col("b.second").alias("second")).agg(F.count("*").alias("m"))
+        h = hyp.select("g", F.explode_outer(all_bigrams(F.col("ws"))).alias("b")).where("b is not null").groupBy("g", F.col("b.first").alias("first"), F.col("b.second").alias("second")).agg(F.count("*").alias("m"))
         j = ref_pairs.join(h, ["g", "first", "second"], "left").withColumn("hit", F.least("n", F.coalesce("m", F.lit(0))))
     elif mode == "lenient":
-        h = hyp.select("g", F.explode("ws").alias("w")).groupBy("g", "w").agg(F.count("*").alias("m"))
+        h = hyp.select("g", F.explode_outer("ws").alias("w")).where("w is not null").groupBy("g", "w").agg(F.count("*").alias("m"))
         a, b = h.select("g", F.col("w").alias("first"), F.col("m").alias("ma")), h.select("g", F.col("w").alias("second"), F.col("m").alias("mb"))
         j = ref_pairs.join(a, ["g", "first"], "left").join(b, ["g", "second"], "left").withColumn("hit", F.least("n", F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))))
     else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sandhi.functions import parsing as P
@@ -16,7 +16,9 @@ from sandhi.plans.views import mucs, once, utterances
 from sandhi.runtime import table
 from sandhi.sources import manifests as src
 
-n = F.count("*").alias("n")
+def n() -> Column:
+    return F.count("*").alias("n")
+
 MS = "CAST(round(coalesce(dur, 0) * 1000) AS BIGINT)"
 
 
@@ -35,7 +37,7 @@ def pruned_scan(spark: SparkSession, d: str) -> DataFrame:
 def manifest_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """To JSON lines and back."""
     back = src.parse_utterances(src.to_json_lines(utterances(spark, d).select(*src.FIELDS, "extra")))
-    return back.groupBy(*src.FIELDS).agg(n)
+    return back.groupBy(*src.FIELDS).agg(n())
 
 
 @query("WITH u AS (SELECT utt_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM utterances), s AS (SELECT DISTINCT utt_id AS key, t AS value FROM u) SELECT key, max(value) AS value FROM s WHERE value <> '' GROUP BY key")

@@ -10,25 +10,22 @@ from sandhi.functions import scripts as S
 from sandhi.operators import metrics as M
 from sandhi.plans import registry as R
 from sandhi.plans.registry import query
-from sandhi.plans.views import corrupted, mucs, once, utterances, with_words
+from sandhi.plans.views import corrupted, each, mucs, once, utterances, with_words
 from sandhi.runtime import table
 
-n = F.count("*").alias("n")
+def n() -> Column:
+    return F.count("*").alias("n")
 
 
-def lang_tokens(df: DataFrame) -> DataFrame:
-    """(corpus, split, word, lang) of every token; rare for whole tables, so counted by word first."""
-    return with_words(df).select("utt_id", "corpus", "split", F.explode("ws").alias("word")).withColumn("lang", S.word_lang(F.col("word")))
-
 
 def word_counts(df: DataFrame, *by: str) -> DataFrame:
     """(by, word, lang, n): tokens counted before their class is worked out."""
-    w = with_words(df).select(*by, F.explode("ws").alias("word")).groupBy(*by, "word").agg(n)
+    w = each(with_words(df), F.col("ws"), "word", *by).groupBy(*by, "word").agg(n())
     return w.withColumn("lang", S.word_lang(F.col("word")))
 
 
 def switches(df: DataFrame, *by: str) -> DataFrame:
-    e = with_words(df).select(*by, F.explode(S.cs_bigrams(F.col("ws"))).alias("b"))
+    e = each(with_words(df), S.cs_bigrams(F.col("ws")), "b", *by)
     return e.select(*by, "b.first", "b.second", "b.kind")
 
 
@@ -46,14 +43,21 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_totals(u: DataFrame) -> DataFrame:
-    w = word_counts(u, "split")
-    s = lambda k: F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0))
-    wc = w.groupBy("split").agg(s("hi").alias("words_h"), s("en").alias("words_e"), s("other").alias("words_other"), s("mixed").alias("words_mixed"), F.sum("n").alias("total"))
-    b = switches(u, "split").groupBy("split", "kind", "first", "second").agg(n)
+    """One pass: every row is exploded into its switch points, the first (or none) carrying the row's own counts."""
+    w = with_words(u).select("split", "dur", F.transform("ws", S.word_lang).alias("ls"), S.cs_bigrams(F.col("ws")).alias("cs"))
+    size = lambda k: F.size(F.filter("ls", lambda x: x == k)).alias(f"words_{k}")
+    langs = ("hi", "en", "other", "mixed")
+    e = w.select("split", "dur", F.size("ls").alias("total"), *(size(k) for k in langs), F.posexplode_outer("cs").alias("pos", "b"))
+    lead = F.coalesce("pos", F.lit(0)) == 0
+    row = [F.sum(F.when(lead, F.col(c))).alias(c) for c in ("total", *(f"words_{k}" for k in langs))]
+    millis = F.sum(F.when(lead, F.round(F.coalesce("dur", F.lit(0.0)) * 1000).cast("long"))).alias("ms")
+    g = e.groupBy("split", F.col("b.kind").alias("kind"), F.col("b.first").alias("first"), F.col("b.second").alias("second")).agg(n(), *row, millis)
     t = lambda k, c: F.coalesce(F.sum(F.when(F.col("kind") == k, c)), F.lit(0))
-    bc = b.groupBy("split").agg(t("HE", F.col("n")).alias("he_cs"), t("EH", F.col("n")).alias("eh_cs"), t("HE", F.lit(1)).alias("he_types"), t("EH", F.lit(1)).alias("eh_types"))
-    dc = u.groupBy("split").agg(ms().alias("ms"))
-    return wc.join(bc, "split").join(dc, "split")
+    s = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return g.groupBy("split").agg(
+        s("words_hi").alias("words_h"), s("words_en").alias("words_e"), s("words_other").alias("words_other"), s("words_mixed").alias("words_mixed"), s("total").alias("total"),
+        t("HE", F.col("n")).alias("he_cs"), t("EH", F.col("n")).alias("eh_cs"), t("HE", F.lit(1)).alias("he_types"), t("EH", F.lit(1)).alias("eh_types"), s("ms").alias("ms"),
+    )
 
 
 def ms(c: str = "dur") -> Column:
@@ -63,12 +67,12 @@ def ms(c: str = "dur") -> Column:
 
 @query(f"WITH {R.ONCE}, {R.TAGGED}, {R.PAIRS} SELECT kind, first, second, count(*) AS n FROM cs GROUP BY ALL")
 def cs_bigram_multiset(spark: SparkSession, d: str) -> DataFrame:
-    return switches(once(spark, d)).groupBy("kind", "first", "second").agg(n)
+    return switches(once(spark, d)).groupBy("kind", "first", "second").agg(n())
 
 
 @query(f"WITH {R.ONCE}, {R.TAGGED}, {R.PAIRS} SELECT kind, count(*) AS tokens, count(DISTINCT (first, second)) AS types FROM cs GROUP BY kind")
 def cs_token_type(spark: SparkSession, d: str) -> DataFrame:
-    b = switches(once(spark, d)).groupBy("kind", "first", "second").agg(n)
+    b = switches(once(spark, d)).groupBy("kind", "first", "second").agg(n())
     return b.groupBy("kind").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"))
 
 
@@ -97,7 +101,7 @@ def switch_density(spark: SparkSession, d: str) -> DataFrame:
 def matrix_split(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    m = with_words(once(spark, d)).select("corpus", S.matrix_lang(F.col("ws")).alias("matrix")).groupBy("corpus", "matrix").agg(n)
+    m = with_words(once(spark, d)).select("corpus", S.matrix_lang(F.col("ws")).alias("matrix")).groupBy("corpus", "matrix").agg(n())
     return m.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("corpus")))
 
 
@@ -106,7 +110,7 @@ from sandhi.plans.text_queries import RUNS  # noqa: E402
 
 @query(RUNS + ", c AS (SELECT r.*, u.corpus FROM r JOIN (SELECT utt_id, corpus FROM utt) u USING (utt_id)) SELECT corpus, lang, count(*) AS runs, CAST(sum(n) AS BIGINT) AS words, sum(n) / count(*) AS mean, 100.0 * count(*) FILTER (n = 1) / count(*) AS one_pct, 100.0 * count(*) FILTER (n >= 4) / count(*) AS four_pct FROM c GROUP BY corpus, lang")
 def run_length_profile(spark: SparkSession, d: str) -> DataFrame:
-    r = with_words(once(spark, d)).select("corpus", F.explode(S.runs(F.col("ws"))).alias("r")).select("corpus", "r.lang", "r.n")
+    r = each(with_words(once(spark, d)), S.runs(F.col("ws")), "r", "corpus").select("corpus", "r.lang", "r.n")
     k = F.count("*")
     return r.groupBy("corpus", "lang").agg(k.alias("runs"), F.sum("n").cast("long").alias("words"), (F.sum("n") / k).alias("mean"), (100.0 * F.count_if(F.col("n") == 1) / k).alias("one_pct"), (100.0 * F.count_if(F.col("n") >= 4) / k).alias("four_pct"))
 
@@ -119,7 +123,7 @@ def length_median(spark: SparkSession, d: str) -> DataFrame:
     """Upper median from the histogram of lengths, so no group is collected."""
     from pyspark.sql import Window
 
-    h = once(spark, d).select("corpus", F.size(S.words(norm.raw(F.col("text")))).cast("long").alias("k")).groupBy("corpus", "k").agg(n)
+    h = once(spark, d).select("corpus", F.size(S.words(norm.raw(F.col("text")))).cast("long").alias("k")).groupBy("corpus", "k").agg(n())
     w = Window.partitionBy("corpus")
     h = h.withColumn("upto", F.sum("n").over(w.orderBy("k"))).withColumn("m", F.sum("n").over(w))
     return h.groupBy("corpus").agg(F.min(F.when(F.col("upto") > F.floor(F.col("m") / 2), F.col("k"))).alias("median"), (F.sum(F.col("k") * F.col("n")) / F.first("m")).alias("mean"))
@@ -130,7 +134,7 @@ EN = f"WITH {R.UTT}, e AS (SELECT corpus, unnest({R.words(R.scoring('text'))}) A
 
 def english(df: DataFrame) -> DataFrame:
     """(corpus, w, n): Latin words split at blanks only, so words of both scripts are not among them."""
-    w = df.select("corpus", F.explode(S.words(norm.scoring(F.col("text")))).alias("w")).groupBy("corpus", "w").agg(n)
+    w = each(df, S.words(norm.scoring(F.col("text"))), "w", "corpus").groupBy("corpus", "w").agg(n())
     return w.where(S.word_lang(F.col("w")) == "en")
 
 
@@ -270,7 +274,7 @@ def refs_hyps_align(spark: SparkSession, d: str) -> DataFrame:
 def lang_histogram(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    k = with_words(once(spark, d)).select(F.coalesce(F.lower("lang"), F.lit("?")).alias("lang"), F.size("ws").alias("words")).groupBy("lang").agg(n, F.sum("words").alias("words"))
+    k = with_words(once(spark, d)).select(F.coalesce(F.lower("lang"), F.lit("?")).alias("lang"), F.size("ws").alias("words")).groupBy("lang").agg(n(), F.sum("words").alias("words"))
     return k.withColumn("share", F.col("words") / F.sum("words").over(Window.partitionBy(F.lit(1))))
 
 
@@ -313,7 +317,7 @@ def mark_strip_inflation(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH b AS (SELECT DISTINCT bigram_id, upper(trim(kind)) AS kind FROM cs_bigrams) SELECT coalesce(kind, '?') AS kind, count(*) AS n FROM b GROUP BY 1")
 def direction_skew(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "cs_bigrams").select("bigram_id", F.upper(F.trim("kind")).alias("kind")).distinct()
-    return b.groupBy(F.coalesce("kind", F.lit("?")).alias("kind")).agg(n)
+    return b.groupBy(F.coalesce("kind", F.lit("?")).alias("kind")).agg(n())
 
 
 @query("WITH m AS (SELECT strftime(recorded_at, '%Y-%m') AS month, count(DISTINCT utt_id) AS n FROM utterances GROUP BY 1) SELECT coalesce(bool_and(n <= p), true) AS falling FROM (SELECT n, lag(n) OVER (ORDER BY month) AS p FROM m) WHERE p IS NOT NULL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sandhi.functions import normalize as norm
@@ -14,7 +14,9 @@ from sandhi.plans.registry import query
 from sandhi.plans.views import mucs, once, utterances, with_words
 from sandhi.runtime import table
 
-n = F.count("*").alias("n")
+def n() -> Column:
+    return F.count("*").alias("n")
+
 U = f"WITH {R.UTT}"
 
 
@@ -96,7 +98,7 @@ def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS raw, count(DISTINCT (first, second)) AS uniq, count(DISTINCT (first, second)) / greatest(count(*), 1) AS ratio FROM cs_bigrams")
 def dedup_yield(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "cs_bigrams").groupBy("first", "second").agg(n)
+    g = table(spark, d, "cs_bigrams").groupBy("first", "second").agg(n())
     return g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("raw"), F.count("*").alias("uniq")).withColumn("ratio", F.col("uniq") / F.greatest("raw", F.lit(1)))
 
 
@@ -153,7 +155,7 @@ def chunk_prompts(spark: SparkSession, d: str) -> DataFrame:
 def length_batches(spark: SparkSession, d: str) -> DataFrame:
     """Rank by length through the histogram of lengths: offsets of lengths, ranks within a length."""
     u = once(spark, d).select("utt_id", F.char_length("text").cast("long").alias("len"))
-    h = u.groupBy("len").agg(n)
+    h = u.groupBy("len").agg(n())
     off = h.withColumn("off", F.coalesce(F.sum("n").over(Window.orderBy("len").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inside = F.row_number().over(Window.partitionBy("len").orderBy(sel.seeded(9, F.col("utt_id")))) - 1
     return u.withColumn("i", inside).join(off, "len").select("utt_id", "len", F.floor((F.col("off") + F.col("i")) / 16).alias("batch"))
@@ -215,7 +217,7 @@ def subset_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT count(*) - count(DISTINCT utt_id) AS duplicates, count(DISTINCT utt_id) AS ids, CAST(sum({MS}) AS BIGINT) AS ms, sum({MS}) >= 8 * 3600000 AS long_enough FROM utterances")
 def gate2_checks(spark: SparkSession, d: str) -> DataFrame:
-    g = utterances(spark, d).groupBy("utt_id").agg(n, F.sum(F.round(F.coalesce("dur", F.lit(0.0)) * 1000).cast("long")).alias("ms"))
+    g = utterances(spark, d).groupBy("utt_id").agg(n(), F.sum(F.round(F.coalesce("dur", F.lit(0.0)) * 1000).cast("long")).alias("ms"))
     return g.agg((F.sum("n") - F.count("*")).alias("duplicates"), F.count("*").alias("ids"), F.sum("ms").alias("ms"), (F.sum("ms") >= 8 * 3_600_000).alias("long_enough"))
 
 
@@ -244,7 +246,7 @@ def yield_funnel(spark: SparkSession, d: str) -> DataFrame:
     ok = ((langs[0] == "hi") & (langs[1] == "en")) | ((langs[0] == "en") & (langs[1] == "hi"))
     # three keyed counts in one pass: pairs and sentences as rows of one table
     rows = b.select(F.explode(F.array(F.struct(F.lit("p").alias("k"), F.struct("first", "second").alias("v"), ok.alias("ok")), F.struct(F.lit("s").alias("k"), F.struct(F.col("utt_id").alias("first"), F.lit(None).cast("string").alias("second")).alias("v"), F.lit(False).alias("ok")))).alias("r")).select("r.*")
-    g = rows.groupBy("k", "v").agg(n, F.max("ok").alias("ok"))
+    g = rows.groupBy("k", "v").agg(n(), F.max("ok").alias("ok"))
     t = g.agg(F.coalesce(F.sum(F.when(F.col("k") == "p", F.col("n"))), F.lit(0)).alias("raw"), F.count_if(F.col("k") == "p").alias("uniq"), F.count_if((F.col("k") == "p") & F.col("ok")).alias("valid"), F.count_if(F.col("k") == "s").alias("sentences"))
     return t.select("*", (F.col("uniq") / F.greatest("raw", F.lit(1))).alias("unique_rate"), (F.col("valid") / F.greatest("uniq", F.lit(1))).alias("survival"))
 
@@ -252,7 +254,7 @@ def yield_funnel(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{U}, b AS (SELECT utt_id, count(DISTINCT bigram_id) AS k FROM cs_bigrams GROUP BY utt_id) SELECT coalesce(k, 0) AS k, count(*) AS n FROM utt LEFT JOIN b USING (utt_id) GROUP BY 1")
 def yield_histogram(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "cs_bigrams").select("utt_id", "bigram_id").distinct().groupBy("utt_id").agg(F.count("*").alias("k"))
-    return once(spark, d).select("utt_id").join(b, "utt_id", "left").groupBy(F.coalesce("k", F.lit(0)).alias("k")).agg(n)
+    return once(spark, d).select("utt_id").join(b, "utt_id", "left").groupBy(F.coalesce("k", F.lit(0)).alias("k")).agg(n())
 
 
 @query(

@@ -10,7 +10,7 @@ from sandhi.functions import parsing as P
 from sandhi.functions import scripts as S
 from sandhi.plans import registry as R
 from sandhi.plans.registry import query
-from sandhi.plans.views import once, utterances, with_words
+from sandhi.plans.views import each, once, utterances, with_words
 from sandhi.runtime import table
 
 LANG_W = R.lang("w")
@@ -56,7 +56,7 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {R.ROWS}, e AS (SELECT unnest(ws) AS w FROM tok) SELECT w AS word, {LANG_W} AS lang, count(*) AS n FROM e GROUP BY ALL")
 def tag_words(spark: SparkSession, d: str) -> DataFrame:
-    w = with_words(utterances(spark, d)).select(F.explode("ws").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    w = each(with_words(utterances(spark, d)), F.col("ws"), "word").groupBy("word").agg(F.count("*").alias("n"))
     return w.select("word", S.word_lang(F.col("word")).alias("lang"), "n")
 
 
@@ -72,13 +72,13 @@ def count_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {R.ROWS}, p AS (SELECT ws, unnest(range(1, len(ws))) AS p FROM tok) SELECT ws[p] AS first, ws[p + 1] AS second, count(*) AS n FROM p GROUP BY ALL")
 def all_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    e = with_words(utterances(spark, d)).select(F.explode(S.all_bigrams(F.col("ws"))).alias("b"))
+    e = each(with_words(utterances(spark, d)), S.all_bigrams(F.col("ws")), "b")
     return e.groupBy(F.col("b.first").alias("first"), F.col("b.second").alias("second")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {R.ONCE}, {R.TAGGED}, {R.PAIRS} SELECT utt_id, first, second, kind FROM cs")
 def cs_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    e = with_words(once(spark, d)).select("utt_id", F.explode(S.cs_bigrams(F.col("ws"))).alias("b"))
+    e = each(with_words(once(spark, d)), S.cs_bigrams(F.col("ws")), "b", "utt_id")
     return e.select("utt_id", "b.first", "b.second", "b.kind")
 
 
@@ -91,7 +91,7 @@ r AS (SELECT utt_id, run, any_value(l) AS lang, count(*) AS n FROM i GROUP BY ut
 
 @query(RUNS + " SELECT utt_id, CAST(run AS BIGINT) AS run, lang, n FROM r")
 def language_runs(spark: SparkSession, d: str) -> DataFrame:
-    e = with_words(once(spark, d)).select("utt_id", F.posexplode(S.runs(F.col("ws"))).alias("run", "r"))
+    e = with_words(once(spark, d)).select("utt_id", F.posexplode_outer(S.runs(F.col("ws"))).alias("run", "r")).where("r is not null")
     return e.select("utt_id", (F.col("run") + 1).cast("long").alias("run"), "r.lang", F.col("r.n").cast("long").alias("n"))
 
 
@@ -108,7 +108,7 @@ def clean_sentence(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{LINES}, c AS (SELECT doc_id, {R.collapse(CLEAN)} AS s FROM l) SELECT doc_id, s, count(*) AS n FROM c WHERE len(string_split(s, ' ')) >= 3 GROUP BY ALL")
 def parse_sentences(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "documents").select("doc_id", F.explode(P.parse_sentences(F.col("text"))).alias("s"))
+    e = each(table(spark, d, "documents"), P.parse_sentences(F.col("text")), "s", "doc_id")
     return e.groupBy("doc_id", "s").agg(F.count("*").alias("n"))
 
 
@@ -117,7 +117,7 @@ def parse_sentences(spark: SparkSession, d: str) -> DataFrame:
     f"p AS (SELECT doc_id, unnest(string_split(s, ';')) AS part FROM s), q AS (SELECT doc_id, {R.collapse('part')} AS phrase FROM p) SELECT doc_id, phrase, count(*) AS n FROM q WHERE contains(phrase, ' ') GROUP BY ALL"
 )
 def parse_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "documents").select("doc_id", F.explode(P.parse_bigrams(F.col("text"))).alias("phrase"))
+    e = each(table(spark, d, "documents"), P.parse_bigrams(F.col("text")), "phrase", "doc_id")
     return e.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
 
 

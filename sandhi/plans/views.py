@@ -25,6 +25,12 @@ def with_words(df: DataFrame) -> DataFrame:
     return df.withColumn("t", scoring(F.col("text"))).withColumn("ws", tokenize(F.col("t")))
 
 
+def each(df: DataFrame, array: Column, name: str, *keep: Column | str) -> DataFrame:
+    """keep and one row an element. An inner explode would have the planner test the array's size first, and
+    for that work out the array, with all its text functions, a second time below everything else."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def corrupted(ws: Column) -> Column:
     """A hypothesis made from a reference: every 11th token lost, every 7th replaced by x."""
     marked = F.transform(ws, lambda w, i: F.when((i + 1) % 11 == 0, F.lit(None)).when((i + 1) % 7 == 0, "x").otherwise(w))
