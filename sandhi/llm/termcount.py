@@ -86,7 +86,7 @@ def frequencies(df: DataFrame, key: str, text: str, terms: Column | None = None)
     kinds = dict(df.dtypes)
     once = df.select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
     marked = F.concat(F.array(F.lit(None).cast("string")), term_array(F.col("text")) if terms is None else terms)
-    pairs = once.select(F.explode(marked).alias("term"), F.xxhash64("key").alias("record") if kinds[key] != "bigint" else F.col("key").alias("record"))
+    pairs = once.select(F.explode_outer(marked).alias("term"), F.xxhash64("key").alias("record") if kinds[key] != "bigint" else F.col("key").alias("record"))
     runs = materialize(pairs.sortWithinPartitions("term", "record").mapInArrow(scan_pairs, RUN), "runs")
     return runs.repartitionByRange("term").sortWithinPartitions("term").mapInArrow(merge_runs, RUN)
 
