@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sandhi.llm.common import list_array, lists, starts, term_hashes, within
-from sandhi.llm.overlap import lcs, rolling
+from sandhi.llm.overlap import lcs
 from sandhi.runtime import materialize
 
 RUN, WIDE, STEP = 8, 16, 8
@@ -239,17 +239,12 @@ def search(num: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, any
 
 
 def common_run(a: np.ndarray, t: np.ndarray) -> int:
-    """Longest run of a found in t, up to where growing it by one fails; 0 below RUN."""
-    if len(a) < RUN or len(t) < RUN:
-        return 0
-    k, best = RUN, 0
-    while k <= len(a):
-        x, _ = rolling(a.astype(np.int64), np.array([len(a)]), k)
-        y, _ = rolling(t.astype(np.int64), np.array([len(t)]), k)
-        if not np.isin(x, y).any():
-            break
-        best, k = k, k + 1
-    return best
+    """Longest run of terms of a found in t; 0 below RUN."""
+    best, ends = 0, np.zeros(len(t) + 1, dtype=np.int32)
+    for x in a:  # ends[j + 1]: length of the common run that ends at this term of a and at t[j]
+        ends[1:] = np.where(t == x, ends[:-1] + 1, 0)
+        best = max(best, int(ends.max()))
+    return best if best >= RUN else 0
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", any_run: bool = False) -> DataFrame:
