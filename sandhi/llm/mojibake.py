@@ -159,8 +159,14 @@ def wide(text: str) -> tuple[int, list[tuple[int, int, list[list[str]]]]]:
     return n, out
 
 
+#: a lead byte's character before a further byte's, in any of the encodings: what every stretch begins with
+PAIR = re.compile("[" + _class(sorted({c for ch in CHANNELS for c, b in ch.of.items() if b >= 0xC2})) + "][" + _class(sorted({c for ch in CHANNELS for c, b in ch.of.items() if b < 0xC0})) + LOST + "?]")
+
+
 def garbled(text: str) -> bool:
-    return LOST in text or any(single(ch, text)[0] for ch in CHANNELS) or bool(wide(text)[0])
+    if LOST in text:
+        return True
+    return bool(PAIR.search(text) and any(single(ch, text)[0] for ch in CHANNELS) or wide(text)[0])
 
 
 def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,15 +199,21 @@ class Model:
 
     def __init__(self, pairs: np.ndarray, words: np.ndarray) -> None:
         p = pairs.reshape(129, 129).astype(np.float64) + 0.05
-        self.logp, self.words = np.log(p / p.sum(axis=1, keepdims=True)), words
+        self.logp, self.words = np.log(p / p.sum(axis=1, keepdims=True)).tolist(), words
+        self.known: dict[str, int] = {}  # counts looked up so far, emptied when large
 
     def count(self, word: str) -> int:
-        a, b = slots(np.array([xxhash.xxh64_intdigest(word.lower().encode(), 42)], dtype=np.uint64))
-        return int(min(self.words[a[0]], self.words[b[0]]))
+        n = self.known.get(word)
+        if n is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            a, b = slots(np.array([xxhash.xxh64_intdigest(word.lower().encode(), 42)], dtype=np.uint64))
+            n = self.known[word] = int(min(self.words[a[0]], self.words[b[0]]))
+        return n
 
     def step(self, a: str, b: str) -> float:
-        i, j = (ord(c) - 0x900 if "ऀ" <= c < "ঀ" else 128 for c in (a or " ", b))
-        return float(self.logp[i, j])
+        i, j = ord(a or " ") - 0x900, ord(b) - 0x900
+        return self.logp[i if 0 <= i < 128 else 128][j if 0 <= j < 128 else 128]
 
     def best(self, seq: list[list[str]], left: str, right: str) -> tuple[str, bool]:
         """The likeliest reading of the units between what stands left and right in the same word. True if
