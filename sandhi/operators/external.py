@@ -24,9 +24,13 @@ def register(name: str):
 
 
 def build_backend(name: str, **options):
+    return builder(name)(**options)
+
+
+def builder(name: str) -> Callable:
     if name not in BACKENDS:
         raise ValueError(f"unknown backend {name!r}; one of {sorted(BACKENDS)}")
-    return BACKENDS[name](**options)
+    return BACKENDS[name]
 
 
 @register("echo")
@@ -48,10 +52,12 @@ def split_cache(requests: DataFrame, cache: DataFrame, key: str = "key") -> tupl
 
 
 def generate(misses: DataFrame, backend: str, batch: int = 32, **options) -> DataFrame:
-    """(key, prompt) to (key, response): prompts of like length together, batches of the given size."""
+    """(key, prompt) to (key, response): prompts of like length together, batches of the given size. The name
+    is looked up here, as tasks may not know of backends registered by the caller."""
+    build = builder(backend)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = build_backend(backend, **options)
+        model = build(**options)
         for b in batches:
             keys, prompts = b.column(0), b.column(1).to_pylist()
             got: list[str] = []
