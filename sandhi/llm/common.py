@@ -8,18 +8,13 @@ import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PUNCT = r"[\p{P}\p{S}]+"
-WHITE = r"(?U)\s+"
-
-
-def term_text(text: Column) -> Column:
-    """Lower case, categories P and S blanked, runs of Unicode white space made one blank."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), PUNCT, " "), WHITE, " "))
+#: categories P and S stand for a blank, and terms are parted by Unicode white space
+APART = r"(?U)[\p{P}\p{S}\s]+"
 
 
 def term_array(text: Column) -> Column:
-    """Terms in order; null and blank texts give an empty array."""
-    return F.filter(F.split(term_text(F.coalesce(text, F.lit(""))), " "), lambda x: x != "")
+    """Terms, lower-cased, in order; null and blank texts give an empty array."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), APART), "")
 
 
 def term_hashes(text: Column) -> Column:

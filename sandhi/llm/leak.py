@@ -103,7 +103,7 @@ def numbered(docs: DataFrame, key: str, text: str, vocab: np.ndarray) -> DataFra
             at = np.minimum(np.searchsorted(voc, v), len(voc) - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), list_array(np.where(voc[at] == v, at, -1).astype(np.int32), n, pa.int32())], ["doc", "ids"])
 
-    rows = docs.select(F.col(key).alias("doc"), term_hashes(F.col(text)).alias("terms")).where(F.size("terms") > 0)
+    rows = docs.select(F.col(key).alias("doc"), term_hashes(F.col(text)).alias("terms"))
     return materialize(rows.mapInArrow(number, f"doc {dict(docs.dtypes)[key]}, ids array<int>"), "numbered")
 
 

@@ -30,11 +30,13 @@ def classes(df: DataFrame, key: str, text: str, extra: list[str] | None = None,
     in order, their distinct number, and an identifier of the set they form; written to the shared folder."""
     extra = extra or []
     kinds = dict(df.dtypes)
-    base = df.select(F.col(key).alias("key"), term_hashes(F.col(text)).alias("terms"), *extra).where(F.size("terms") >= least)
+    base = df.select(F.col(key).alias("key"), term_hashes(F.col(text)).alias("terms"), *extra)
     schema = "key " + kinds[key] + ", set_id long, n int, terms array<long>" + "".join(f", {x} {kinds[x]}" for x in extra)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            # filtered here: a filter on the array in the plan would work the array out twice
+            b = b.filter(pa.array(lists(b.column(1))[1] >= max(1, least)))
             v, n = lists(b.column(1))
             rec = np.repeat(np.arange(len(n)), n)
             o = np.lexsort((v, rec))
