@@ -79,7 +79,7 @@ def near_texts(df: DataFrame, key: str, text: str, num: int = 7, den: int = 10,
 
 def expand(links: DataFrame, members: DataFrame) -> DataFrame:
     """All record pairs of linked classes and, within a class, of its records: (key_a, key_b), ordered."""
-    m = members.repartition("set_id").distinct()
+    m = members.distinct()  # by record, so that a class of a third of all records is spread; joins split it
     many = m.groupBy("set_id").count().where("count > 1").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
     x, y = m.select(F.col("set_id").alias("a"), F.col("key").alias("x")), m.select(F.col("set_id").alias("b"), F.col("key").alias("y"))
     all_links = links.unionByName(many)

@@ -114,7 +114,7 @@ def across(utterances: DataFrame, num: int = 7, den: int = 10, least: int = 8) -
     got = candidates(entries(rows, token_sketch(t, "terms", selected), rule, least, selected), rule, cross=True)
     pairs = materialize(got, "across")
     links = verified(pairs, t, num, den).select("a", "b")
-    m = t.select("set_id", "key", "side").repartition("set_id").distinct()
+    m = t.select("set_id", "key", "side").distinct()
     x = m.where("side = 0").select(F.col("set_id").alias("a"), F.col("key").alias("train"))
     y = m.where("side = 1").select(F.col("set_id").alias("b"), F.col("key").alias("held"))
     near = links.join(x, "a").join(y, "b").select("train", "held")
