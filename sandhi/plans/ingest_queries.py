@@ -60,6 +60,12 @@ def id_list(spark: SparkSession, d: str) -> DataFrame:
     return src.ids_json(table(spark, d, "cs_bigrams").where(F.col("utt_id").endswith("_0000")), "utt_id").select(F.col("ids"))
 
 
+@query("SELECT to_json({'utt_id': utt_id}) AS line FROM (SELECT DISTINCT utt_id FROM cs_bigrams) ORDER BY utt_id")
+def id_lines(spark: SparkSession, d: str) -> DataFrame:
+    """All ids; id_list keeps to the recordings' first utterances, as its SQL does."""
+    return src.id_lines(table(spark, d, "cs_bigrams"), "utt_id")
+
+
 @query("SELECT count(text) > 0 AS text, count(wav) > 0 AS wav, count(sent_id) > 0 AS sent_id, count(extra) > 0 AS extra FROM utterances WHERE corpus = 'mucs'")
 def drop_all_null_columns(spark: SparkSession, d: str) -> DataFrame:
     cols = ("text", "wav", "sent_id", "extra")

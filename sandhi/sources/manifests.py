@@ -69,6 +69,11 @@ def write_ids(df: DataFrame, key: str, path: str) -> None:
     df.select(key).distinct().orderBy(key).write.mode("overwrite").json(path)
 
 
+def id_lines(df: DataFrame, key: str) -> DataFrame:
+    """The distinct ids, range-sorted, as one JSON line each; no task holds them all."""
+    return df.select(key).distinct().orderBy(key).select(F.to_json(F.struct(key)).alias("line"))
+
+
 def ids_json(df: DataFrame, key: str) -> DataFrame:
     """The ids as one sorted JSON array; for lists that fit a row."""
     return df.agg(F.to_json(F.array_sort(F.collect_set(key))).alias("ids"))

@@ -58,6 +58,14 @@ def test_tar(spark, tmp_path):
     assert src.TarReader({"path": str(tmp_path)}).partitions()[0].path.endswith("s_2.tar")
 
 
+def test_id_lines_lists_every_id(spark, tmp_path):
+    from sandhi.plans import catalog
+
+    ids = [f"r{i % 7}_{i:04}" for i in range(500)]
+    spark.createDataFrame([(x,) for x in ids + ids[:9]], "utt_id string").write.parquet(str(tmp_path / "cs_bigrams.parquet"))
+    assert [r["line"] for r in catalog.queries()["id_lines"](spark, str(tmp_path)).collect()] == [f'{{"utt_id":"{x}"}}' for x in sorted(ids)]
+
+
 def test_find_one(tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "text").write_text("")
