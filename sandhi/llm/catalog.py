@@ -39,7 +39,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.groups(*neardup.near_texts(table(spark, sf_dir, "utterances"), "utt_id", "text"))
+    return neardup.all_groups(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "cs_bigrams"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

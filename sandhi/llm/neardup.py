@@ -134,3 +134,9 @@ def groups(links: DataFrame, members: DataFrame) -> DataFrame:
     m = members.distinct()
     size = m.groupBy("set_id").agg(F.count("*").alias("n_copies"))
     return m.join(size.join(ends, "set_id", "left"), "set_id").select("key", F.col("set_id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def all_groups(utterances: DataFrame, switches: DataFrame) -> DataFrame:
+    """p3_groups: groups of both fields."""
+    t = groups(*near_texts(utterances, "utt_id", "text")).select(F.lit("text").alias("field"), "*")
+    return t.unionByName(groups(*near_pairs(switches, "bigram_id", "first", "second")).select(F.lit("bigram").alias("field"), "*"))

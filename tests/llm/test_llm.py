@@ -113,6 +113,14 @@ def test_near_pairs_match_brute_force(spark):
     assert got == want and len(want) > 10
 
 
+def test_groups_of_both_fields(spark):
+    u = utts(spark, [(f"u{i}", "a b c d e f g h i j" + x, 1.0, None, None, "mucs", "train") for i, x in enumerate(("", "", " k"))])
+    b = switches(spark, [("b1", "u", "files", "किताबें", "EH"), ("b2", "u", "filed", "किताबें", "EH"), ("b3", "u", "Filed", "किताबें", "EH"), ("b4", "u", "other", "किताबें", "EH")])
+    got = {(r["field"], r["key"]): (r["n_copies"], r["n_links"]) for r in neardup.all_groups(u, b).collect()}
+    assert got == {("text", "u0"): (2, 1), ("text", "u1"): (2, 1), ("text", "u2"): (1, 1), ("bigram", "b1"): (1, 1), ("bigram", "b2"): (2, 1), ("bigram", "b3"): (2, 1), ("bigram", "b4"): (1, 0)}
+    assert {k for f, k in got if f == "bigram"} == {"b1", "b2", "b3", "b4"} and "all_groups" in catalog.p3_groups.__code__.co_names
+
+
 def test_empty_tables(spark):
     u, b = utts(spark, []), switches(spark, [])
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
