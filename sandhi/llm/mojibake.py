@@ -68,9 +68,10 @@ class Channel:
         pick = lambda lo, hi: _class([c for c, b in self.of.items() if lo <= b <= hi])
         k, two, three, four = pick(0x80, 0xBF), pick(0xC2, 0xDF), pick(0xE0, 0xEF), pick(0xF0, 0xF4)
         w = LOST + "?"
-        self.find = re.compile(f"(?:[{three}][{k}{w}][{k}{w}]|[{two}][{k}]|[{four}][{k}][{k}][{k}]|{LOST}[{k}][{k}])+")
+        self.find = re.compile(f"(?:[{three}][{k}{w}][{k}{w}]|[{two}][{k}]|[{four}][{k}][{k}][{k}]|[{w}][{k}{w}][{k}{w}])+")
         # the second byte of ठ and of a few others reads as a no-break space, which may have become a blank
-        self.unit = re.compile(f"[{three}][{k}{w}][{k}{w}]|[{two}][{k}]|[{four}][{k}][{k}][{k}]|{LOST}[{k}][{k}]")
+        self.unit = re.compile(f"[{three}][{k}{w}][{k}{w}]|[{two}][{k}]|[{four}][{k}][{k}][{k}]|[{w}][{k}{w}][{k}{w}]")
+        self.left = re.compile(f"[{_class([c for c, b in self.of.items() if b == 0xE0])}{w}][{k}{w}][{k}{w}]")
 
     def units(self, run: str) -> list[tuple[str, list[str]]]:
         """(as read, what it may mean); an empty list of meanings where it is no unit after all."""
@@ -82,22 +83,18 @@ class Channel:
 
 def meanings(data: list[int | None]) -> list[str]:
     """Characters that a UTF-8 sequence with unknown bytes may be; unknown leads and second bytes are taken
-    as Devanagari, at least one byte above ASCII being known."""
+    as Devanagari. Where nearly all is unknown, the units beside it decide (trusted)."""
     if None not in data:
         try:
             c = bytes(data).decode("utf-8")
         except UnicodeDecodeError:
             return []
         return [c] if c in PLAUSIBLE else []
-    if len(data) != 3 or sum(b is None for b in data) > 1:
+    if len(data) != 3 or data[0] not in (None, 0xE0) or data[1] not in (None, 0xA4, 0xA5):
         return []
-    if data[0] is None:
-        data = [0xE0, *data[1:]]
-        return meanings(data) if data[1] in (0xA4, 0xA5) else []
-    if data[0] != 0xE0:
-        return []
-    tries = [[0xE0, s, data[2]] for s in (0xA4, 0xA5)] if data[1] is None else [[0xE0, data[1], t] for t in range(0x80, 0xC0)] if data[1] in (0xA4, 0xA5) else []
-    return [c for t in tries for c in meanings(t) if "ऀ" <= c < "ঀ"]
+    seconds = (0xA4, 0xA5) if data[1] is None else (data[1],)
+    thirds = range(0x80, 0xC0) if data[2] is None else (data[2],)
+    return [c for s in seconds for t in thirds for c in meanings([0xE0, s, t]) if "ऀ" <= c < "ঀ"]
 
 
 CHANNELS = [Channel(c) for c in SINGLE]
@@ -108,12 +105,28 @@ def _shaky(read: str, means: str, after: str) -> bool:
     return read[0] == "Ã" and "À" <= means <= "ß" and not after.isalpha() and after not in PLAUSIBLE - {" "}
 
 
+def trusted(units: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
+    """The units of a run without the meanings of those that may be question marks as they stand: a unit needs
+    its lead and one more byte, or U+FFFD, or else a unit beside it that has them; without lead and second byte,
+    the next unit must show that the word goes on."""
+    marks = [read.count("?") for read, _ in units]
+    whole = [bool(means) and read[0] != "?" and marks[i] < 2 and (read[0] != LOST or "?" not in read) and read.count(LOST) < 3 for i, (read, means) in enumerate(units)]
+    if not any(whole):
+        return [(read, []) for read, _ in units]
+    out: list[tuple[str, list[str]]] = []
+    for i in range(len(units) - 1, -1, -1):
+        read, means = units[i]
+        bare = marks[i] > 0 and read[0] in "?" + LOST and read[1] in "?" + LOST
+        out.append((read, means if not bare or out and out[-1][1] else []))
+    return out[::-1]
+
+
 def single(ch: Channel, text: str) -> tuple[int, list[tuple[int, int, list[list[str]]]]]:
     """Units explained by a channel, and the stretches: start, end, meanings of each unit."""
     n, out = 0, []
     for m in ch.find.finditer(text):
         at, seq, begin = m.start(), [], m.start()
-        for read, means in ch.units(m.group()):
+        for read, means in trusted(ch.units(m.group())):
             end = at + len(read)
             if means and not (len(means) == 1 and _shaky(read, means[0], text[end : end + 1])):
                 if not seq:
@@ -275,6 +288,9 @@ def restore(text: str, model: Model) -> tuple[str, str, bool]:
             out.append(got)
             at = end
         done = "".join([*out, done[at:]])
+    for ch in CHANNELS:
+        if ch.codec in codecs:
+            complete &= not any(meanings([ch.of.get(c) for c in x.group()]) and x.group() != "???" for x in ch.left.finditer(done))
     if LOST in done:
         words = re.split(r"(\s+)", done)
         for i, w in enumerate(words):
@@ -282,6 +298,7 @@ def restore(text: str, model: Model) -> tuple[str, str, bool]:
                 words[i], ok = model.accent(w)
                 complete &= ok
         done = "".join(words)
+    complete &= LOST not in done
     return done, ",".join(codecs) or ("lost" if LOST in text else ""), complete
 
 

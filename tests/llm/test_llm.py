@@ -320,3 +320,15 @@ def test_found_garbled(spark):
     d = spark.createDataFrame([(1, "a " + g, "x"), (2, "plain किताब", "x"), (3, None, "x"), (4, "", "x"), (5, "a " + g, "x"), (6, "x" * 100_000 + g, "x")], "doc_id long, text string, restored string")
     assert sorted(r["doc_id"] for r in mojibake.found(d).collect()) == [1, 5, 6]
     assert all(re.search("किताब$", r["restored"]) for r in mojibake.decode(d).collect())
+
+
+def test_lost_leads_and_several_lost_bytes():
+    m = model()
+    read = lambda w: w.encode().decode("latin-1")
+    k, q = read("किताब"), read("कलम")
+    for s in ("?" + k[1:], k[:3] + "?" + k[4:], k[:9] + "?" + k[10:], k[:7] + "??" + k[9:], k[:4] + "??" + k[6:], k[:6] + "???" + k[9:]):
+        assert mojibake.restore(f"file {s} file", m) == ("file किताब file", "cp1252", True), s
+    assert mojibake.restore(f"{q}???", m)[0] == "कलम???" and mojibake.restore(f"{q}?", m) == ("कलम?", "cp1252", True)
+    assert not mojibake.garbled("voilà?? voilà???")
+    got, _, complete = mojibake.restore(f"{q} ?\xa4\xb0", m)
+    assert got == "कलम ?\xa4\xb0" and complete is False
