@@ -5,13 +5,15 @@ read in; a character that stands for a lost byte becomes a wildcard. The bytes f
 a UTF-8 sequence, or all sequences that a wildcard leaves open. A stretch counts as garbled where its units
 decode to characters that belong in these texts (Devanagari, the western alphabets' letters and signs).
 The encoding that explains most units is undone, again and again, so text read wrongly twice comes back
-too. Lost bytes are restored by a Viterbi search over the open units under character pairs of the clean
-corpus, and the best paths of a word are ranked by how often the word occurs in the corpus. Pairs and word
+too. Lost bytes are restored by following all readings that are prefixes of corpus words (a filter of bits
+that misses no word), ranked by character pairs of the corpus and by how often the words occur there, and
+where no word fits by a Viterbi search under the character pairs. Pairs and word
 counts are taken over all documents; what is sent to the tasks has a fixed size (a table of pairs of
 Devanagari characters, a counting sketch of words).
 
 Null and empty texts are clean; equal documents are each reported; equally likely restorations go to the
-first in code point order; a lost byte with no known word is left as it is and the row marked incomplete;
+first in code point order; lost bytes with no known word are the likeliest by character pairs (in Latin
+words left as they are) and the row marked incomplete;
 an empty table gives no rows. Only the named columns are read.
 """
 
@@ -19,7 +21,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import sys
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,7 @@ IDEOGRAPH = re.compile("[\\u2e80-\\u9fff\\ue000-\\uf8ff\\ufe30-\\ufe4f\\uff00-\\
 ODD_TEXT = "[^\\x00-\\x7f\\u0900-\\u097f]"
 ROUNDS = 6
 WORD_BITS = 20  # two rows of 2^20 counters, 8 MB to send at any input size
-BEAM = 64
+PREFIX_BITS = 26  # bits that prefixes of words set, 8 MB to send at any input size
 
 HIGH = "".join(bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0x100))
 PLAUSIBLE = {chr(c) for c in range(0x900, 0x980)} | {chr(c) for c in range(0x80, 0x100)} | set(HIGH) | {"‌", "‍", "₹", "‐", "‑", "‒", "―", "′", "″", "﻿"}
@@ -56,6 +60,18 @@ def _bytes_of(codec: str) -> dict[str, int]:
     return out
 
 
+def _spans(ok: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """Ranges of code points for which ok holds."""
+    out: list[tuple[int, int]] = []
+    for c in range(sys.maxunicode + 1):
+        if ok(chr(c)):
+            if out and out[-1][1] == c - 1:
+                out[-1] = (out[-1][0], c)
+            else:
+                out.append((c, c))
+    return out
+
+
 def _class(chars: list[str]) -> str:
     return "".join(re.escape(c) for c in chars)
 
@@ -207,13 +223,38 @@ def word_counts(rows: DataFrame, text: str) -> np.ndarray:
     return out
 
 
+def prefix_slots(text: str) -> tuple[int, int]:
+    """The two bits of a prefix."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 7)
+    return h >> (64 - PREFIX_BITS), h & ((1 << PREFIX_BITS) - 1)
+
+
+def prefix_bits(texts: Iterable[str]) -> np.ndarray:
+    """Bits set by all prefixes of the words beyond ASCII, and by the words with END."""
+    out, seen = np.zeros(1 << (PREFIX_BITS - 6), dtype=np.uint64), set()
+    for t in texts:
+        for part in set(t.lower().split()):
+            if part.isascii() or part in seen:
+                continue
+            if len(seen) > 200_000:
+                seen.clear()
+            seen.add(part)
+            for w in APART.split(part):
+                if w and not w.isascii():
+                    for p in (*(w[:k] for k in range(1, len(w) + 1)), w + END):
+                        for at in prefix_slots(p):
+                            out[at >> 6] |= np.uint64(1 << (at & 63))
+    return out
+
+
 class Model:
     """Pairs of Devanagari characters and words of the corpus."""
 
-    def __init__(self, pairs: np.ndarray, words: np.ndarray) -> None:
+    def __init__(self, pairs: np.ndarray, words: np.ndarray, prefixes: np.ndarray | None = None) -> None:
         p = pairs.reshape(129, 129).astype(np.float64) + 0.05
-        self.logp, self.words = np.log(p / p.sum(axis=1, keepdims=True)).tolist(), words
+        self.logp, self.words, self.prefixes = np.log(p / p.sum(axis=1, keepdims=True)).tolist(), words, prefixes
         self.known: dict[str, int] = {}  # counts looked up so far, emptied when large
+        self.begun: dict[str, bool] = {}  # prefixes looked up so far, likewise
 
     def count(self, word: str) -> int:
         n = self.known.get(word)
@@ -224,47 +265,92 @@ class Model:
             n = self.known[word] = int(min(self.words[a[0]], self.words[b[0]]))
         return n
 
+    def begins(self, text: str) -> bool:
+        """False only if no word of the corpus begins so."""
+        if self.prefixes is None or not text:
+            return True
+        ok = self.begun.get(text)
+        if ok is None:
+            if len(self.begun) > 200_000:
+                self.begun.clear()
+            ok = self.begun[text] = all(int(self.prefixes[at >> 6]) >> (at & 63) & 1 for at in prefix_slots(text))
+        return ok
+
+    def holds(self, word: str) -> bool:
+        return self.count(word) > 0 and (word.isascii() or self.begins(word.lower() + END))
+
     def step(self, a: str, b: str) -> float:
         i, j = ord(a or " ") - 0x900, ord(b) - 0x900
         return self.logp[i if 0 <= i < 128 else 128][j if 0 <= j < 128 else 128]
 
-    def best(self, seq: list[list[str]], left: str, right: str) -> tuple[str, bool]:
-        """The likeliest reading of the units between what stands left and right in the same word. True if
-        nothing was open or the word chosen is known."""
-        if all(len(x) == 1 for x in seq):
-            return "".join(x[0] for x in seq), True
-        paths: list[tuple[float, str]] = [(0.0, "")]
+    def readings(self, seq: list[list[str]], left: str, right: str) -> list[tuple[float, str]]:
+        """(score, reading) of all readings that make words of the corpus: every path is followed as long as
+        some word begins like it, so none is lost."""
+        paths = [(0.0, "", left)]
+        for means in [*seq, *([c] for c in right)]:
+            grown = []
+            for score, done, word in paths:
+                for c in means:
+                    s, part = score + self.step((left + done)[-1:], c), word + c
+                    if WORD.match(c):
+                        if not word or self.holds(word):
+                            grown.append((s + (3 * math.log1p(self.count(word)) if word else 0.0), done + c, ""))
+                    elif part.isascii() or self.begins(part.lower()):
+                        grown.append((s, done + c, part))
+            paths = grown
+        n = len(seq)
+        return [(s + (3 * math.log1p(self.count(w)) if w else 0.0), done[:n]) for s, done, w in paths if not w or self.holds(w)]
+
+    def likeliest(self, seq: list[list[str]], left: str) -> str:
+        """The reading likeliest by pairs of characters; one state for each last character."""
+        states = {left[-1:]: (0.0, "")}
         for means in seq:
             grown: dict[str, tuple[float, str]] = {}
-            for score, done in paths:
+            for last, (score, done) in states.items():
                 for c in means:
-                    s = score + self.step((left + done)[-1:], c)
-                    grown[done + c] = (s, done + c)
-            paths = sorted(grown.values(), key=lambda x: (-x[0], x[1]))[:BEAM]
-        # paths are ranked by the words they complete, then by their own likelihood
-        def rank(p: tuple[float, str]) -> tuple[float, str]:
-            word = WORD.split(left + p[1] + right)
-            return -(p[0] + sum(3 * math.log1p(self.count(w)) for w in word if w)), p[1]
+                    p = (score - self.step(last, c), done + c)
+                    if c not in grown or p < grown[c]:
+                        grown[c] = p
+            states = grown
+        return min(states.values())[1]
 
-        top = min(paths, key=rank)
-        return top[1], all(self.count(w) > 0 for w in WORD.split(left + top[1] + right) if w)
+    def best(self, seq: list[list[str]], left: str, right: str) -> tuple[str, bool]:
+        """The likeliest reading of the units between what stands left and right in the same word. True if
+        nothing was open or the words chosen are known."""
+        out, ok, at = "", True, 0
+        ends = [i for i, x in enumerate(seq) if len(x) == 1 and WORD.match(x[0])] + [len(seq)]
+        for end in ends:  # word by word
+            part = seq[at:end]
+            before = left if not at else ""
+            if all(len(x) == 1 for x in part):
+                out += "".join(x[0] for x in part)
+            elif got := self.readings(part, before, right if end == len(seq) else ""):
+                out += min(got, key=lambda x: (-x[0], x[1]))[1]
+            else:
+                out, ok = out + self.likeliest(part, before), False
+            out += "".join(seq[end]) if end < len(seq) else ""
+            at = end + 1
+        return out, ok
 
     def accent(self, word: str) -> tuple[str, bool]:
         """A Latin word whose accented letters were lost."""
-        holes = [i for i, c in enumerate(word) if c == LOST]
-        if not holes or len(holes) > 4:
-            return word, not holes
-        forms = [word]
-        for i in holes:
-            forms = [f[:i] + c + f[i + 1 :] for f in forms for c in LETTERS if c.islower() or word[:1].isupper()]
-            if len(forms) > 4096:
-                break
-        known = sorted(((-self.count(f.strip(TRIM)), f) for f in forms if LOST not in f))
-        if known and known[0][0] < 0:
-            return known[0][1], True
-        return word, False
-
-
+        core = word.strip(TRIM)
+        begin = word.find(core)
+        letters = [c for c in LETTERS if c.islower() or word[:1].isupper()]
+        out, at = "", 0
+        for m in [*WORD.finditer(core), None]:
+            part = core[at : m.start() if m else len(core)]
+            if LOST in part:
+                got = self.readings([letters if c == LOST else [c] for c in part], "", "")
+                if not got:
+                    return word, False
+                part = min(got, key=lambda x: (-x[0], x[1]))[1]
+            out, at = out + part + (m.group() if m else ""), m.end() if m else 0
+        return word[:begin] + out + word[begin + len(core) :], True
+
+
+END = "\n"
+APART = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _spans(lambda c: c.isspace() or unicodedata.category(c)[0] in "PS")) + "]+")
 WORD = re.compile(r"[\s।॥.,;:!?\"'()‘’“”…<>/*#\[\]-]+")
 TRIM = ".,;:!?\"'()।॥‘’“”…"
 
@@ -320,10 +406,24 @@ def pair_counts(texts: DataFrame, col: str) -> np.ndarray:
     return out
 
 
+def prefixes(rows: DataFrame, text: str) -> np.ndarray:
+    """prefix_bits of all texts."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = prefix_bits(x for b in batches for x in b.column(0).to_pylist() if x)
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].view(np.int64))], ["slot", "bits"])
+
+    got = rows.select(text).mapInArrow(mark, "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (PREFIX_BITS - 6), dtype=np.uint64)
+    out[got["slot"].to_numpy()] = got["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
 def decode(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, text, restored, encodings, complete) of every garbled document."""
     rows = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    model = (pair_counts(rows, "text"), word_counts(rows, "text"))
+    model = (pair_counts(rows, "text"), word_counts(rows, "text"), prefixes(rows, "text"))
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

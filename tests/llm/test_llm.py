@@ -332,3 +332,21 @@ def test_lost_leads_and_several_lost_bytes():
     assert not mojibake.garbled("voilà?? voilà???")
     got, _, complete = mojibake.restore(f"{q} ?\xa4\xb0", m)
     assert got == "कलम ?\xa4\xb0" and complete is False
+
+
+def test_lost_bytes_are_searched_whole():
+    word, cafe = "घङछझञटठड", "éàéàéx"
+    pairs = np.zeros((129, 129))
+    pairs[:, ord("क") - 0x900] = 1e6  # pairs speak for other letters
+    words = np.zeros(2 << mojibake.WORD_BITS, dtype=np.uint32)
+    import xxhash
+
+    for w in (word, cafe, "कलम"):
+        for s in mojibake.slots(np.array([xxhash.xxh64_intdigest(w.encode(), 42)], dtype=np.uint64)):
+            words[s] += 9
+    m = mojibake.Model(pairs, words, mojibake.prefix_bits([f"{word}, {cafe} कलम"]))
+    read = "".join(c.encode().decode("latin-1")[:2] + "?" for c in word[:5]) + word[5:].encode().decode("latin-1")
+    assert mojibake.restore(read, m)[::2] == (word, True)
+    assert mojibake.restore("�����x", m) == (cafe, "lost", True)
+    assert mojibake.restore("\xe0\xa4?\xe0\xa4?\xe0\xa4?", m)[::2] == ("कलम", True)
+    assert m.likeliest([["घ", "क"], ["ङ", "क"]], "") == "कक" and m.best([["घ", "ग"]], "", "") == ("ग", False)
