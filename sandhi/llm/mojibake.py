@@ -116,9 +116,30 @@ def meanings(data: list[int | None]) -> list[str]:
 CHANNELS = [Channel(c) for c in SINGLE]
 
 
+#: what may follow a letter in clean text
+CLOSING = set("‚„…‹›‘’“”–—«»\u00a0")
+
+
 def _shaky(read: str, means: str, after: str) -> bool:
-    """Capital A with tilde before a quotation mark or dash may well be meant: no letter follows."""
-    return read[0] == "Ã" and "À" <= means <= "ß" and not after.isalpha() and after not in PLAUSIBLE - {" "}
+    """Capital A with tilde before a quotation mark, dash or ellipsis may well be meant: no letter follows."""
+    return read[0] == "Ã" and read[1] in CLOSING and "À" <= means <= "ß" and not after.isalpha() and after not in PLAUSIBLE - {" "}
+
+
+def _alone(ch: Channel, text: str, start: int, end: int) -> bool:
+    """No other unit of the word, from blank to blank, speaks for the channel."""
+    lo, hi = start, end
+    while lo and not text[lo - 1].isspace():
+        lo -= 1
+    while hi < len(text) and not text[hi].isspace():
+        hi += 1
+    for part, base in ((text[lo:start], lo), (text[end:hi], end)):
+        for m in ch.find.finditer(part):
+            at = base + m.start()
+            for read, means in trusted(ch.units(m.group())):
+                at += len(read)
+                if means and not (len(means) == 1 and _shaky(read, means[0], text[at : at + 1])):
+                    return False
+    return True
 
 
 def trusted(units: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
@@ -144,7 +165,7 @@ def single(ch: Channel, text: str) -> tuple[int, list[tuple[int, int, list[list[
         at, seq, begin = m.start(), [], m.start()
         for read, means in trusted(ch.units(m.group())):
             end = at + len(read)
-            if means and not (len(means) == 1 and _shaky(read, means[0], text[end : end + 1])):
+            if means and not (len(means) == 1 and _shaky(read, means[0], text[end : end + 1]) and _alone(ch, text, at, end)):
                 if not seq:
                     begin = at
                 seq.append(means)

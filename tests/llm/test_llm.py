@@ -350,3 +350,12 @@ def test_lost_bytes_are_searched_whole():
     assert mojibake.restore("�����x", m) == (cafe, "lost", True)
     assert mojibake.restore("\xe0\xa4?\xe0\xa4?\xe0\xa4?", m)[::2] == ("कलम", True)
     assert m.likeliest([["घ", "क"], ["ङ", "क"]], "") == "कक" and m.best([["घ", "ग"]], "", "") == ("ग", False)
+
+
+@pytest.mark.parametrize("after", ["", " file", ".", ", file"])
+def test_garbled_capitals_at_the_end_of_a_word(after):
+    for word in ("CAFÉ", "LÀ", "VOILÀ", "RÉSUMÉ", "ÉTÓ"):
+        s = word.encode().decode("cp1252") + after
+        assert mojibake.garbled(s) and mojibake.restore(s, model())[0] == word + after
+    for clean in ("\u201cMANH\u00c3\u201d", "MANH\u00c3\u2026", "A IRM\u00c3\u2013"):
+        assert not mojibake.garbled(clean + after)
