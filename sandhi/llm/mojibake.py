@@ -89,6 +89,9 @@ class Channel:
         self.unit = re.compile(f"[{three}][{k}{w}][{k}{w}]|[{two}][{k}]|[{four}][{k}][{k}][{k}]|[{w}][{k}{w}][{k}{w}]")
         self.left = re.compile(f"[{_class([c for c, b in self.of.items() if b == 0xE0])}{w}][{k}{w}][{k}{w}]")
 
+    def others(self, run: str) -> list[str]:
+        return [foreign([self.of.get(c) for c in m.group()]) for m in self.unit.finditer(run)]
+
     def units(self, run: str) -> list[tuple[str, list[str]]]:
         """(as read, what it may mean); an empty list of meanings where it is no unit after all."""
         out = []
@@ -125,6 +128,51 @@ def _shaky(read: str, means: str, after: str) -> bool:
     return read[0] == "Ã" and read[1] in CLOSING and "À" <= means <= "ß" and not after.isalpha() and after not in PLAUSIBLE - {" "}
 
 
+#: signs that stand before or after letters of clean text
+SIGNS = CLOSING | set("®™©°²³¹ªº·•¿¡†‡")
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").partition(" ")[0]
+
+
+def foreign(data: list[int | None]) -> str:
+    """The letter, mark or symbol of a well-formed sequence that is none of the plausible characters."""
+    try:
+        c = bytes(data).decode("utf-8") if None not in data else ""
+    except UnicodeDecodeError:
+        return ""
+    return c if c and c not in PLAUSIBLE and unicodedata.category(c)[0] in "LMS" else ""
+
+
+def spoken_for(units: list[tuple[str, list[str]]], others: list[str], before: str, after: str) -> list[tuple[str, list[str]]]:
+    """The units of a run with those of other scripts and of symbols that can hardly be clean text as read. The
+    characters as read are weighed: letters of one script may be a word, signs may follow a letter."""
+    sure = any(means and ("ऀ" <= means[0] < "ঀ") for _, means in units)
+    run, out = "".join(read for read, _ in units), []
+    for i, (read, means) in enumerate(units):
+        c = others[i]
+        if c and not means:
+            prev, nxt = (units[i - 1][0][-1:], units[i + 1][0][:1]) if 0 < i < len(units) - 1 else (units[i - 1][0][-1:] if i else before, units[i + 1][0][:1] if i + 1 < len(units) else after)
+            signs = all(x in SIGNS for x in read[1:])
+            beside = any(others[k] and _script(others[k]) == _script(c) for k in (i - 1, i + 1) if 0 <= k < len(units))
+            part = run if beside else read
+            word = part.isalpha() and len({_script(x) for x in part}) == 1
+            letter = read[0].isalpha()
+            if sure or 0x1F000 <= ord(c) < 0x1FB00:
+                means = [c]
+            elif word:
+                pass
+            elif beside and (letter or len(read) > 2) or len(read) > 2 and not signs and not any(x in CLOSING for x in read[:1]):
+                means = [c]
+            elif letter and len(read) == 2 and _script(c) in ("LATIN", "GREEK", "CYRILLIC") and ord(c) < 0x250 + 0x2E0:
+                inside = nxt.isalpha() and read[1] not in CLOSING - {"‚", "„"}
+                if prev.islower() and read[0].isupper() or inside or not prev.isalpha() and not nxt.isalpha() and _script(c) != "LATIN" and read[1] not in CLOSING:
+                    means = [c]
+        out.append((read, means))
+    return out
+
+
 def _alone(ch: Channel, text: str, start: int, end: int) -> bool:
     """No other unit of the word, from blank to blank, speaks for the channel."""
     lo, hi = start, end
@@ -163,7 +211,10 @@ def single(ch: Channel, text: str) -> tuple[int, list[tuple[int, int, list[list[
     n, out = 0, []
     for m in ch.find.finditer(text):
         at, seq, begin = m.start(), [], m.start()
-        for read, means in trusted(ch.units(m.group())):
+        units = trusted(ch.units(m.group()))
+        if not all(means for _, means in units) and any(others := ch.others(m.group())):
+            units = spoken_for(units, others, text[max(0, at - 1) : at], text[m.end() : m.end() + 1])
+        for read, means in units:
             end = at + len(read)
             if means and not (len(means) == 1 and _shaky(read, means[0], text[end : end + 1]) and _alone(ch, text, at, end)):
                 if not seq:
@@ -179,6 +230,19 @@ def single(ch: Channel, text: str) -> tuple[int, list[tuple[int, int, list[list[
     return n, out
 
 
+def _kept(run: str, start: int, seq: list[list[str]], size: int) -> tuple[int, list[list[str]]]:
+    """Where a run of two-byte text decodes up to byte ``size`` only: the end of the characters whose bytes
+    are whole units, and those units."""
+    ends, at = {0: 0}, 0
+    for k, c in enumerate(run):
+        at += 1 if c == LOST else len(c.encode(WIDE, "ignore"))
+        ends[at] = k + 1
+    while seq and size not in ends:
+        size -= 1 if seq[-1][0].isascii() else len(seq[-1][0].encode())
+        seq = seq[:-1]
+    return start + ends.get(size, 0), seq
+
+
 def wide(text: str) -> tuple[int, list[tuple[int, int, list[list[str]]]]]:
     """The same for two-byte text."""
     n, out = 0, []
@@ -191,20 +255,27 @@ def wide(text: str) -> tuple[int, list[tuple[int, int, list[list[str]]]]]:
                 data.append(None)
             else:
                 data.extend(c.encode(WIDE, "ignore"))
-        seq, i = [], 0
+        seq, i, good = [], 0, 0
         while i < len(data):
             b = data[i]
-            size = 3 if b is None or b >= 0xE0 else 2
+            if b is not None and b < 0x80:  # swallowed by the byte before it
+                seq.append([chr(b)])
+                i += 1
+                continue
+            size = 3 if b is None or 0xE0 <= b < 0xF0 else 4 if b is not None and b >= 0xF0 else 2
             part = data[i : i + size]
             part += [None] * (3 - len(part)) if size == 3 and i + len(part) == len(data) and len(part) == 2 else []
-            means = meanings(part)
+            means = meanings(part) or [c for c in [foreign(part)] if c and (unicodedata.category(c) == "So" or size == 2)]
             if not means:
-                seq = []
                 break
             seq.append(means)
+            good += 1
             i += size
-        if seq and (any("ऀ" <= x[0] < "ঀ" for x in seq) or len(m.group()) == 1 and text[max(0, m.start() - 1) : m.start()].isascii() and text[max(0, m.start() - 1) : m.start()].isalpha()):
-            out.append((m.start(), m.end(), seq))
+        end, seq = (m.end(), seq) if i >= len(data) else _kept(m.group(), m.start(), seq, i)
+        before = text[max(0, m.start() - 1) : m.start()]
+        indic = any("ऀ" <= x[0] < "ঀ" for x in seq)
+        if seq and (indic or end == m.end() and (len(m.group()) == 1 or chr(0x2000) <= seq[0][0] < chr(0x2070) and seq[-1][0].isascii()) and before.isascii() and before.isalpha()):
+            out.append((m.start(), end, seq))
             n += len(seq)
     return n, out
 

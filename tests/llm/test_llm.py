@@ -359,3 +359,15 @@ def test_garbled_capitals_at_the_end_of_a_word(after):
         assert mojibake.garbled(s) and mojibake.restore(s, model())[0] == word + after
     for clean in ("\u201cMANH\u00c3\u201d", "MANH\u00c3\u2026", "A IRM\u00c3\u2013"):
         assert not mojibake.garbled(clean + after)
+
+
+def test_garbled_letters_and_signs_of_other_scripts():
+    m = model()
+    for word in ("Буква", "😀", "Ω", "α", "Wisła", "किताब 👍", "ok ✓"):
+        b = word.encode()
+        s = "".join(bytes([x]).decode("cp1252", "ignore") or chr(x) for x in b)
+        assert mojibake.garbled(f"see {s} here") and mojibake.restore(f"see {s} here", m)[0] == f"see {word} here", word
+    s = "it’s".encode().decode("gb18030")
+    assert mojibake.garbled(s) and mojibake.restore(f"and {s} file", m)[0] == "and it’s file"
+    for clean in ("CAFÉ” CAFÉ® CAFÉ™ CAFÉ²", "l’été “École” …été", "рак яма Ёлка ракета", "PÓŁNOC ŻÓŁĆ", "café…” é…”", "Ελλάδα 10 Ω 😀 ✓", "中文 日本語", "it’s a “file”—here"):
+        assert not mojibake.garbled(clean), clean
