@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sandhi.llm.common import lists, mix, term_hashes
-from sandhi.runtime import materialize
 
 LOST = "�"
 SINGLE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp866", "koi8_r", "cp1250")
@@ -536,5 +535,11 @@ def decode(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def found(documents: DataFrame) -> DataFrame:
-    """p9_found."""
-    return materialize(decode(documents), "decoded").select(F.col("doc").alias("doc_id")).distinct()
+    """p9_found. Nothing is restored for it, so the models of the corpus are not needed."""
+    kind = dict(documents.dtypes)["doc_id"]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select(["doc_id"]).filter(pa.array([garbled(t) for t in b.column(1).to_pylist()], pa.bool_()))
+
+    return documents.select("doc_id", "text").where(F.col("text").rlike(ODD_TEXT)).mapInArrow(pick, f"doc_id {kind}").distinct()
