@@ -1,12 +1,21 @@
 """Candidate pairs of similar token sets: rare-token blocks, compared tile by tile.
 
-A record is a set of 64-bit tokens. Its tokens are put in one global order, rare ones first, and its
-first p tokens (its prefix) name the blocks it enters; p follows from the least overlap a similar
-partner must have, so two similar records always meet in a block. The order uses a counting sketch of
-fixed size, which is all that is broadcast. A block is compared exhaustively on bit signatures: numpy
+A record is a set of 64-bit tokens. Its tokens are put in one global order, rare ones first, by their exact
+numbers of records (ties by token). Its keys name the blocks it enters; two similar records always have a
+key in common:
+
+* ``Jaccard`` and ``Edits``: the first p tokens (the prefix) hold a shared token, the first p + 1 two. A token
+  of at most TILE records is a key by itself; of the more frequent ones, pairs are the keys (if the first
+  shared token is frequent, so is the second, as it comes later in the order).
+* ``Minima``: rolling hashes of two neighbours in that order, the first of them that cannot all be missed.
+
+A key can only name more than TILE records if both its tokens are frequent; such keys are counted, and blocks
+that really are larger are cut into tiles by record hash, each pair of tiles being a block of its own. So the
+keys a record has do not depend on the size of the table. A block is compared on bit signatures: numpy
 exclusive-or and bit counts over tiles, leaving out tiles whose sizes differ beyond the radius.
-A token that the sketch counts above ``TILE`` has its block split into tiles by record hash; each pair
-of tiles is a block of its own, so hot tokens spread over tasks and no pair is lost.
+
+Frequencies are sent to the tasks while they are few (KNOWN, 16 MB) and joined by a shuffle beyond that; the
+order is the same.
 """
 
 from __future__ import annotations
@@ -20,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sandhi.llm.common import lists, mix, starts, within
+from sandhi.runtime import materialize
 
-SKETCH_BITS = 18  # counters in the sketch: 2^18 of 4 bytes, 1 MB to broadcast at any input size
 TILE = 4096
+KNOWN = 1 << 20  # tokens of two records or more whose frequencies are broadcast at most
 WORDS = 2  # 64-bit words of a signature
 
 
@@ -44,6 +54,34 @@ class Jaccard:
         """Most tokens in only one of the two: u - i where i >= u * num / den and u + i = a + b."""
         return (self.den - self.num) * (a + b) // (self.den + self.num)
 
+    def keys(self, v: np.ndarray, c: np.ndarray, n: np.ndarray) -> Keys:
+        return prefix_keys(v, c, n, self.prefix(n))
+
+
+@dataclass(frozen=True)
+class Minima(Jaccard):
+    """The same sets, found by rolling hashes of two neighbours in the order. Of u tokens in all, d not
+    shared cut the shared s into d + 1 runs at most, so at least s - d - 1 hashes are shared."""
+
+    def common(self, n: int) -> int:
+        """Least number of rolling hashes that a record of n tokens shares with a similar one."""
+        out = n
+        for m in range(-(-self.num * n // self.den), n * self.den // self.num + 1):
+            s = -(-self.num * (n + m) // (self.num + self.den))
+            if s <= min(n, m):
+                out = min(out, 3 * s - n - m - 1)
+        return out
+
+    def keys(self, v: np.ndarray, c: np.ndarray, n: np.ndarray) -> Keys:
+        sizes = np.unique(n)
+        few = {int(k): self.common(int(k)) for k in sizes}
+        if few and min(few.values()) < 1:
+            raise ValueError("records are too small to share a rolling hash for certain")
+        k = n - np.array([few[int(x)] for x in n], dtype=np.int64)
+        rec = np.repeat(np.arange(len(n)), k)
+        at = np.repeat(starts(n), k) + within(k)
+        return Keys(rec, joined(v[at], v[at + 1]), (c[at] > TILE) & (c[at + 1] > TILE))
+
 
 @dataclass(frozen=True)
 class Edits:
@@ -61,42 +99,83 @@ class Edits:
     def radius(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.full(np.broadcast(a, b).shape, 2 * self.k * self.q)
 
+    def keys(self, v: np.ndarray, c: np.ndarray, n: np.ndarray) -> Keys:
+        return prefix_keys(v, c, n, self.prefix(n))
+
 
 Rule = Jaccard | Edits
 
 
-#: values in order and lengths of the records to further block keys and their numbers a record
-Further = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+@dataclass(frozen=True)
+class Keys:
+    """Block keys: record, key, and whether the block may hold more than TILE records."""
+
+    rec: np.ndarray
+    key: np.ndarray
+    wide: np.ndarray
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rolling hash of two tokens in order."""
+    with np.errstate(over="ignore"):
+        return mix(mix(a.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + mix(b.view(np.uint64) + np.uint64(1)))
+
+
+def prefix_keys(v: np.ndarray, c: np.ndarray, n: np.ndarray, p: np.ndarray) -> Keys:
+    if (p >= n).any():
+        raise ValueError("records are too small to share two tokens for certain")
+    rec, pos = np.repeat(np.arange(len(n)), n), within(n)
+    hot = c > TILE
+    one = ~hot & (pos < p[rec])
+    frequent = np.flatnonzero(hot & (pos <= p[rec]))
+    # those of a record stand together: pairs of each with the ones after it
+    last = starts(n)[rec[frequent]] + p[rec[frequent]]
+    after = last - frequent
+    left = np.repeat(frequent, after)
+    right = left + 1 + within(after)
+    return Keys(
+        np.concatenate([rec[one], rec[left]]),
+        np.concatenate([v[one].view(np.uint64), joined(v[left], v[right])]),
+        np.concatenate([np.zeros(int(one.sum()), dtype=bool), np.ones(len(left), dtype=bool)]),
+    )
+
+
+def once(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of equal id, lo and side once, so that a group of copies, however large, adds one row a batch."""
+    at = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+    _, first = np.unique(at, axis=1, return_index=True)
+    return b.take(pa.array(np.sort(first)))
+
+
+def distinct(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of every record, sorted, and their numbers."""
+    rec = np.repeat(np.arange(len(n)), n)
+    o = np.lexsort((v, rec))
+    v, rec = v[o], rec[o]
+    keep = np.ones(len(v), dtype=bool)
+    keep[1:] = (v[1:] != v[:-1]) | (rec[1:] != rec[:-1])
+    return v[keep], np.bincount(rec[keep], minlength=len(n))
 
 
-def token_sketch(df: DataFrame, col: str, further: Further | None = None) -> np.ndarray:
-    """Counts of all tokens (and further keys) of all rows by the upper bits of their hashes."""
+def frequencies(df: DataFrame) -> DataFrame:
+    """(token, n) of all tokens of two records or more of df(id, lo, side, tokens), materialised."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for b in batches:
-            v, n = lists(b.column(0))
-            if further:
-                v = np.concatenate([v, further(v, n)[0]])
-            total += np.bincount((v.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+            v, _ = distinct(*lists(once(b).column(3)))
+            t, k = np.unique(v, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(k.astype(np.int64))], ["token", "n"])
 
-    got = df.select(col).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-    out[got["slot"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**32 - 1)
-    return out
+    got = df.select("id", "lo", "side", "tokens").mapInArrow(count, "token long, n long")
+    return materialize(got.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "frequencies")
 
 
-def ordered(v: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens of every record, rare ones first: values, their counts, lengths."""
-    rec = np.repeat(np.arange(len(n)), n)
-    c = counts[(v.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    o = np.lexsort((v, c, rec))
-    v, c, rec = v[o], c[o], rec[o]
-    keep = np.ones(len(v), dtype=bool)
-    keep[1:] = (v[1:] != v[:-1]) | (rec[1:] != rec[:-1])
-    return v[keep], c[keep], np.bincount(rec[keep], minlength=len(n))
+def by_join(df: DataFrame, freq: DataFrame) -> DataFrame:
+    """df(id, lo, side, tokens) with its tokens in the global order, and their frequencies, by a shuffle."""
+    each = df.dropDuplicates(["id", "lo", "side"]).select("id", "lo", "side", F.explode_outer(F.array_distinct("tokens")).alias("token"))
+    t = each.join(freq, "token", "left").select("id", "lo", "side", F.struct(F.coalesce("n", F.lit(1).cast("long")).alias("n"), "token").alias("t"))
+    t = t.groupBy("id", "lo", "side").agg(F.sort_array(F.collect_list("t")).alias("t"))  # one record's tokens
+    return t.select("id", "lo", "side", F.col("t.token").alias("tokens"), F.col("t.n").alias("counts"))
 
 
 def signatures(v: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -106,46 +185,78 @@ def signatures(v: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return [np.bitwise_or.reduceat(np.where((h >> np.uint64(6)) % np.uint64(WORDS) == w, bit, np.uint64(0)), starts(n)) for w in range(WORDS)]
 
 
-ENTRY = "block long, meta int, id long, side byte, " + ", ".join(f"s{w} long" for w in range(WORDS))
-
+SIGNS = [f"s{w}" for w in range(WORDS)]
+ENTRY = "block long, meta int, id long, side byte, " + ", ".join(f"{s} long" for s in SIGNS)
+
+
+def entries(df: DataFrame, rule: Rule, least: int = 2) -> DataFrame:
+    """df(id long, lo long, side byte, tokens array<long>) to block entries of the records with at least
+    ``least`` distinct tokens. id and lo together name a set; only id goes on, and sets that share it are
+    told apart where pairs are verified. meta is 4 times the size plus the role in a pair of tiles."""
+    freq = frequencies(df)
+    spark = df.sparkSession
+    if joins := freq.count() > KNOWN:
+        rows, sent = by_join(df, freq), None
+    else:
+        rows = df.select("id", "lo", "side", "tokens")
+        f = freq.toPandas().sort_values("token")
+        sent = spark.sparkContext.broadcast((f["token"].to_numpy(np.int64), f["n"].to_numpy(np.int64)))
+    hot = freq.where(F.col("n") > TILE)
+
+    def ordered(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+        b = once(b)
+        v, n = lists(b.column(3))
+        if joins:
+            c = lists(b.column(4))[0]
+        else:
+            v, n = distinct(v, n)
+            c = np.ones(len(v), dtype=np.int64)
+            t, k = sent.value
+            if len(t):
+                at = np.minimum(np.searchsorted(t, v), len(t) - 1)
+                c = np.where(t[at] == v, k[at], 1)
+                o = np.lexsort((v, c, np.repeat(np.arange(len(n)), n)))
+                v, c = v[o], c[o]
+        big = n >= max(2, least)
+        inside = np.repeat(big, n)
+        return b.filter(pa.array(big)), v[inside], c[inside], n[big]
 
-def entries(df: DataFrame, sketch: np.ndarray, rule: Rule, least: int = 1, further: Further | None = None) -> DataFrame:
-    """df(id long, tokens array<long>, side byte) to block entries, by prefix tokens and further keys. Rows of equal id and side within
-    an arrow batch enter once, so a group of copies, however large, adds one row a batch."""
-    counts = df.sparkSession.sparkContext.broadcast(sketch)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, v, c, n = ordered(b)
+            k = rule.keys(v, c, n)
+            t, m = np.unique(k.key[k.wide], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(m.astype(np.int64))], ["block", "n"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, side = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            _, first = np.unique(np.stack([ids, side.astype(np.int64)]), axis=1, return_index=True)
-            b = b.take(pa.array(np.sort(first)))
-            ids, side = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            v, n = lists(b.column(1))
-            more = further(v, n) if further else (np.zeros(0, np.int64), np.zeros(len(n), np.int64))
-            v, c, n = ordered(v, n, counts.value)
-            if not (big := n >= max(1, least)).all():
-                in_big = np.repeat(big, n)
-                v, c, n, ids, side = v[in_big], c[in_big], n[big], ids[big], side[big]
-                more = more[0][np.repeat(big, more[1])], more[1][big]
+            b, v, c, n = ordered(b)
             if not len(n):
                 continue
-            sig = signatures(v, n)
-            pre = within(n) < np.repeat(rule.prefix(n), n)
-            rec = np.concatenate([np.repeat(np.arange(len(n)), n)[pre], np.repeat(np.arange(len(n)), more[1])])
-            key = np.concatenate([v[pre], more[0]]).view(np.uint64)
-            g = 1 + counts.value[(key >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64) // TILE
-            own = (mix(ids.view(np.uint64))[rec] % g.astype(np.uint64)).astype(np.int64)
-            rec, key, own, wide = np.repeat(rec, g), np.repeat(key, g), np.repeat(own, g), np.repeat(g, g)
-            other = within(g)
-            lo, hi = np.minimum(own, other), np.maximum(own, other)
-            block = np.where(wide == 1, key, mix(key + mix((lo * (1 << 31) + hi + 1).astype(np.uint64))))
-            role = np.where(lo == hi, 2, (own == hi).astype(np.int64))
+            k, sig = rule.keys(v, c, n), signatures(v, n)
+            ids, side = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block.view(np.int64)), pa.array((n[rec] * 4 + role).astype(np.int32)), pa.array(ids[rec]), pa.array(side[rec].astype(np.int8)), *(pa.array(s[rec].view(np.int64)) for s in sig)],
-                ["block", "meta", "id", "side", *(f"s{w}" for w in range(WORDS))],
+                [pa.array(k.key.view(np.int64)), pa.array((n[k.rec] * 4 + 2).astype(np.int32)), pa.array(ids[k.rec]), pa.array(side[k.rec].astype(np.int8)), *(pa.array(s[k.rec].view(np.int64)) for s in sig)],
+                ["block", "meta", "id", "side", *SIGNS],
             )
 
-    return df.mapInArrow(emit, ENTRY)
+    out = rows.mapInArrow(emit, ENTRY)
+    if hot.isEmpty():
+        return out
+    sizes = rows.mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
+    large = materialize(sizes.where(F.col("n") > TILE), "large")
+    return out if large.isEmpty() else tiled(out, large)
+
+
+def tiled(entered: DataFrame, large: DataFrame) -> DataFrame:
+    """Entries of blocks in large(block, n) as entries of pairs of tiles. A pair of records meets in the one
+    block of their two tiles; within a pair of different tiles only records of different tiles are compared."""
+    e = entered.join(large, "block", "left").withColumn("g", F.ceil(F.coalesce("n", F.lit(0)) / F.lit(TILE)))
+    e = e.withColumn("own", F.when(F.col("g") > 1, F.pmod(F.xxhash64("id", F.lit(1)), "g"))).withColumn("other", F.explode_outer(F.when(F.col("g") > 1, F.sequence(F.lit(0).cast("long"), F.col("g") - 1))))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    role = F.when(F.col("own").isNull() | (lo == hi), 2).otherwise((F.col("own") == hi).cast("int"))
+    block = F.when(F.col("own").isNull(), F.col("block")).otherwise(F.xxhash64("block", lo, hi))
+    return e.select(block.alias("block"), (F.col("meta") - 2 + role).cast("int").alias("meta"), "id", "side", *SIGNS)
 
 
 def popcount(xs: list[np.ndarray]) -> np.ndarray:
@@ -164,7 +275,7 @@ def pair_finder(rule: Rule, cross: bool) -> Callable[[dict[str, np.ndarray]], tu
         if cross:
             ok &= e["side"][i] != e["side"][j]
         i, j = i[ok], j[ok]
-        near = popcount([e[f"s{w}"][i] ^ e[f"s{w}"][j] for w in range(WORDS)]) <= rule.radius(n[i], n[j])
+        near = popcount([e[s][i] ^ e[s][j] for s in SIGNS]) <= rule.radius(n[i], n[j])
         return i[near], j[near]
 
     def tiles(e: dict, lo: int, hi: int, tile: int = 512):
@@ -176,7 +287,7 @@ def pair_finder(rule: Rule, cross: bool) -> Callable[[dict[str, np.ndarray]], tu
                 if not rule.close(n[i[-1:]], n[b : b + 1]).any() and n[b] > n[i[-1]]:
                     break  # sizes only grow from here
                 j = np.arange(b, min(b + tile, hi))
-                x = sum(np.bitwise_count(e[f"s{w}"][i][:, None] ^ e[f"s{w}"][j][None, :]).astype(np.int16) for w in range(WORDS))
+                x = sum(np.bitwise_count(e[s][i][:, None] ^ e[s][j][None, :]).astype(np.int16) for s in SIGNS)
                 p, q = np.nonzero(x <= rule.radius(n[i][:, None], n[j][None, :]))
                 p, q = i[p], j[q]
                 yield allowed(e, p[p < q], q[p < q])
@@ -208,13 +319,18 @@ def candidates(entered: DataFrame, rule: Rule, cross: bool = False) -> DataFrame
     find = pair_finder(rule, cross)
     names = entered.columns
 
+    def repeated(e: dict) -> dict:
+        """Without entries equal to the one before (copies from other batches)."""
+        keep = np.ones(len(e["block"]), dtype=bool)
+        same = [e[k][1:] == e[k][:-1] for k in names]
+        keep[1:] = ~np.logical_and.reduce(same)
+        return {k: x[keep] for k, x in e.items()}
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(e: dict):
-            o = np.lexsort((e["side"], e["id"], e["meta"], e["block"]))
-            e = {k: x[o] for k, x in e.items()}
-            keep = np.ones(len(o), dtype=bool)
-            keep[1:] = (e["block"][1:] != e["block"][:-1]) | (e["id"][1:] != e["id"][:-1]) | (e["side"][1:] != e["side"][:-1]) | (e["meta"][1:] != e["meta"][:-1])
-            e = {k: x[keep] for k, x in e.items()}
+        def flush(parts: list[dict]):
+            e = {k: np.concatenate([x[k] for x in parts]) for k in names}
+            o = np.lexsort((*(e[s] for s in SIGNS), e["side"], e["id"], e["meta"], e["block"]))
+            e = repeated({k: x[o] for k, x in e.items()})
             i, j = find(e)
             a, b = e["id"][i], e["id"][j]
             swap = e["side"][i] > e["side"][j] if cross else a > b
@@ -224,18 +340,19 @@ def candidates(entered: DataFrame, rule: Rule, cross: bool = False) -> DataFrame
         held: list[dict] = []
         for b in batches:
             e = {k: b.column(x).to_numpy(zero_copy_only=False) for x, k in enumerate(names)}
-            e |= {f"s{w}": e[f"s{w}"].view(np.uint64) for w in range(WORDS)}  # bits of a negative number would be those of its size
+            e |= {s: e[s].view(np.uint64) for s in SIGNS}  # bits of a negative number would be those of its size
             if not len(e["block"]):
                 continue
+            e = repeated(e)
             held.append(e)
             last = int(np.searchsorted(e["block"], e["block"][-1]))
             rows = sum(len(x["block"]) for x in held)
             if rows - (len(e["block"]) - last) < 100_000 or last == 0:
                 continue
             head, tail = {k: x[:last] for k, x in e.items()}, {k: x[last:] for k, x in e.items()}
-            yield flush({k: np.concatenate([*(x[k] for x in held[:-1]), head[k]]) for k in names})
+            yield flush([*held[:-1], head])
             held = [tail]
         if held:
-            yield flush({k: np.concatenate([x[k] for x in held]) for k in names})
+            yield flush(held)
 
-    return entered.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long").distinct()
+    return entered.repartition("block").sortWithinPartitions("block", "id", "side").mapInArrow(compare, "a long, b long").distinct()

@@ -42,6 +42,10 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.all_groups(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "cs_bigrams"))
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.all_links(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "cs_bigrams"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.found(table(spark, sf_dir, "utterances"))
 

@@ -1,16 +1,16 @@
 """Same or near-same records across splits (problem 4): winnowing fingerprints.
 
-Two fingerprints are taken of a text. In text order, rolling hashes of GRAM consecutive terms are
-winnowed: of every WINDOW consecutive hashes the least is selected, so texts with a common run of
-GRAM + WINDOW - 1 terms share a selected hash. Small edits spread over a short text leave no such run, so
-the distinct terms, put in the global order from rare to frequent, are winnowed too, the window being the
-overlap that a near-same text must have at least: its minima are the rarest terms, and texts over the
-threshold always share one. Selected hashes are joined across splits only (blocks.py), the pairs checked
-exactly. Shared seeds of a pair are chained collinearly, the gaps aligned, and the aligned share reported
-as coverage of either record.
+Small edits and moved words leave short texts no long common run, so fingerprints are taken of the distinct
+terms in one order for all texts, from rare to frequent: there, two texts over the threshold always have
+common runs. Rolling hashes of two neighbours are taken, and of each text the minima in that order, as many
+as it takes for two similar texts to share one for certain (blocks.Minima). They are joined across splits
+only, and the pairs checked exactly. For coverage, the texts as written are winnowed: of every WINDOW
+consecutive rolling hashes of GRAM terms the least is a seed; shared seeds of a pair are chained collinearly,
+the gaps aligned, and the aligned share reported for either record.
 
 Null and blank texts have no fingerprints; null and empty sent_ids tie nothing; repeated deliveries count
-once; rows of a split other than train, dev and test are left out; empty tables give empty results. Only
+once; rows of a split other than train, dev and test are left out; a key delivered in two splits is no
+overlap with itself; empty tables give empty results. Only
 the named columns are read.
 """
 
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sandhi.llm.blocks import Jaccard, candidates, entries, token_sketch
-from sandhi.llm.common import mix, starts, within
-from sandhi.llm.neardup import classes, verified
+from sandhi.llm.blocks import Minima, candidates, entries
+from sandhi.llm.common import mix, starts, term_hashes, within
+from sandhi.llm.neardup import classes, shared_ids, verified
 from sandhi.runtime import materialize
 
 GRAM, WINDOW = 5, 4
@@ -61,12 +61,6 @@ def minima(h: np.ndarray, m: np.ndarray, w: int = WINDOW) -> tuple[np.ndarray, n
     return best[keep], np.bincount(rec[keep], minlength=len(m))
 
 
-def selected(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h, m = rolling(v, n)
-    at, k = minima(h, m)
-    return h[at].view(np.int64), k
-
-
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, a bit a term of a."""
     where: dict = {}
@@ -104,69 +98,93 @@ def coverage(a: list, b: list, seeds: list[tuple[int, int]], k: int = GRAM) -> i
     return n + lcs(a[i:], b[j:])
 
 
-def across(utterances: DataFrame, num: int = 7, den: int = 10, least: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(pairs, table): pairs(train, held) of near-same texts; table has the records with their terms."""
+def seeds(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Positions in a and in b of equal winnowed hashes, all of a hash with all of it."""
+    v, n = np.array(a + b, dtype=np.int64), np.array([len(a), len(b)])
+    h, m = rolling(v, n)
+    at, k = minima(h, m)
+    mine: dict[int, list[int]] = {}
+    for p in at[: k[0]]:
+        mine.setdefault(int(h[p]), []).append(int(p))
+    return [(i, int(p - m[0])) for p in at[k[0] :] for i in mine.get(int(h[p]), ())]
+
+
+def across(utterances: DataFrame, num: int = 7, den: int = 10, least: int = 8) -> DataFrame:
+    """(train, held): pairs of near-same texts."""
     side = F.when(F.col("split") == "train", 0).when(F.col("split").isin("dev", "test"), 1)
-    u = utterances.select("utt_id", "text", "split", "corpus", side.cast("byte").alias("side")).where("side is not null")
-    t = classes(u, "utt_id", "text", ["side", "split", "corpus"], least)
-    rule = Jaccard(num, den)
-    rows = t.select(F.col("set_id").alias("id"), F.col("terms").alias("tokens"), "side")
-    got = candidates(entries(rows, token_sketch(t, "terms", selected), rule, least, selected), rule, cross=True)
-    pairs = materialize(got, "across")
-    links = verified(pairs, t, num, den).select("a", "b")
-    m = t.select("set_id", "key", "side").distinct()
-    x = m.where("side = 0").select(F.col("set_id").alias("a"), F.col("key").alias("train"))
-    y = m.where("side = 1").select(F.col("set_id").alias("b"), F.col("key").alias("held"))
-    near = links.join(x, "a").join(y, "b").select("train", "held")
-    equal = x.join(y, x["a"] == y["b"]).select("train", "held")
-    return near.unionByName(equal), t
+    u = utterances.select("utt_id", "text", side.cast("byte").alias("side")).where("side is not null")
+    t = classes(u, "utt_id", "text", ["side"], least)
+    rule = Minima(num, den)
+    rows = t.select(F.col("set_id").alias("id"), F.col("set_lo").alias("lo"), "side", F.col("terms").alias("tokens"))
+    pairs = materialize(candidates(entries(rows, rule, least), rule, cross=True), "across")
+    links = verified_across(pairs.unionByName(shared_ids(t)), t, num, den)
+    m = t.select("set_id", "set_lo", "key", "side").distinct()
+    x = m.where("side = 0").select(F.col("set_id").alias("a"), F.col("set_lo").alias("alo"), F.col("key").alias("train"))
+    y = m.where("side = 1").select(F.col("set_id").alias("b"), F.col("set_lo").alias("blo"), F.col("key").alias("held"))
+    near = links.join(x, ["a", "alo"]).join(y, ["b", "blo"]).select("train", "held")
+    equal = x.join(y, (x["a"] == y["b"]) & (x["alo"] == y["blo"])).select("train", "held")
+    return near.unionByName(equal).where("train != held")
+
+
+def verified_across(pairs: DataFrame, t: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, alo, b, blo) from train to held-out sets; those of one id may be linked either way."""
+    links = verified(pairs, t, num, den).select("a", "alo", "b", "blo")
+    turned = links.where("a = b").select("a", F.col("blo").alias("alo"), "b", F.col("alo").alias("blo"))
+    return links.unionByName(turned)
 
 
 def same_sentence(utterances: DataFrame) -> DataFrame:
     u = utterances.where("sent_id is not null and sent_id != ''").select("utt_id", "sent_id", "split").distinct()
     x = u.where("split = 'train'").select("sent_id", F.col("utt_id").alias("train"))
     y = u.where("split in ('dev', 'test')").select("sent_id", F.col("utt_id").alias("held"))
-    return x.join(y, "sent_id").select("train", "held")
+    return x.join(y, "sent_id").where("train != held").select("train", "held")
 
 
 def found(utterances: DataFrame) -> DataFrame:
     """p4_found: pairs of a train and a held-out utterance with near-same text or the same sent_id."""
-    pairs = across(utterances)[0].unionByName(same_sentence(utterances)).distinct()
-    return pairs.select(F.least("train", "held").alias("utt_a"), F.greatest("train", "held").alias("utt_b"))
+    pairs = across(utterances).unionByName(same_sentence(utterances))
+    return pairs.select(F.least("train", "held").alias("utt_a"), F.greatest("train", "held").alias("utt_b")).distinct()
 
 
 def overlaps(utterances: DataFrame) -> DataFrame:
-    """One row a pair of near-same texts: (train, held, split, corpus, train_corpus, aligned, cover_train,
-    cover_held), the covers being the share of either record's terms that the alignment holds."""
-    pairs, t = across(utterances)
-    one = t.dropDuplicates(["key"])
-    x = one.select(F.col("key").alias("train"), F.col("corpus").alias("train_corpus"), F.col("terms").alias("a"))
-    y = one.select(F.col("key").alias("held"), "split", "corpus", F.col("terms").alias("b"))
-    both = pairs.join(x, "train").join(y, "held").select("train", "held", "split", "corpus", "train_corpus", "a", "b")
+    """One row a pair of a train and a held-out record, their split and corpus, and how they are alike:
+    (train, held, split, corpus, train_corpus, by_text, by_sent_id, aligned, cover_train, cover_held), the
+    covers being the share of either record's terms that the alignment holds (null for a text without terms)."""
+    text = across(utterances).select("train", "held", F.lit(True).alias("by_text"), F.lit(False).alias("by_sent_id"))
+    sent = same_sentence(utterances).select("train", "held", F.lit(False).alias("by_text"), F.lit(True).alias("by_sent_id"))
+    pairs = text.unionByName(sent).groupBy("train", "held").agg(F.max("by_text").alias("by_text"), F.max("by_sent_id").alias("by_sent_id"))
+    pairs = materialize(pairs, "overlaps")
+    keys = pairs.select(F.col("train").alias("utt_id")).unionByName(pairs.select(F.col("held").alias("utt_id"))).distinct()
+    rows = utterances.join(keys, "utt_id", "left_semi").groupBy("utt_id").agg(F.max("corpus").alias("corpus"), F.max_by("split", F.when(F.col("split") != "train", F.col("split"))).alias("split"), F.max("text").alias("text"))
+    one = materialize(rows.select("utt_id", "corpus", "split", term_hashes(F.col("text")).alias("terms")), "records")
+    x = one.select(F.col("utt_id").alias("train"), F.col("corpus").alias("train_corpus"), F.col("terms").alias("a"))
+    y = one.select(F.col("utt_id").alias("held"), "split", "corpus", F.col("terms").alias("b"))
+    names = ["train", "held", "split", "corpus", "train_corpus", "by_text", "by_sent_id"]
+    both = pairs.join(x, "train").join(y, "held").select(*names, "a", "b")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            got = []
-            for a, b in zip(r.column(5).to_pylist(), r.column(6).to_pylist()):
-                v, n = np.array(a + b, dtype=np.int64), np.array([len(a), len(b)])
-                h, m = rolling(v, n)
-                at, k = minima(h, m)
-                mine = {int(h[p]): int(p) for p in at[: k[0]]}
-                seeds = [(mine[int(h[p])], int(p - m[0])) for p in at[k[0] :] if int(h[p]) in mine]
-                got.append(coverage(a, b, seeds))
-            yield pa.RecordBatch.from_arrays([*r.columns[:5], pa.array(got, pa.int64()), r.column(5), r.column(6)], ["train", "held", "split", "corpus", "train_corpus", "aligned", "a", "b"])
+            got, la, lb = [], [], []
+            for a, b in zip(r.column(7).to_pylist(), r.column(8).to_pylist()):
+                got.append(coverage(a, b, seeds(a, b)))
+                la.append(len(a))
+                lb.append(len(b))
+            n = np.array(got, dtype=np.int64)
+            share = lambda k: pa.array([g / m if m else None for g, m in zip(got, k)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*r.columns[:7], pa.array(n), share(la), share(lb)], [*names, "aligned", "cover_train", "cover_held"])
 
-    kinds = "train string, held string, split string, corpus string, train_corpus string, aligned long, a array<long>, b array<long>"
-    out = both.mapInArrow(align, kinds)
-    return out.select("train", "held", "split", "corpus", "train_corpus", "aligned", (F.col("aligned") / F.size("a")).alias("cover_train"), (F.col("aligned") / F.size("b")).alias("cover_held"))
+    kinds = "train string, held string, split string, corpus string, train_corpus string, by_text boolean, by_sent_id boolean, aligned long, cover_train double, cover_held double"
+    return both.mapInArrow(align, kinds)
 
 
 def by_split(utterances: DataFrame) -> DataFrame:
-    """Overlaps per held-out split and corpus: records concerned, pairs, by text and by sent_id, and the
-    mean coverage of the held-out records by their best match."""
-    o = materialize(overlaps(utterances), "overlaps")
-    best = o.groupBy("split", "corpus", "held").agg(F.max("cover_held").alias("cover"), F.count("*").alias("pairs"))
-    text = best.groupBy("split", "corpus").agg(F.count("*").alias("held_by_text"), F.sum("pairs").alias("text_pairs"), F.avg("cover").alias("mean_cover"))
-    kind = utterances.select(F.col("utt_id").alias("held"), "split", "corpus").distinct()
-    sent = same_sentence(utterances).join(kind, "held").groupBy("split", "corpus").agg(F.countDistinct("held").alias("held_by_sent_id"), F.count("*").alias("sent_id_pairs"))
-    return text.join(sent, ["split", "corpus"], "full").fillna(0)
+    """Overlaps per held-out split and corpus: records and pairs concerned by text and by sent_id, and the
+    mean coverage of the held-out records by their best match in text."""
+    o = materialize(overlaps(utterances), "aligned")
+    each = o.groupBy("split", "corpus", "held").agg(
+        F.max(F.when(F.col("by_text"), F.col("cover_held"))).alias("cover"), F.count_if("by_text").alias("t"), F.count_if("by_sent_id").alias("s")
+    )
+    return each.groupBy("split", "corpus").agg(
+        F.count_if(F.col("t") > 0).alias("held_by_text"), F.sum("t").alias("text_pairs"), F.coalesce(F.avg("cover"), F.lit(0.0)).alias("mean_cover"),
+        F.count_if(F.col("s") > 0).alias("held_by_sent_id"), F.sum("s").alias("sent_id_pairs"),
+    )

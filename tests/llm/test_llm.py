@@ -57,7 +57,9 @@ def corpus(n, seed=3):
     return texts
 
 
-def test_near_texts_match_brute_force(spark):
+def test_near_texts_match_brute_force(spark, monkeypatch):
+    from sandhi.llm import blocks
+
     rows = [(f"u{i:04}", t, 1.0, None, None, "mucs", "train" if i % 3 else "test") for i, t in enumerate(corpus(150))]
     u = utts(spark, rows + rows[:20])
     got = {tuple(r) for r in neardup.expand(*neardup.near_texts(u, "utt_id", "text")).collect()}
@@ -68,8 +70,12 @@ def test_near_texts_match_brute_force(spark):
     split = {r[0]: r[6] for r in rows}
     cross = {tuple(r) for r in overlap.found(u).collect()}
     assert cross == {p for p in want if split[p[0]] != split[p[1]]}
+    monkeypatch.setattr(blocks, "KNOWN", 0)  # frequencies joined instead of broadcast: the same order, the same pairs
+    assert {tuple(r) for r in overlap.found(u).collect()} == cross
+    assert {tuple(r) for r in neardup.expand(*neardup.near_texts(u, "utt_id", "text")).collect()} == got
     cover = overlap.overlaps(u).collect()
     assert {tuple(sorted((r["train"], r["held"]))) for r in cover} == cross
+    assert all(r["by_text"] and not r["by_sent_id"] for r in cover)
     assert all(0 < r["cover_held"] <= 1 and 0 < r["cover_train"] <= 1 for r in cover)
 
 
@@ -81,9 +87,50 @@ def test_tiles_of_a_hot_block(spark, monkeypatch):
     u = utts(spark, rows)
     sets = {r[0]: set(terms(r[1])) for r in rows}
     want = {(a, b) for a in sets for b in sets if a < b and min(len(sets[a]), len(sets[b])) >= 8 and len(sets[a] & sets[b]) * 10 >= 7 * len(sets[a] | sets[b])}
-    for tile in (4096, 100):
+    half = utts(spark, [(*r[:6], "train" if i % 2 else "dev") for i, r in enumerate(rows)])
+    for tile in (4096, 100, 3):
         monkeypatch.setattr(blocks, "TILE", tile)
         assert {tuple(r) for r in neardup.expand(*neardup.near_texts(u, "utt_id", "text")).collect()} == want
+        assert {tuple(r) for r in overlap.found(half).collect()} == {p for p in want if int(p[0][1:]) % 2 != int(p[1][1:]) % 2}
+
+
+def entry_count(spark, n, rule, tile, monkeypatch):
+    from sandhi.llm import blocks
+
+    monkeypatch.setattr(blocks, "TILE", tile)
+    r = np.random.default_rng(n)
+    weight = 1 / np.arange(1, 3001)
+    rows = [(i, i, 0, [int(x) for x in r.choice(3000, 10, replace=False, p=weight / weight.sum())]) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, lo long, side byte, tokens array<long>")
+    return blocks.entries(df, rule, 8).count() / n
+
+
+@pytest.mark.parametrize("rule", ["Jaccard", "Minima"])
+def test_entries_a_record_do_not_grow(spark, monkeypatch, rule):
+    from sandhi.llm import blocks
+
+    # in the larger table every token is frequent; pairs of them are keys then, whose number is bounded by the record
+    small, large = (entry_count(spark, n, getattr(blocks, rule)(), 20, monkeypatch) for n in (500, 20_000))
+    assert large <= 10 and small <= 10
+
+
+def test_sets_of_one_id(spark, monkeypatch):
+    """Two sets whose first 64 bits agree are told apart, and compared."""
+    from sandhi.llm import neardup as nd
+
+    whole = nd.classes
+
+    def clash(*a, **k):
+        return whole(*a, **k).withColumn("set_id", F.col("set_id") % 2)
+
+    rows = [(f"u{i}", " ".join(f"w{j}" for j in range(10)) + x, 1.0, None, None, "mucs", s) for i, (x, s) in enumerate([("", "train"), (" a", "train"), (" b", "dev"), ("", "dev"), (" c d e f g h i j", "test")])]
+    u = utts(spark, rows)
+    want = {tuple(r) for r in nd.expand(*nd.near_texts(u, "utt_id", "text")).collect()}
+    cross = {tuple(r) for r in overlap.found(u).collect()}
+    monkeypatch.setattr(nd, "classes", clash)
+    monkeypatch.setattr(overlap, "classes", clash)
+    got = {tuple(r) for r in nd.expand(*nd.near_texts(u, "utt_id", "text")).collect()}
+    assert got == want and len(want) == 6 and {tuple(r) for r in overlap.found(u).collect()} == cross and len(cross) == 4
 
 
 def distance(a, b):
@@ -106,8 +153,7 @@ def test_near_pairs_match_brute_force(spark):
         base.append((a, b[:-1] + r.choice(["", "क", b[-1]])))
     rows = [(f"b{i:03}", "u", a, b, "HE") for i, (a, b) in enumerate(base)] + [("b990", "u", None, "abcdef", "HE"), ("b991", "u", "", "", None)]
     links, members = neardup.near_pairs(switches(spark, rows + rows[:5]), "bigram_id", "first", "second")
-    m = members.distinct()
-    got = {tuple(sorted(x)) for x in links.join(m.withColumnRenamed("set_id", "a").withColumnRenamed("key", "x"), "a").join(m.withColumnRenamed("set_id", "b").withColumnRenamed("key", "y"), "b").select("x", "y").collect()}
+    got = {tuple(x) for x in neardup.expand(links, members, inside=False).collect()}
     ok = [x for x in rows if x[2] and len(x[2]) >= 5 and len(x[3]) >= 5]
     want = {(x[0], y[0]) for x in ok for y in ok if x[0] < y[0] and 1 <= distance(x[2], y[2]) + distance(x[3], y[3]) <= 2}
     assert got == want and len(want) > 10
