@@ -7,11 +7,14 @@ key in common:
 * ``Jaccard`` and ``Edits``: the first p tokens (the prefix) hold a shared token, the first p + 1 two. A token
   of at most TILE records is a key by itself; of the more frequent ones, pairs are the keys (if the first
   shared token is frequent, so is the second, as it comes later in the order).
-* ``Minima``: rolling hashes of two neighbours in that order, the first of them that cannot all be missed.
+* ``Minima``: rolling hashes of two neighbours in that order, the first of them that cannot all be missed. If
+  hashes turn out to be held by more than TILE records, one more is taken of each record, so that two are
+  shared, and pairs of such hashes are the keys.
 
-A key can only name more than TILE records if both its tokens are frequent; such keys are counted, and blocks
+A key can only name more than TILE records if its tokens are all frequent; such keys are counted, and blocks
 that really are larger are cut into tiles by record hash, each pair of tiles being a block of its own. So the
-keys a record has do not depend on the size of the table. A block is compared on bit signatures: numpy
+keys a record has do not grow with the table, but for blocks of records with several frequent tokens in
+common. A block is compared on bit signatures: numpy
 exclusive-or and bit counts over tiles, leaving out tiles whose sizes differ beyond the radius.
 
 Frequencies are sent to the tasks while they are few (KNOWN, 16 MB) and joined by a shuffle beyond that; the
@@ -21,7 +24,7 @@ order is the same.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,7 @@ class Jaccard:
 
     num: int = 7
     den: int = 10
+    tile: int = field(default_factory=lambda: TILE)
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return n - (self.num * n + self.den - 1) // self.den + 1
@@ -54,8 +58,8 @@ class Jaccard:
         """Most tokens in only one of the two: u - i where i >= u * num / den and u + i = a + b."""
         return (self.den - self.num) * (a + b) // (self.den + self.num)
 
-    def keys(self, v: np.ndarray, c: np.ndarray, n: np.ndarray) -> Keys:
-        return prefix_keys(v, c, n, self.prefix(n))
+    def keys(self, v: np.ndarray, c: np.ndarray, n: np.ndarray, more: int = 0) -> Keys:
+        return prefix_keys(v, c, n, self.prefix(n), self.tile)
 
 
 @dataclass(frozen=True)
@@ -72,15 +76,15 @@ class Minima(Jaccard):
                 out = min(out, 3 * s - n - m - 1)
         return out
 
-    def keys(self, v: np.ndarray, c: np.ndarray, n: np.ndarray) -> Keys:
+    def keys(self, v: np.ndarray, c: np.ndarray, n: np.ndarray, more: int = 0) -> Keys:
         sizes = np.unique(n)
         few = {int(k): self.common(int(k)) for k in sizes}
-        if few and min(few.values()) < 1:
-            raise ValueError("records are too small to share a rolling hash for certain")
-        k = n - np.array([few[int(x)] for x in n], dtype=np.int64)
+        if few and min(few.values()) < 1 + more:
+            raise ValueError("records are too small to share the rolling hashes for certain")
+        k = n - np.array([few[int(x)] for x in n], dtype=np.int64) + more
         rec = np.repeat(np.arange(len(n)), k)
         at = np.repeat(starts(n), k) + within(k)
-        return Keys(rec, joined(v[at], v[at + 1]), (c[at] > TILE) & (c[at + 1] > TILE))
+        return Keys(rec, joined(v[at], v[at + 1]), (c[at] > self.tile) & (c[at + 1] > self.tile))
 
 
 @dataclass(frozen=True)
@@ -89,6 +93,7 @@ class Edits:
 
     k: int = 2
     q: int = 3
+    tile: int = field(default_factory=lambda: TILE)
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return np.minimum(n, self.k * self.q + 1)
@@ -99,8 +104,8 @@ class Edits:
     def radius(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.full(np.broadcast(a, b).shape, 2 * self.k * self.q)
 
-    def keys(self, v: np.ndarray, c: np.ndarray, n: np.ndarray) -> Keys:
-        return prefix_keys(v, c, n, self.prefix(n))
+    def keys(self, v: np.ndarray, c: np.ndarray, n: np.ndarray, more: int = 0) -> Keys:
+        return prefix_keys(v, c, n, self.prefix(n), self.tile)
 
 
 Rule = Jaccard | Edits
@@ -121,11 +126,11 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(mix(a.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + mix(b.view(np.uint64) + np.uint64(1)))
 
 
-def prefix_keys(v: np.ndarray, c: np.ndarray, n: np.ndarray, p: np.ndarray) -> Keys:
+def prefix_keys(v: np.ndarray, c: np.ndarray, n: np.ndarray, p: np.ndarray, tile: int) -> Keys:
     if (p >= n).any():
         raise ValueError("records are too small to share two tokens for certain")
     rec, pos = np.repeat(np.arange(len(n)), n), within(n)
-    hot = c > TILE
+    hot = c > tile
     one = ~hot & (pos < p[rec])
     frequent = np.flatnonzero(hot & (pos <= p[rec]))
     # those of a record stand together: pairs of each with the ones after it
@@ -201,7 +206,7 @@ def entries(df: DataFrame, rule: Rule, least: int = 2) -> DataFrame:
         rows = df.select("id", "lo", "side", "tokens")
         f = freq.toPandas().sort_values("token")
         sent = spark.sparkContext.broadcast((f["token"].to_numpy(np.int64), f["n"].to_numpy(np.int64)))
-    hot = freq.where(F.col("n") > TILE)
+    hot = freq.where(F.col("n") > rule.tile)
 
     def ordered(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
         b = once(b)
@@ -228,30 +233,46 @@ def entries(df: DataFrame, rule: Rule, least: int = 2) -> DataFrame:
             t, m = np.unique(k.key[k.wide], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(m.astype(np.int64))], ["block", "n"])
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b, v, c, n = ordered(b)
-            if not len(n):
-                continue
-            k, sig = rule.keys(v, c, n), signatures(v, n)
-            ids, side = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k.key.view(np.int64)), pa.array((n[k.rec] * 4 + 2).astype(np.int32)), pa.array(ids[k.rec]), pa.array(side[k.rec].astype(np.int8)), *(pa.array(s[k.rec].view(np.int64)) for s in sig)],
-                ["block", "meta", "id", "side", *SIGNS],
-            )
-
-    out = rows.mapInArrow(emit, ENTRY)
-    if hot.isEmpty():
-        return out
-    sizes = rows.mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
-    large = materialize(sizes.where(F.col("n") > TILE), "large")
-    return out if large.isEmpty() else tiled(out, large)
-
+    def emitted(more: int = 0, wide_only: bool = False) -> DataFrame:
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                b, v, c, n = ordered(b)
+                if not len(n):
+                    continue
+                k, sig = rule.keys(v, c, n, more), signatures(v, n)
+                rec, key = (k.rec[k.wide], k.key[k.wide]) if wide_only else (k.rec, k.key)
+                ids, side = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array((n[rec] * 4 + 2).astype(np.int32)), pa.array(ids[rec]), pa.array(side[rec].astype(np.int8)), *(pa.array(s[rec].view(np.int64)) for s in sig)],
+                    ["block", "meta", "id", "side", *SIGNS],
+                )
+
+        return rows.mapInArrow(emit, ENTRY)
 
-def tiled(entered: DataFrame, large: DataFrame) -> DataFrame:
+    if hot.isEmpty():
+        return emitted()
+    large = larger(rows.mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")), rule.tile)
+    if large.isEmpty():
+        return emitted()
+    if not isinstance(rule, Minima):
+        return tiled(emitted(), large, rule.tile)
+    # of two shared hashes one is not large and is a key, or both are and the two of them are one
+    rest = emitted(1).join(large, "block", "left_anti")
+    own = emitted(1, True).join(large, "block", "left_semi").groupBy("id", "side", "meta", *SIGNS).agg(F.sort_array(F.collect_set("block")).alias("h"))
+    pairs = F.flatten(F.transform("h", lambda x, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda y: F.xxhash64(x, y))))
+    paired = materialize(own.select(F.explode(pairs).alias("block"), "meta", "id", "side", *SIGNS), "paired")
+    still = larger(paired.groupBy("block").agg(F.count("*").alias("n")), rule.tile)
+    return rest.select(*paired.columns).unionByName(paired if still.isEmpty() else tiled(paired, still, rule.tile))
+
+
+def larger(sizes: DataFrame, tile: int) -> DataFrame:
+    return materialize(sizes.where(F.col("n") > tile), "large")
+
+
+def tiled(entered: DataFrame, large: DataFrame, tile: int) -> DataFrame:
     """Entries of blocks in large(block, n) as entries of pairs of tiles. A pair of records meets in the one
     block of their two tiles; within a pair of different tiles only records of different tiles are compared."""
-    e = entered.join(large, "block", "left").withColumn("g", F.ceil(F.coalesce("n", F.lit(0)) / F.lit(TILE)))
+    e = entered.join(large, "block", "left").withColumn("g", F.ceil(F.coalesce("n", F.lit(0)) / F.lit(tile)))
     e = e.withColumn("own", F.when(F.col("g") > 1, F.pmod(F.xxhash64("id", F.lit(1)), "g"))).withColumn("other", F.explode_outer(F.when(F.col("g") > 1, F.sequence(F.lit(0).cast("long"), F.col("g") - 1))))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     role = F.when(F.col("own").isNull() | (lo == hi), 2).otherwise((F.col("own") == hi).cast("int"))

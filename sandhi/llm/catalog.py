@@ -74,6 +74,10 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.assign(table(spark, sf_dir, "utterances"))
 
 
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.shares(table(spark, sf_dir, "utterances"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 

@@ -13,6 +13,8 @@ table gives no rows. Only the named columns are read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from sandhi.runtime import materialize
 
 RESOLUTION = 1 << 20  # bits of a subset-sum bitset; totals are counted in units of share / RESOLUTION records
 RANK_ROWS = 5_000  # components ranked in one task
+SHARES = (("test", 0.1), ("dev", 0.1))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -84,8 +87,11 @@ def spread(utterances: DataFrame) -> DataFrame:
 
 
 def closest(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
-    """How many components of each size to take so that the total is closest to target (at most, where
-    sizes exceed the resolution). sizes: (size, how many)."""
+    """How many components of each size to take so that the total is closest to target (to within rounding
+    of the sizes, where the target exceeds the resolution). sizes: (size, how many).
+
+    The bitset of reachable totals is kept at every STRIDE-th part only and worked out again between those
+    while the choice is traced back, so memory grows with the square root of the number of parts."""
     unit = max(1, -(-target // RESOLUTION))
     goal = target // unit
     mask = (1 << (2 * goal + 2)) - 1
@@ -96,22 +102,35 @@ def closest(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
             take = min(k, m)
             parts.append((size, take, max(1, round(size * take / unit))))
             m, k = m - take, k * 2
-    reach, before = 1, []
-    for _, _, w in parts:
-        before.append(reach)
-        if w <= 2 * goal + 1:
-            reach |= (reach << w) & mask
-    best = min((d for d in range(goal + 1) if (reach >> (goal - d)) & 1 or (reach >> (goal + d)) & 1), default=0)
-    at = goal - best if (reach >> (goal - best)) & 1 else goal + best
+    stride = max(1, math.isqrt(len(parts)))
+
+    def grown(reach: int, w: int) -> int:
+        return reach | (reach << w) & mask if w <= 2 * goal + 1 else reach
+
+    reach, kept = 1, []
+    for i, (_, _, w) in enumerate(parts):
+        if i % stride == 0:
+            kept.append(reach)
+        reach = grown(reach, w)
+    below = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1  # 0 is always reachable
+    over = reach >> goal
+    above = goal + (over & -over).bit_length() - 1 if over else below
+    at = below if goal - below <= above - goal or not over else above
     chosen: dict[int, int] = {}
-    for (size, take, w), was in zip(reversed(parts), reversed(before)):
-        if not (was >> at) & 1:
-            at -= w
-            chosen[size] = chosen.get(size, 0) + take
+    for block in range(len(kept) - 1, -1, -1):
+        lo, hi = block * stride, min(len(parts), (block + 1) * stride)
+        was = [kept[block]]
+        for _, _, w in parts[lo : hi - 1]:
+            was.append(grown(was[-1], w))
+        for i in range(hi - 1, lo - 1, -1):
+            size, take, w = parts[i]
+            if not (was[i - lo] >> at) & 1:
+                at -= w
+                chosen[size] = chosen.get(size, 0) + take
     return chosen
 
 
-def assign(utterances: DataFrame, shares: tuple[tuple[str, float], ...] = (("test", 0.1), ("dev", 0.1)), rest: str = "train") -> DataFrame:
+def assign(utterances: DataFrame, wanted: tuple[tuple[str, float], ...] = SHARES, rest: str = "train") -> DataFrame:
     """(utt_id, root, new_split): whole components to splits, totals as close to the shares as sizes allow."""
     once = roots(tied(utterances).drop("split").distinct())
     u = materialize(once.select("utt_id", "root"), "rooted")
@@ -120,7 +139,7 @@ def assign(utterances: DataFrame, shares: tuple[tuple[str, float], ...] = (("tes
     hist = {r["size"]: r["m"] for r in comp.groupBy("size").agg(F.count("*").alias("m")).collect()}
     total = sum(s * m for s, m in hist.items())
     plan, left = [], dict(hist)
-    for name, share in shares:
+    for name, share in wanted:
         got = closest([(s, m) for s, m in left.items() if m], round(share * total))
         plan.append((name, got))
         left = {s: m - got.get(s, 0) for s, m in left.items()}
@@ -136,6 +155,17 @@ def assign(utterances: DataFrame, shares: tuple[tuple[str, float], ...] = (("tes
     return u.join(split, "root").select("utt_id", "root", "new_split")
 
 
+def shares(utterances: DataFrame, wanted: tuple[tuple[str, float], ...] = SHARES, rest: str = "train") -> DataFrame:
+    """(split, records, components, wanted, share): what each split was to have, and what it has."""
+    got = materialize(assign(utterances, wanted, rest), "assigned")
+    n = got.groupBy(F.col("new_split").alias("split")).agg(F.count("*").alias("records"), F.countDistinct("root").alias("components"))
+    total = n.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"]
+    named = [*wanted, (rest, 1 - sum(x for _, x in wanted))]
+    goal = utterances.sparkSession.createDataFrame(named, "split string, wanted double")
+    out = goal.join(n, "split", "left").fillna(0, ["records", "components"])
+    return out.select("split", "records", "components", "wanted", (F.col("records") / F.lit(float(max(total, 1)))).alias("share"))
+
+
 def rank_in_size(comp: DataFrame) -> DataFrame:
     """0, 1, ... among the components of equal size, in hash order. Most components may have one size:
     ranks are counted in buckets of the hash, offset by the counts of the buckets before."""

@@ -83,10 +83,11 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequencies(df: DataFrame, key: str, text: str, terms: Column | None = None) -> DataFrame:
     """(term, occurrences, records) of every term; the row with a null term counts the records.
     terms: the array of terms of a record, if not those of the text."""
-    kinds = dict(df.dtypes)
     once = df.select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
     marked = F.concat(F.array(F.lit(None).cast("string")), term_array(F.col("text")) if terms is None else terms)
-    pairs = once.select(F.explode_outer(marked).alias("term"), F.xxhash64("key").alias("record") if kinds[key] != "bigint" else F.col("key").alias("record"))
+    # records are told apart inside a task only, where numbers cannot collide as hashes of keys may
+    numbered = once.withColumn("record", F.monotonically_increasing_id())
+    pairs = numbered.select(F.explode_outer(marked).alias("term"), "record")
     runs = materialize(pairs.sortWithinPartitions("term", "record").mapInArrow(scan_pairs, RUN), "runs")
     return runs.repartitionByRange("term").sortWithinPartitions("term").mapInArrow(merge_runs, RUN)
 

@@ -199,11 +199,32 @@ def test_terms(spark):
 def test_flight_keeps_sums():
     r = np.random.default_rng(1)
     size, p = r.uniform(1, 9, 400), np.full(400, 0.3)
-    out = balance.flight(p, size, r)
+    out = balance.flight(p, size, r.random(400))
     still = (out > 1e-9) & (out < 1 - 1e-9)
     assert still.sum() <= 2 and abs((out * size).sum() - (p * size).sum()) < 1e-4 and abs(out.sum() - p.sum()) < 1e-6
 
 
+def test_sample_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(balance, "BUCKET", 50)
+    r = random.Random(8)
+    rows = [(f"u{i}", "t", round(r.uniform(0.5, 9), 3), f"s{i % 3}", None, "mucs", "train") for i in range(1500)]
+    t = spark.createDataFrame([("s0", 0.5, 1.0), ("s1", 0.3, 1.0)], "speaker string, target_share double, min_seconds double")
+    got = []
+    for k in (1, 7):
+        sample, report = balance.speaker_sample(utts(spark, rows).repartition(k), t)
+        got.append(({x["utt_id"] for x in sample.collect()}, report.orderBy("speaker").collect()))
+    assert got[0] == got[1] and all(x["met"] and x["residual"] < 9 for x in got[0][1])
+    assert abs(len(got[0][0]) - sum(x["wanted"] for x in got[0][1]) / 4.75) < 30
+
+
+def test_short_speakers_come_from_the_sample(spark, monkeypatch):
+    rows = [(f"u{i}", "t", 5.0, "a", None, "mucs", "train") for i in range(300)]
+    t = spark.createDataFrame([("a", 1.0, 10.0)], "speaker string, target_share double, min_seconds double")
+    assert balance.short_speakers(utts(spark, rows), t).count() == 0
+    monkeypatch.setattr(balance, "fly", lambda pdfs: (p.iloc[:0] for p in pdfs))
+    assert balance.short_speakers(utts(spark, rows), t).count() == 1
+
+
 def test_sample_report(spark):
     rows = [(f"u{i}", "t", 5.0, "A " if i % 2 else "a", None, "mucs", "train") for i in range(300)] + [(f"v{i}", "t", 4.0, "b", None, "mucs", "train") for i in range(50)]
     rows += [("x1", "t", None, "a", None, "mucs", "train"), ("x2", "t", 99.0, "a", None, "mucs", "train"), ("x3", "t", 3.0, None, None, "mucs", "train"), ("x4", "t", 1.0, "c", None, "mucs", "train")]
@@ -257,6 +278,27 @@ def test_closest():
         got = components.closest(sizes, target)
         assert sum(s * n for s, n in got.items()) == target and all(n <= dict(sizes)[s] for s, n in got.items())
     assert components.closest([(10, 3)], 14) in ({10: 1}, {10: 2})
+    assert components.closest([(10, 1)], 1) == {} and components.closest([(10, 1)], 9) == {10: 1} and components.closest([], 5) == {}
+
+
+def test_closest_of_many():
+    import time
+
+    r = random.Random(6)
+    few = [(r.randrange(1, 40), r.randrange(1, 5)) for _ in range(12)]
+    few = list(dict(few).items())
+    reach = {0}
+    for size, m in few:
+        reach |= {x + size * k for x in reach for k in range(m + 1)}
+    for target in range(0, 300, 7):
+        got = components.closest(few, target)
+        total = sum(s * n for s, n in got.items())
+        assert total in reach and abs(total - target) == min(abs(x - target) for x in reach) and all(n <= dict(few)[s] for s, n in got.items())
+    t = time.perf_counter()
+    many = [(s, 1 + 10**9 // (s * s * 12)) for s in range(1, 12_000)]
+    total = sum(s * n for s, n in many)
+    got = components.closest(many, total // 10)
+    assert abs(sum(s * n for s, n in got.items()) - total // 10) < total * 1e-5 and time.perf_counter() - t < 60
 
 
 def test_lookalikes(spark):
@@ -275,7 +317,30 @@ def test_trie():
     for w, n in (("file", 5), ("fire", 2), ("café", 1)):
         t.add(w, n)
     assert t.find("fіle") == "file" and t.find("f​ile") == "file" and t.find("café") == "café"
-    assert t.find("fixe") is None and t.find("fixe", 1) == "file" and t.find("fie", 1) == "file"
+    assert t.find("fixe") is None and t.find("ﬁle") == "file" and t.find("𝐟𝐢𝐥𝐞") == "file"
+    t.add("lt", 9)
+    assert t.find("fiӀe") == "file" and t.find("Іt") == "lt"
+    t.add("It", 1)
+    assert t.find("Іt") == "It"
+
+
+def test_spelling_keeps_the_script():
+    assert lookalike.spell("Буквa") == lookalike.spell("Буква") == "Буква"
+    assert lookalike.spell("оса") == "oca" and lookalike.spell("Ⅷ") == "VIII" and lookalike.spell("ﾊﾟ") == "パ"
+    for a in ("ﬁle", "𝖋ile", "ꓝꓲLE", "ᎪᏴᏟ", "ɡo"):
+        assert lookalike.spell(a).isascii()
+
+
+def test_tries_decide(spark, monkeypatch):
+    # a capital palochka looks like I and like l: only the vocabulary tells
+    u = utts(spark, [(f"u{i:02}", t, 1.0, None, None, "mucs", "train") for i, t in enumerate(["open the file", "open the fiӀe", "It is", "Ӏt is"])])
+    want = {("u00", "u01"), ("u02", "u03")}
+    for group in (20_000, 1):
+        monkeypatch.setattr(lookalike, "GROUP", group)
+        assert {(r["key_a"], r["key_b"]) for r in lookalike.found(u, switches(spark, [])).collect()} == want
+    by_table = F.udf(lookalike.spell)
+    monkeypatch.setattr(lookalike, "spellings", lambda v, odd: odd.distinct().withColumn("canon", by_table("token")))
+    assert {(r["key_a"], r["key_b"]) for r in lookalike.found(u, switches(spark, [])).collect()} != want
 
 
 def test_leaks(spark):
@@ -321,6 +386,32 @@ def test_mix(spark):
     assert sorted(x["source"] for x in mixing.short_sources(d, t).collect()) == ["b", "c"]
 
 
+def test_mix_follows_the_curriculum(spark, monkeypatch):
+    docs = [(i, "word " * (1 + i % 9), "ab"[i % 2]) for i in range(3000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    t = spark.createDataFrame([("a", 0.5, 3), ("b", 0.3, 3)], "source string, target_share double, max_repeats int")
+    sized = mixing.token_counts(d, "doc_id", "text", "source")
+    demand = mixing.demands(sized, t)
+    for curriculum in ({}, {"a": (2.0, 0.0)}, {"a": (0.0, 1.0, 0.0), "b": (1.0, 3.0)}):
+        rows = mixing.mix(sized, demand, curriculum).orderBy("position").collect()
+        total = sum(r["tokens"] for r in rows)
+        # a position is the share of the mix that comes before it
+        before = 0
+        for r in rows:
+            assert abs(r["position"] - before / total) < 0.02
+            before += r["tokens"]
+        early = [sum(r["tokens"] for r in rows if r["source"] == "a" and lo <= r["position"] < lo + 0.25) / sum(r["tokens"] for r in rows if lo <= r["position"] < lo + 0.25) for lo in (0.0, 0.25, 0.5, 0.75)]
+        if not curriculum:
+            assert all(abs(x - 5 / 8) < 0.04 for x in early)
+        elif len(curriculum) == 1:
+            assert early[0] > 0.7 and early[3] < 0.5
+        else:
+            assert early[0] < early[1] and early[2] > early[3]
+    # without the mix nothing is reached
+    monkeypatch.setattr(mixing, "mix", lambda s, d, c=None: s.select(F.lit(0.0).alias("position"), "doc", "source", F.lit(0).alias("pass"), "tokens").limit(0))
+    assert mixing.short_sources(d, t).count() == 2
+
+
 def model():
     words = np.zeros(2 << mojibake.WORD_BITS, dtype=np.uint32)
     import xxhash
