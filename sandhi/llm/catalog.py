@@ -86,6 +86,14 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
 

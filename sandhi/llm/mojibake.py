@@ -3,46 +3,56 @@
 A wrongly read stretch is turned back into the bytes it came from, once for each encoding it may have been
 read in; a character that stands for a lost byte becomes a wildcard. The bytes form a lattice: each unit is
 a UTF-8 sequence, or all sequences that a wildcard leaves open. A stretch counts as garbled where its units
-decode to characters that belong in these texts (Devanagari, the western alphabets' letters and signs).
-The encoding that explains most units is undone, again and again, so text read wrongly twice comes back
-too. Lost bytes are restored by following all readings that are prefixes of corpus words (a filter of bits
-that misses no word), ranked by character pairs of the corpus and by how often the words occur there, and
-where no word fits by a Viterbi search under the character pairs. Pairs and word
-counts are taken over all documents; what is sent to the tasks has a fixed size (a table of pairs of
-Devanagari characters, a counting sketch of words).
+decode to characters that belong in these texts, and where the decoded text, under the pairs of characters
+of the corpus, is not far less likely than the text as read (``Model.speaks_for``). The encoding that
+explains most units is undone, again and again until nothing changes, so text read wrongly several times
+comes back too.
+
+Lost bytes are restored word by word. A word with open places is a pattern; the distinct patterns are joined
+with the exact counts of all words of the corpus by length and known characters, and every word that fits is
+ranked by its count and its pairs of characters. Where no word fits, a Viterbi search under the pairs
+chooses. What is sent to the tasks is the table of pairs, which has a fixed size.
+
+Damage that leaves plain ASCII (entities, quoted-printable, rows of question marks) is another kind of loss
+and not looked for: a text needs at least one character beyond ASCII and Devanagari.
 
 Null and empty texts are clean; equal documents are each reported; equally likely restorations go to the
 first in code point order; lost bytes with no known word are the likeliest by character pairs (in Latin
-words left as they are) and the row marked incomplete;
-an empty table gives no rows. Only the named columns are read.
+words left as they are) and the row marked incomplete, as is one that still looks garbled; an empty table
+gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import sys
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sandhi.llm.common import lists, mix, term_hashes
+from sandhi.llm.common import term_array
+from sandhi.runtime import materialize
 
 LOST = "�"
+HOLE = "\U0010ffff"  # a place left open; no character of any text
 SINGLE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp866", "koi8_r", "cp1250")
+#: encodings whose high half is mostly letters of one other script, so clean words of it look like units of two
+#: bytes; they are tried for Devanagari only
+LETTERED = ("iso8859_5", "iso8859_7", "cp1253")
 WIDE = "gb18030"
 #: two-byte text turns UTF-8 into ideographs, kana, private characters, and now and then signs and letters
 WIDE_RUN = re.compile("[^\\x00-\\x7f\\u0900-\\u097f]+")
 IDEOGRAPH = re.compile("[\\u2e80-\\u9fff\\ue000-\\uf8ff\\ufe30-\\ufe4f\\uff00-\\uffef]")
 ODD_TEXT = "[^\\x00-\\x7f\\u0900-\\u097f]"
-ROUNDS = 6
-WORD_BITS = 20  # two rows of 2^20 counters, 8 MB to send at any input size
-PREFIX_BITS = 26  # bits that prefixes of words set, 8 MB to send at any input size
+#: log odds that a well-formed sequence of bytes gives for garbling, by kind of encoding
+FORMED, FORMED_LETTERED = 12.0, -2.0
+KEYED = 4  # known characters of a pattern by which it is joined with words
 
 HIGH = "".join(bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0x100))
 PLAUSIBLE = {chr(c) for c in range(0x900, 0x980)} | {chr(c) for c in range(0x80, 0x100)} | set(HIGH) | {"‌", "‍", "₹", "‐", "‑", "‒", "―", "′", "″", "﻿"}
@@ -78,8 +88,8 @@ def _class(chars: list[str]) -> str:
 class Channel:
     """One single-byte encoding: the stretches that UTF-8 read in it leaves, and their bytes."""
 
-    def __init__(self, codec: str) -> None:
-        self.codec, self.of = codec, _bytes_of(codec)
+    def __init__(self, codec: str, odds: float = FORMED) -> None:
+        self.codec, self.of, self.odds = codec, _bytes_of(codec), odds
         pick = lambda lo, hi: _class([c for c, b in self.of.items() if lo <= b <= hi])
         k, two, three, four = pick(0x80, 0xBF), pick(0xC2, 0xDF), pick(0xE0, 0xEF), pick(0xF0, 0xF4)
         w = LOST + "?"
@@ -115,7 +125,7 @@ def meanings(data: list[int | None]) -> list[str]:
     return [c for s in seconds for t in thirds for c in meanings([0xE0, s, t]) if "ऀ" <= c < "ঀ"]
 
 
-CHANNELS = [Channel(c) for c in SINGLE]
+CHANNELS = [Channel(c) for c in SINGLE] + [Channel(c, FORMED_LETTERED) for c in LETTERED]
 
 
 #: what may follow a letter in clean text
@@ -226,9 +236,24 @@ def single(ch: Channel, text: str) -> tuple[int, list[tuple[int, int, list[list[
         if seq:
             out.append((begin, at, seq))
             n += len(seq)
+    # letters of one other script in ordinary words of it, and nothing else in the whole text to speak for the channel
+    if out and all(_ordinary(text, begin, end) for begin, end, _ in out):
+        return 0, []
     return n, out
 
 
+def _ordinary(text: str, begin: int, end: int) -> bool:
+    """The stretch lies in a word of letters of one script other than Latin, in usual capitals."""
+    if not text[begin:end].isalpha():
+        return False
+    while begin and text[begin - 1].isalpha():
+        begin -= 1
+    while end < len(text) and text[end].isalpha():
+        end += 1
+    word = text[begin:end]
+    return (word.islower() or word.isupper() or word.istitle()) and {_script(c) for c in word} in ({"CYRILLIC"}, {"GREEK"})
+
+
 def _kept(run: str, start: int, seq: list[list[str]], size: int) -> tuple[int, list[list[str]]]:
     """Where a run of two-byte text decodes up to byte ``size`` only: the end of the characters whose bytes
     are whole units, and those units."""
@@ -283,117 +308,64 @@ def wide(text: str) -> tuple[int, list[tuple[int, int, list[list[str]]]]]:
 PAIR = re.compile("[" + _class(sorted({c for ch in CHANNELS for c, b in ch.of.items() if b >= 0xC2})) + "][" + _class(sorted({c for ch in CHANNELS for c, b in ch.of.items() if b < 0xC0})) + LOST + "?]")
 
 
-def garbled(text: str) -> bool:
+def garbled(text: str, model: Model | None = None) -> bool:
     if LOST in text:
         return True
-    return bool(PAIR.search(text) and any(single(ch, text)[0] for ch in CHANNELS) or wide(text)[0])
+    if PAIR.search(text) and any(accepted(ch, text, model)[0] for ch in CHANNELS):
+        return True
+    return bool(IDEOGRAPH.search(text)) and bool(accepted(None, text, model)[0])
 
 
-def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two counters of a word's hash."""
-    shift = np.uint64(64 - WORD_BITS)
-    return (h >> shift).astype(np.int64), (mix(h + np.uint64(1)) >> shift).astype(np.int64) + (1 << WORD_BITS)
+def accepted(ch: Channel | None, text: str, model: Model | None) -> tuple[int, list[tuple[int, int, list[list[str]]]]]:
+    """The stretches of a channel (None: two-byte text) that the model does not speak against, and their units."""
+    n, found_ = wide(text) if ch is None else single(ch, text)
+    if model is None or not n:
+        return (n, found_) if model is not None or ch is None or ch.odds > 0 else (0, [])
+    odds = FORMED if ch is None else ch.odds
+    kept = [x for x in found_ if model.speaks_for(text, *x) > -odds and (odds > 0 or any("ऀ" <= u[0] < "ঀ" for u in x[2]))]
+    return sum(len(x[2]) for x in kept), kept
 
 
-def word_counts(rows: DataFrame, text: str) -> np.ndarray:
-    """Counting sketch of all words of all texts; a word's count is the lesser of its two counters."""
+def classes_of(points: np.ndarray) -> np.ndarray:
+    """Code points to SIZE classes: Latin, Devanagari and general punctuation by themselves, others folded."""
+    c = points.astype(np.int64)
+    return np.where(c < 0x250, c, np.where((c >= 0x900) & (c < 0x980), c - 0x900 + 0x250, np.where((c >= 0x2000) & (c < 0x2070), c - 0x2000 + 0x2D0, 0x340 + c % 192)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 << WORD_BITS, dtype=np.int64)
-        for b in batches:
-            for s in slots(lists(b.column(0))[0].view(np.uint64)):
-                at, n = np.unique(s, return_counts=True)
-                total[at] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
-
-    hashed = rows.select(term_hashes(F.col(text)).alias("terms"))
-    got = hashed.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(2 << WORD_BITS, dtype=np.uint32)
-    out[got["slot"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**32 - 1)
-    return out
 
-
-def prefix_slots(text: str) -> tuple[int, int]:
-    """The two bits of a prefix."""
-    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 7)
-    return h >> (64 - PREFIX_BITS), h & ((1 << PREFIX_BITS) - 1)
-
-
-def prefix_bits(texts: Iterable[str]) -> np.ndarray:
-    """Bits set by all prefixes of the words beyond ASCII, and by the words with END."""
-    out, seen = np.zeros(1 << (PREFIX_BITS - 6), dtype=np.uint64), set()
-    for t in texts:
-        for part in set(t.lower().split()):
-            if part.isascii() or part in seen:
-                continue
-            if len(seen) > 200_000:
-                seen.clear()
-            seen.add(part)
-            for w in APART.split(part):
-                if w and not w.isascii():
-                    for p in (*(w[:k] for k in range(1, len(w) + 1)), w + END):
-                        for at in prefix_slots(p):
-                            out[at >> 6] |= np.uint64(1 << (at & 63))
-    return out
+SIZE = 1024
 
 
 class Model:
-    """Pairs of Devanagari characters and words of the corpus."""
-
-    def __init__(self, pairs: np.ndarray, words: np.ndarray, prefixes: np.ndarray | None = None) -> None:
-        p = pairs.reshape(129, 129).astype(np.float64) + 0.05
-        self.logp, self.words, self.prefixes = np.log(p / p.sum(axis=1, keepdims=True)).tolist(), words, prefixes
-        self.known: dict[str, int] = {}  # counts looked up so far, emptied when large
-        self.begun: dict[str, bool] = {}  # prefixes looked up so far, likewise
-
-    def count(self, word: str) -> int:
-        n = self.known.get(word)
-        if n is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            a, b = slots(np.array([xxhash.xxh64_intdigest(word.lower().encode(), 42)], dtype=np.uint64))
-            n = self.known[word] = int(min(self.words[a[0]], self.words[b[0]]))
-        return n
-
-    def begins(self, text: str) -> bool:
-        """False only if no word of the corpus begins so."""
-        if self.prefixes is None or not text:
-            return True
-        ok = self.begun.get(text)
-        if ok is None:
-            if len(self.begun) > 200_000:
-                self.begun.clear()
-            ok = self.begun[text] = all(int(self.prefixes[at >> 6]) >> (at & 63) & 1 for at in prefix_slots(text))
-        return ok
-
-    def holds(self, word: str) -> bool:
-        return self.count(word) > 0 and (word.isascii() or self.begins(word.lower() + END))
+    """Pairs of characters of the corpus: counts, SIZE x SIZE."""
+
+    def __init__(self, pairs: np.ndarray) -> None:
+        p = pairs.reshape(SIZE, SIZE).astype(np.float64)
+        each = p.sum(axis=0) + 0.01
+        each /= each.sum()
+        # unseen pairs fall back on the second character's own share
+        self.logp = np.log((p + 2 * each[None, :]) / (p.sum(axis=1, keepdims=True) + 2))
+        self.place: dict[str, int] = {}
+
+    def at(self, c: str) -> int:
+        k = self.place.get(c)
+        if k is None:
+            k = self.place[c] = int(classes_of(np.array([ord(c)]))[0])
+        return k
 
     def step(self, a: str, b: str) -> float:
-        i, j = ord(a or " ") - 0x900, ord(b) - 0x900
-        return self.logp[i if 0 <= i < 128 else 128][j if 0 <= j < 128 else 128]
-
-    def readings(self, seq: list[list[str]], left: str, right: str) -> list[tuple[float, str]]:
-        """(score, reading) of all readings that make words of the corpus: every path is followed as long as
-        some word begins like it, so none is lost."""
-        paths = [(0.0, "", left)]
-        for means in [*seq, *([c] for c in right)]:
-            grown = []
-            for score, done, word in paths:
-                for c in means:
-                    s, part = score + self.step((left + done)[-1:], c), word + c
-                    if WORD.match(c):
-                        if not word or self.holds(word):
-                            grown.append((s + (3 * math.log1p(self.count(word)) if word else 0.0), done + c, ""))
-                    elif part.isascii() or self.begins(part.lower()):
-                        grown.append((s, done + c, part))
-            paths = grown
-        n = len(seq)
-        return [(s + (3 * math.log1p(self.count(w)) if w else 0.0), done[:n]) for s, done, w in paths if not w or self.holds(w)]
+        return float(self.logp[self.at(a or " "), self.at(b or " ")])
+
+    def walk(self, text: str, before: str, after: str) -> float:
+        k = [self.at(before or " "), *map(self.at, text), self.at(after or " ")]
+        return float(self.logp[k[:-1], k[1:]].sum())
+
+    def speaks_for(self, text: str, begin: int, end: int, seq: list[list[str]]) -> float:
+        """Log likelihood of a stretch as decoded less that as read, between the characters beside it."""
+        before, after = text[begin - 1 : begin] if begin else " ", text[end : end + 1]
+        return self.walk(self.likeliest(seq, before), before, after) - self.walk(text[begin:end], before, after)
 
     def likeliest(self, seq: list[list[str]], left: str) -> str:
-        """The reading likeliest by pairs of characters; one state for each last character."""
+        """Viterbi: the reading likeliest by pairs of characters; one state for each last character."""
         states = {left[-1:]: (0.0, "")}
         for means in seq:
             grown: dict[str, tuple[float, str]] = {}
@@ -405,141 +377,198 @@ class Model:
             states = grown
         return min(states.values())[1]
 
-    def best(self, seq: list[list[str]], left: str, right: str) -> tuple[str, bool]:
-        """The likeliest reading of the units between what stands left and right in the same word. True if
-        nothing was open or the words chosen are known."""
-        out, ok, at = "", True, 0
-        ends = [i for i, x in enumerate(seq) if len(x) == 1 and WORD.match(x[0])] + [len(seq)]
-        for end in ends:  # word by word
-            part = seq[at:end]
-            before = left if not at else ""
-            if all(len(x) == 1 for x in part):
-                out += "".join(x[0] for x in part)
-            elif got := self.readings(part, before, right if end == len(seq) else ""):
-                out += min(got, key=lambda x: (-x[0], x[1]))[1]
-            else:
-                out, ok = out + self.likeliest(part, before), False
-            out += "".join(seq[end]) if end < len(seq) else ""
-            at = end + 1
-        return out, ok
-
-    def accent(self, word: str) -> tuple[str, bool]:
-        """A Latin word whose accented letters were lost."""
-        core = word.strip(TRIM)
-        begin = word.find(core)
-        letters = [c for c in LETTERS if c.islower() or word[:1].isupper()]
-        out, at = "", 0
-        for m in [*WORD.finditer(core), None]:
-            part = core[at : m.start() if m else len(core)]
-            if LOST in part:
-                got = self.readings([letters if c == LOST else [c] for c in part], "", "")
-                if not got:
-                    return word, False
-                part = min(got, key=lambda x: (-x[0], x[1]))[1]
-            out, at = out + part + (m.group() if m else ""), m.end() if m else 0
-        return word[:begin] + out + word[begin + len(core) :], True
-
-
-END = "\n"
+
 APART = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _spans(lambda c: c.isspace() or unicodedata.category(c)[0] in "PS")) + "]+")
-WORD = re.compile(r"[\s।॥.,;:!?\"'()‘’“”…<>/*#\[\]-]+")
-TRIM = ".,;:!?\"'()।॥‘’“”…"
+STOPS = "।॥"
 
 
-def restore(text: str, model: Model) -> tuple[str, str, bool]:
-    """(restored, encodings undone in order, complete)."""
-    done, codecs, complete = text, [], True
-    for _ in range(ROUNDS):
-        tries = [(*single(ch, done), ch.codec) for ch in CHANNELS]
-        tries.append((*wide(done), WIDE))
+def unravel(text: str, model: Model | None = None) -> tuple[str, list[str], list[str], bool]:
+    """(text decoded, with a HOLE for every place left open, what each hole may be, encodings undone in order,
+    whether nothing undecoded is left)."""
+    done, holes, codecs = text, [], []
+    while True:  # every round makes the text shorter
+        tries = [(*accepted(ch, done, model), ch.codec) for ch in CHANNELS]
+        tries.append((*accepted(None, done, model), WIDE))
         n, stretches, codec = max(tries, key=lambda x: x[0])
         if not n:
             break
         codecs.append(codec)
-        out, at = [], 0
-        for begin, end, seq in stretches:
+        out, at, before, grown = [], 0, iter(holes), []
+        for begin, end, seq in [*stretches, (len(done), len(done), [])]:
             out.append(done[at:begin])
-            left = WORD.split("".join(out[-2:])[-40:])[-1]
-            got, ok = model.best(seq, left, WORD.split(done[end : end + 40])[0])
-            complete &= ok
-            out.append(got)
+            grown.extend(next(before) for c in out[-1] if c == HOLE)
+            out.extend(x[0] if len(x) == 1 else HOLE for x in seq)
+            grown.extend("".join(x) for x in seq if len(x) > 1)
             at = end
-        done = "".join([*out, done[at:]])
-    for ch in CHANNELS:
-        if ch.codec in codecs:
-            complete &= not any(meanings([ch.of.get(c) for c in x.group()]) and x.group() != "???" for x in ch.left.finditer(done))
+        done, holes = "".join(out), grown
+    left = any(ch.codec in codecs and any(meanings([ch.of.get(c) for c in x.group()]) and x.group() != "???" for x in ch.left.finditer(done)) for ch in CHANNELS)
     if LOST in done:
-        words = re.split(r"(\s+)", done)
-        for i, w in enumerate(words):
-            if LOST in w:
-                words[i], ok = model.accent(w)
-                complete &= ok
-        done = "".join(words)
-    complete &= LOST not in done
-    return done, ",".join(codecs) or ("lost" if LOST in text else ""), complete
+        out, at, before, grown = [], 0, iter(holes), []
+        for m in re.finditer(r"\S+", done):
+            upper = m.group().lstrip(LOST)[:1].isupper()
+            out.append(done[at : m.start()])
+            for c in m.group():
+                if c == HOLE:
+                    grown.append(next(before))
+                elif c == LOST:
+                    grown.append(LOST + "".join(x for x in LETTERS if upper or x.islower()))
+                out.append(HOLE if c == LOST else c)
+            at = m.end()
+        done, holes = "".join([*out, done[at:]]), grown
+    return done, holes, codecs, not left
+
+
+def open_words(done: str, holes: list[str]) -> list[tuple[int, list[tuple[list[str], str]]]]:
+    """Of every word with holes: where it begins, and its patterns: what each place may be, and what follows.
+    A hole at the end may be a full stop; the word is without it then."""
+    out, before = [], iter(holes)
+    for m in re.finditer(r"\S+", APART.sub(lambda x: " " * len(x.group()), done)):
+        if HOLE not in m.group():
+            continue
+        sets = [next(before).replace(LOST, "") if c == HOLE else c for c in m.group()]
+        ways = [(sets, "")]
+        if len(sets) > 1 and m.group()[-1] == HOLE:
+            ways += [(sets[:-1], stop) for stop in STOPS if stop in sets[-1]]
+        out.append((m.start(), ways))
+    return out
+
+
+def pattern(sets: list[str]) -> tuple[str, int, str, str]:
+    """(what each place may be, number of places, the first known ones, the characters there), lower case."""
+    low = [x.lower() for x in sets]
+    known = [i for i, x in enumerate(low) if len(x) == 1][:KEYED]
+    return json.dumps(low, ensure_ascii=False), len(low), ",".join(map(str, known)), "".join(low[i] for i in known)
+
+
+def fits(p: str, word: str) -> bool:
+    sets = json.loads(p)
+    return len(word) == len(sets) and all(c in x for c, x in zip(word, sets))
+
+
+def rank(model: Model, word: str, n: int) -> float:
+    return 3 * math.log1p(n) + model.walk(word, " ", " ")
+
+
+def fill(done: str, holes: list[str], known: dict[str, tuple[str, float]], model: Model) -> tuple[str, bool]:
+    """(text without holes, whether all were filled by known words). known: pattern to its best word and rank."""
+    out, at, ok, before = [], 0, True, iter(holes)
+    for begin, ways in open_words(done, holes):
+        size = len(ways[0][0])
+        found_ = []
+        for sets, stop in ways:
+            if got := known.get(pattern(sets)[0]):
+                found_.append((-got[1] - (model.step(got[0][-1], stop) if stop else 0.0), got[0] + stop))
+        word = done[begin : begin + size]
+        mine = [next(before) if c == HOLE else c for c in word]
+        if found_:
+            best = min(found_)[1]
+            shout = word.replace(HOLE, "").isupper() and len(word.replace(HOLE, "")) > 1
+            text = "".join(b if c == HOLE else c for b, c in zip(best, word))
+            text = "".join(b.upper() if shout and c == HOLE and b.upper() in x else b for b, c, x in zip(text, word, mine))
+        elif any(x[:1] == LOST for x in mine):
+            text, ok = "".join(LOST if x[:1] == LOST else model.likeliest([list(x)], "") for x in mine), False
+        else:
+            text, ok = model.likeliest([list(x) for x in mine], done[max(0, begin - 1) : begin]), False
+        out += [done[at:begin], text]
+        at = begin + size
+    return "".join([*out, done[at:]]), ok
 
 
 def pair_counts(texts: DataFrame, col: str) -> np.ndarray:
-    """129 x 129 counts of adjacent characters: Devanagari by code point, all others as one."""
+    """SIZE x SIZE counts of adjacent characters of all texts, by class."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(129 * 129, dtype=np.int64)
+        total = np.zeros(SIZE * SIZE, dtype=np.int64)
         for b in batches:
-            c = np.frombuffer(" ".join(x for x in b.column(0).to_pylist() if x).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64) - 0x900
-            c = np.where((c >= 0) & (c < 128), c, 128)
-            total += np.bincount(c[:-1] * 129 + c[1:], minlength=len(total))
+            c = classes_of(np.frombuffer(" ".join(x for x in b.column(0).to_pylist() if x).encode("utf-32-le", "replace"), dtype=np.uint32))
+            if len(c) > 1:
+                at, n = np.unique(c[:-1] * SIZE + c[1:], return_counts=True)
+                total[at] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
     got = texts.select(col).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(129 * 129, dtype=np.int64)
+    out = np.zeros(SIZE * SIZE, dtype=np.int64)
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def prefixes(rows: DataFrame, text: str) -> np.ndarray:
-    """prefix_bits of all texts."""
+def best_words(patterns: DataFrame, texts: DataFrame, text: str, model) -> DataFrame:
+    """patterns(p, size, places, known) to (p, word, score): of all words of all texts that fit, the best.
+    model: a broadcast of the pair counts."""
+    words = texts.select(F.explode_outer(term_array(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("word is not null")
+    kinds = patterns.select("size", "places").distinct()
+    at = F.filter(F.split("places", ","), lambda x: x != "")
+    keyed = words.join(kinds, F.char_length("word") == F.col("size")).withColumn("known", F.array_join(F.transform(at, lambda i: F.substring(F.col("word"), i.cast("int") + 1, F.lit(1))), ""))
+    both = keyed.join(patterns, ["size", "places", "known"]).select("p", "word", "n")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = prefix_bits(x for b in batches for x in b.column(0).to_pylist() if x)
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].view(np.int64))], ["slot", "bits"])
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(model.value)
+        for b in batches:
+            rows = [(p, w, rank(m, w, n)) for p, w, n in zip(*(b.column(k).to_pylist() for k in range(3))) if fits(p, w)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["p", "word", "score"])
 
-    got = rows.select(text).mapInArrow(mark, "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(1 << (PREFIX_BITS - 6), dtype=np.uint64)
-    out[got["slot"].to_numpy()] = got["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    return out
+    ranked = both.mapInArrow(weigh, "p string, word string, score double")
+    best = ranked.groupBy("p").agg(F.min(F.struct((-F.col("score")).alias("score"), "word")).alias("b"))
+    return best.select("p", "b.word", (-F.col("b.score")).alias("score"))
 
 
 def decode(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, text, restored, encodings, complete) of every garbled document."""
     rows = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    model = (pair_counts(rows, "text"), word_counts(rows, "text"), prefixes(rows, "text"))
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    model = rows.sparkSession.sparkContext.broadcast(pair_counts(rows, "text"))
+    kind = dict(documents.dtypes)[key]
 
     def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*sent.value)
+        m = Model(model.value)
         for b in batches:
-            keep, got = [], []
+            keep, got, pats = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                if garbled(t):
+                if garbled(t, m):
                     keep.append(i)
-                    got.append(restore(t, m))
+                    got.append(unravel(t, m))
+                    ps = {pattern(sets) for _, ways in open_words(got[-1][0], got[-1][1]) for sets, _ in ways}
+                    pats.append([dict(zip(("p", "size", "places", "known"), p)) for p in sorted(ps)])
             yield pa.RecordBatch.from_arrays(
-                [*b.take(pa.array(keep, pa.int64())).columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.bool_())],
-                ["doc", "text", "restored", "encodings", "complete"],
+                [*b.take(pa.array(keep, pa.int64())).columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.list_(pa.string())), pa.array([",".join(x[2]) for x in got], pa.string()), pa.array([x[3] for x in got], pa.bool_()), pa.array(pats, PATTERNS)],
+                ["doc", "text", "done", "holes", "encodings", "whole", "patterns"],
             )
 
-    kind = dict(documents.dtypes)[key]
-    return rows.where(F.col("text").rlike(ODD_TEXT)).mapInArrow(undo, f"doc {kind}, text string, restored string, encodings string, complete boolean")
+    shape = f"doc {kind}, text string, done string, holes array<string>, encodings string, whole boolean, patterns array<struct<p: string, size: int, places: string, known: string>>"
+    undone = materialize(rows.where(F.col("text").rlike(ODD_TEXT)).mapInArrow(undo, shape).withColumn("row", F.monotonically_increasing_id()), "undone")
+    each = undone.select("row", F.explode("patterns").alias("p")).select("row", "p.*")
+    best = materialize(best_words(each.drop("row").distinct(), rows, "text", model), "words")
+    # the words of one document's holes
+    words = each.join(best, "p").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("p", F.struct("word", "score")))).alias("known"))
+    joined = undone.join(words, "row", "left").select("doc", "text", "done", "holes", "encodings", "whole", F.to_json("known").alias("known"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(model.value)
+        for b in batches:
+            out, complete, names = [], [], []
+            for t, done, holes, enc, whole, known in zip(*(b.column(k).to_pylist() for k in range(1, 7))):
+                words_ = {p: (w["word"], w["score"]) for p, w in json.loads(known or "{}").items()}
+                got, ok = fill(done, holes, words_, m)
+                out.append(got)
+                complete.append(ok and whole and not garbled(got, m))
+                names.append(enc or "lost")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(names, pa.string()), pa.array(complete, pa.bool_())], ["doc", "text", "restored", "encodings", "complete"])
+
+    return joined.mapInArrow(put, f"doc {kind}, text string, restored string, encodings string, complete boolean")
+
+
+PATTERNS = pa.list_(pa.struct([("p", pa.string()), ("size", pa.int32()), ("places", pa.string()), ("known", pa.string())]))
 
 
 def found(documents: DataFrame) -> DataFrame:
-    """p9_found. Nothing is restored for it, so the models of the corpus are not needed."""
+    """p9_found: documents with a stretch that the lattice decodes and the pairs of characters do not speak
+    against. Nothing is restored for it, so words are not counted."""
     kind = dict(documents.dtypes)["doc_id"]
+    model = documents.sparkSession.sparkContext.broadcast(pair_counts(documents, "text"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(model.value)
         for b in batches:
-            yield b.select(["doc_id"]).filter(pa.array([garbled(t) for t in b.column(1).to_pylist()], pa.bool_()))
+            yield b.select(["doc_id"]).filter(pa.array([garbled(t, m) for t in b.column(1).to_pylist()], pa.bool_()))
 
     return documents.select("doc_id", "text").where(F.col("text").rlike(ODD_TEXT)).mapInArrow(pick, f"doc_id {kind}").distinct()
