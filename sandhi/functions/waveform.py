@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,12 @@ def resample(sr: int, to: int = 16_000):
 
 def pad_labels(labels: Column, width: Column, fill: int = -100, most: int = 448) -> Column:
     return F.slice(F.concat(labels, F.array_repeat(F.lit(fill).cast("int"), F.greatest(width - F.size(labels), F.lit(0)))), 1, most)
+
+
+def collate(df: DataFrame, batch: str, labels: str, start: int, fill: int = -100, most: int = 448) -> DataFrame:
+    """df with its labels padded to the longest of their batch; the first of each is dropped where all of a
+    batch begin with the start token (the model puts it back), then at most ``most`` are kept."""
+    w = df.groupBy(batch).agg(F.max(F.size(labels)).alias("_width"), F.every(F.coalesce(F.get(labels, 0) == start, F.lit(False))).alias("_drop"))
+    padded = pad_labels(F.col(labels), F.col("_width"), fill, 2**31 - 1)
+    kept = F.when(F.col("_drop"), F.slice(padded, 2, F.greatest(F.col("_width") - 1, F.lit(0)))).otherwise(padded)
+    return df.join(w, batch).withColumn(labels, F.slice(kept, 1, most)).drop("_width", "_drop")

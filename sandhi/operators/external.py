@@ -24,7 +24,8 @@ def register(name: str):
 
 
 def build_backend(name: str, **options):
-    return builder(name)(**options)
+    """A registered backend; callers pass every backend the same options, and those it does not take are dropped."""
+    return builder(name)(**{k: v for k, v in options.items() if k not in UNUSED.get(name, ())})
 
 
 def builder(name: str) -> Callable:
@@ -33,17 +34,58 @@ def builder(name: str) -> Callable:
     return BACKENDS[name]
 
 
+#: options that a backend does not take
+UNUSED = {"transformers": ("filename",)}
+
+
 @register("echo")
 class Echo:
-    """Canned responses by prompt, else a prefix and the prompt itself."""
+    """Canned responses by prompt, else a prefix and the prompt itself; other options are ignored."""
 
-    def __init__(self, answers: dict[str, str] | None = None, prefix: str = "") -> None:
-        self.answers, self.prefix = answers or {}, prefix
+    def __init__(self, answers: dict[str, str] | None = None, prefix: str = "", **_: object) -> None:
+        self.model_id, self.answers, self.prefix = "echo", answers or {}, prefix
 
     def generate(self, prompts: list[str]) -> list[str]:
         return [self.answers.get(p, self.prefix + p) for p in prompts]
 
 
+class Generator:
+    """A text model of a library that may not be installed: ``load`` gives its text -> text function, once a task."""
+
+    def __init__(self, model_id: str, filename: str | None = None, load: Callable[..., Callable[[str], str]] | None = None, **options: object) -> None:
+        self.model_id, self.filename, self.options = model_id, filename, options
+        self._load, self._model = load or self.load, None
+
+    def load(self) -> Callable[[str], str]:
+        raise NotImplementedError
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        self._model = self._model or self._load()
+        return [self._model(p) for p in prompts]
+
+
+@register("transformers")
+class Transformers(Generator):
+    def load(self) -> Callable[[str], str]:
+        try:
+            from transformers import pipeline
+        except ImportError as e:
+            raise RuntimeError("the backend transformers needs that package") from e
+        pipe = pipeline("text-generation", model=self.model_id, **self.options)
+        return lambda p: pipe(p, return_full_text=False)[0]["generated_text"]
+
+
+@register("llamacpp")
+class LlamaCpp(Generator):
+    def load(self) -> Callable[[str], str]:
+        try:
+            from llama_cpp import Llama
+        except ImportError as e:
+            raise RuntimeError("the backend llamacpp needs the package llama_cpp") from e
+        model = Llama.from_pretrained(repo_id=self.model_id, filename=self.filename, **self.options)
+        return lambda p: model.create_chat_completion([{"role": "user", "content": p}])["choices"][0]["message"]["content"]
+
+
 def split_cache(requests: DataFrame, cache: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """(hits with response, misses); equal requests are asked once."""
     hits = requests.join(cache.select(key, "response"), key)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 def fallback(left: DataFrame, right: DataFrame, first: Column, second: Column, key: str, value: str) -> DataFrame:
     """left with right's value looked up by the first key and, failing that, by the second; right's key is
-    unique. One join: either key is tried, the first key's match is kept."""
-    tries = left.withColumn("_k", F.explode(F.array(F.struct(F.lit(0).alias("p"), first.alias("k")), F.struct(F.lit(1).alias("p"), second.alias("k")))))
-    hit = tries.join(right.select(F.col(key).alias("_key"), F.col(value).alias("_v")), F.col("_k.k") == F.col("_key"), "left")
-    cols = left.columns
-    return hit.groupBy(*cols).agg(F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("_k.p"))).alias(value))
+    unique, so every row of left, repeated ones included, comes out once."""
+    side = lambda k: right.select(F.col(key).alias(f"_key{k}"), F.col(value).alias(f"_value{k}"))
+    tried = left.select("*", first.alias("_first"), second.alias("_second"))
+    both = tried.join(side(1), F.col("_first") == F.col("_key1"), "left").join(side(2), F.col("_second") == F.col("_key2"), "left")
+    return both.select(*left.columns, F.coalesce("_value1", "_value2").alias(value))
 
 
 def subset(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sandhi.functions.scripts import all_bigrams, cs_bigrams, word_lang
+from sandhi.functions.scripts import all_bigrams, cs_bigrams, tag
 
 
 def edit_distance(r: Column, h: Column) -> Column:
@@ -20,19 +20,20 @@ def edit_distance(r: Column, h: Column) -> Column:
 
 
 def edit_distance_hybrid(r: Column, h: Column) -> Column:
-    """The same where Devanagari words count by code points: those stand for themselves, others become one
-    character each."""
-    other = lambda ws: F.filter(ws, lambda w: word_lang(w) != "hi")
+    """The same of tagged tokens (see scripts.tag) where Devanagari words count by code points: those stand for
+    themselves, others become one character each."""
+    other = lambda ws: F.transform(F.filter(ws, lambda w: w["lang"] != "hi"), lambda w: w["word"])
     both = F.array_distinct(F.concat(other(r), other(h)))
-    code = lambda ws: F.array_join(F.transform(ws, lambda w: F.when(word_lang(w) == "hi", w).otherwise(F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 65536), 8, "0")), "UTF-32"))), "")
+    code = lambda ws: F.array_join(F.transform(ws, lambda w: F.when(w["lang"] == "hi", w["word"]).otherwise(F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w["word"]) + 65536), 8, "0")), "UTF-32"))), "")
     return F.levenshtein(code(r), code(h))
 
 
 def mer(df: DataFrame, ref: Column, hyp: Column, hybrid: bool = False) -> DataFrame:
     """df with token arrays ref and hyp to one row: errors, units, mer (percent, 0 without references)."""
-    kept = df.select(ref.alias("r"), hyp.alias("h"))  # blank references have no units and are skipped below
+    mark = tag if hybrid else lambda ws: ws  # scripts are worked out once a token
+    kept = df.select(mark(ref).alias("r"), mark(hyp).alias("h"))  # blank references have no units and are skipped below
     errors = (edit_distance_hybrid if hybrid else edit_distance)(F.col("r"), F.col("h"))
-    units = F.aggregate(F.transform("r", lambda w: F.when(word_lang(w) == "hi", F.length(w)).otherwise(1)), F.lit(0), lambda a, x: a + x) if hybrid else F.size("r")
+    units = F.aggregate("r", F.lit(0), lambda a, w: a + F.when(w["lang"] == "hi", F.length(w["word"])).otherwise(1)) if hybrid else F.size("r")
     sums = kept.select(F.when(F.size("r") > 0, errors).alias("e"), units.alias("u")).agg(F.coalesce(F.sum("e"), F.lit(0)).cast("long").alias("errors"), F.coalesce(F.sum("u"), F.lit(0)).cast("long").alias("units"))
     return sums.withColumn("mer", F.when(F.col("units") > 0, 100.0 * F.col("errors") / F.col("units")).otherwise(0.0))
 
@@ -66,8 +67,35 @@ def cba(ref_pairs: DataFrame, hyp: DataFrame, mode: str = "adjacent") -> DataFra
         j = ref_pairs.join(a, ["g", "first"], "left").join(b, ["g", "second"], "left").withColumn("hit", F.least("n", F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))))
     else:
         raise ValueError(f"unknown mode {mode!r}; adjacent or lenient")
+    return rates(j)
+
+
+def rates(j: DataFrame) -> DataFrame:
+    """j(kind, n, hit) summed: matched and total of both directions, and the percentages."""
     s = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
     t = j.agg(s("HE", "hit").alias("he_matched"), s("HE", "n").alias("he_total"), s("EH", "hit").alias("eh_matched"), s("EH", "n").alias("eh_total"))
     rate = lambda m, n: F.when(n > 0, 100.0 * m / n).otherwise(0.0)
     c = F.col
     return t.select("*", rate(c("he_matched"), c("he_total")).alias("cba_he"), rate(c("eh_matched"), c("eh_total")).alias("cba_eh"), rate(c("he_matched") + c("eh_matched"), c("he_total") + c("eh_total")).alias("cba_total"))
+
+
+def cba_within(df: DataFrame, ref: Column, hyp: Column, mode: str = "adjacent") -> DataFrame:
+    """cba where every record is a group of its own: both multisets are compared inside the row, and nothing
+    but four sums is shuffled."""
+    if mode not in ("adjacent", "lenient"):
+        raise ValueError(f"unknown mode {mode!r}; adjacent or lenient")
+    rows = df.select(cs_bigrams(ref).alias("r"), (all_bigrams(hyp) if mode == "adjacent" else hyp).alias("h")).where(F.size("r") > 0)
+    times = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
+
+    def hit(p: Column) -> Column:
+        if mode == "adjacent":
+            return F.size(F.filter("h", lambda x: (x["first"] == p["first"]) & (x["second"] == p["second"])))
+        return F.least(times("h", p["first"]), times("h", p["second"]))
+
+    def total(kind: str, of) -> Column:
+        return F.aggregate(F.filter(F.array_distinct("r"), lambda p: p["kind"] == kind), F.lit(0), lambda a, p: a + of(p))
+
+    counts = [(kind, total(kind, lambda p: times("r", p)), total(kind, lambda p: F.least(times("r", p), hit(p)))) for kind in ("HE", "EH")]
+    sums = rows.agg(*(F.sum(x).alias(f"{kind}_{c}") for kind, n, m in counts for c, x in (("n", n), ("hit", m))))
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"{k}_n").alias("n"), F.col(f"{k}_hit").alias("hit")) for k in ("HE", "EH")))
+    return rates(sums.select(F.inline(each)))

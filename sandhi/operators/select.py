@@ -41,21 +41,51 @@ def ranked(df: DataFrame, order: Column, name: str = "rank") -> DataFrame:
     return running_before(df, order, F.lit(1), name)
 
 
+def rank_within(df: DataFrame, group: Column, order: Column, name: str = "rank") -> DataFrame:
+    """0, 1, ... inside each group in a seeded order (see seeded). A group may hold a third of all rows: ranks
+    are counted in the 4,096 ranges of the order, offset by the counts of the group's ranges before."""
+    d = df.withColumn("_g", group).withColumn("_o", order).withColumn("_r", F.substring("_o", 1, 3))
+    ranges = d.groupBy("_g", "_r").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    offset = ranges.select(F.col("_g").alias("_h"), F.col("_r").alias("_s"), F.coalesce(before, F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy("_g", "_r").orderBy("_o")) - 1
+    j = d.withColumn("_in", inside).join(offset, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_r") == F.col("_s")))
+    return j.withColumn(name, F.col("_off") + F.col("_in")).drop("_g", "_o", "_r", "_h", "_s", "_off", "_in")
+
+
 def round_robin(df: DataFrame, group: Column, key: Column, value: Column, target: float, seed: int = 1234) -> DataFrame:
     """First rows of all groups, then second ones, ..., until the target; groups and rows in seeded order.
-    Depths have one row each in the running sum, as many as the largest group has rows."""
+    The layer that crosses the target is found by sums of 4,096 layers first."""
     g = F.coalesce(group, F.lit(""))
-    depth = F.row_number().over(Window.partitionBy(g).orderBy(seeded(seed, key))) - 1
-    d = df.withColumn("_depth", depth)
+    d = rank_within(df, g, seeded(seed, key), "_depth")
     per = d.groupBy("_depth").agg(F.sum(F.coalesce(value, F.lit(0))).alias("_sum"))
-    above = per.withColumn("_above", F.coalesce(F.sum("_sum").over(Window.orderBy("_depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # whole layers below the target are taken as they are; only the layer that crosses it is ordered inside
-    last = above.where(F.col("_above") < target).orderBy(F.desc("_depth")).limit(1).select("_depth", "_above").collect()
+
+    def crossing(t: DataFrame, at: str, start: float) -> tuple[int, float] | None:
+        """The last of t's rows in the order of ``at`` before which the sum is below the target."""
+        above = t.withColumn("_above", F.lit(start) + F.coalesce(F.sum("_sum").over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        got = above.where(F.col("_above") < target).orderBy(F.desc(at)).limit(1).select(at, "_above").collect()
+        return (got[0][0], got[0][1]) if got else None
+
+    block = F.floor(F.col("_depth") / 4096)
+    outer = crossing(per.groupBy(block.alias("_block")).agg(F.sum("_sum").alias("_sum")), "_block", 0)
+    last = outer and crossing(per.where(block == outer[0]), "_depth", outer[1])
     if not last:
         return d.drop("_depth").limit(0)
-    whole = d.where(F.col("_depth") < last[0]["_depth"]).drop("_depth")
-    edge = d.where(F.col("_depth") == last[0]["_depth"]).drop("_depth")
-    return whole.unionByName(until(edge, seeded(seed, g), value, target - last[0]["_above"]))
+    # whole layers below the target are taken as they are; only the layer that crosses it is ordered inside
+    whole = d.where(F.col("_depth") < last[0]).drop("_depth")
+    edge = d.where(F.col("_depth") == last[0]).drop("_depth")
+    return whole.unionByName(until(edge, seeded(seed, g), value, target - last[1]))
+
+
+def until_in_order(df: DataFrame, part: Column, place: list[Column], value: Column, target: float) -> DataFrame:
+    """Rows of the parts (archives, recordings), in order of part and place, while the sum before them is below
+    the target: parts are summed first, so a task sees one part at a time. Null values count as 0."""
+    d = df.withColumn("_p", part).withColumn("_v", F.coalesce(value, F.lit(0)))
+    parts = d.groupBy("_p").agg(F.sum("_v").alias("_s"))  # one row a part
+    offset = parts.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    reached = offset.where(F.col("_off") < target)
+    inside = F.coalesce(F.sum("_v").over(Window.partitionBy("_p").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.join(reached, "_p").withColumn("_in", inside).where(F.col("_off") + F.col("_in") < target).drop("_p", "_v", "_off", "_in")
 
 
 def capped(df: DataFrame, key: Column, order: list[Column], cap: int) -> DataFrame:

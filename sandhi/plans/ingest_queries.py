@@ -40,10 +40,11 @@ def manifest_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy(*src.FIELDS).agg(n())
 
 
-@query("WITH u AS (SELECT utt_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM utterances), s AS (SELECT DISTINCT utt_id AS key, t AS value FROM u) SELECT key, max(value) AS value FROM s WHERE value <> '' GROUP BY key")
+@query("WITH u AS (SELECT utt_id, trim(trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' ' || epoch_us(arrived_at)) AS t, arrived_at FROM utterances WHERE text IS NOT NULL) SELECT utt_id AS key, arg_max(t, arrived_at) AS value FROM u GROUP BY key")
 def kv_parse(spark: SparkSession, d: str) -> DataFrame:
-    lines = utterances(spark, d).select(F.concat("utt_id", F.lit(" "), F.trim(F.regexp_replace("text", r"\s+", " "))).alias("value"), "arrived_at")
-    return src.key_values(lines, "value", F.col("arrived_at")).withColumn("value", F.col("value"))
+    """Each delivery is a line that ends in its time, so the last one of a key can be told from the others."""
+    lines = utterances(spark, d).select(F.concat("utt_id", F.lit(" "), F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit(" "), F.unix_micros("arrived_at")).alias("value"), "arrived_at")
+    return src.key_values(lines, "value", F.col("arrived_at"))
 
 
 SEG = "WITH s AS (SELECT DISTINCT utt_id, reco_id, start_s, end_s FROM segments)"
@@ -55,14 +56,16 @@ def segments_duration(spark: SparkSession, d: str) -> DataFrame:
     return src.segments(lines).select("utt_id", "reco_id", F.round((F.col("end_s") - F.col("start_s")) * 1000).cast("long").alias("ms"))
 
 
-@query("WITH s AS (SELECT DISTINCT utt_id FROM cs_bigrams) SELECT to_json(list(utt_id ORDER BY utt_id)) AS ids FROM s WHERE utt_id LIKE '%_0000'")
+@query("SELECT to_json(utt_id) AS id FROM (SELECT DISTINCT utt_id FROM cs_bigrams) ORDER BY utt_id")
 def id_list(spark: SparkSession, d: str) -> DataFrame:
-    return src.ids_json(table(spark, d, "cs_bigrams").where(F.col("utt_id").endswith("_0000")), "utt_id").select(F.col("ids"))
+    """The elements of the id array, all ids, range-sorted; src.write_id_array puts them in one file."""
+    ids = table(spark, d, "cs_bigrams").select("utt_id").distinct().orderBy("utt_id")
+    return ids.select(P.quoted(F.col("utt_id")).alias("id"))
 
 
 @query("SELECT to_json({'utt_id': utt_id}) AS line FROM (SELECT DISTINCT utt_id FROM cs_bigrams) ORDER BY utt_id")
 def id_lines(spark: SparkSession, d: str) -> DataFrame:
-    """All ids; id_list keeps to the recordings' first utterances, as its SQL does."""
+    """The same as JSON lines."""
     return src.id_lines(table(spark, d, "cs_bigrams"), "utt_id")
 
 
@@ -95,7 +98,7 @@ def merge_shards(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{SEG}, {R.UTT} SELECT utt_id, reco_id, CAST(round((end_s - start_s) * 1000) AS BIGINT) AS ms FROM utt LEFT JOIN s USING (utt_id) WHERE corpus = 'mucs'")
 def join_left_segments(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "segments").distinct().select("utt_id", "reco_id", F.round((F.col("end_s") - F.col("start_s")) * 1000).cast("long").alias("ms"))
-    return once(spark, d).where("corpus = 'mucs'").select("utt_id").join(s, "utt_id", "left")
+    return once(spark, d, "corpus").where("corpus = 'mucs'").select("utt_id").join(s, "utt_id", "left")
 
 
 @query(f"{SEG} SELECT utt_id, reco_id, path FROM s JOIN recordings USING (reco_id) WHERE path IS NOT NULL")
@@ -128,12 +131,12 @@ def join_with_miss_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {R.UTT} SELECT utt_id, corpus FROM utt WHERE utt_id IN (SELECT utt_id FROM cs_bigrams)")
 def semi_keep_ids(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, d).select("utt_id", "corpus").join(table(spark, d, "cs_bigrams").select("utt_id"), "utt_id", "left_semi")
+    return once(spark, d, "corpus").select("utt_id", "corpus").join(table(spark, d, "cs_bigrams").select("utt_id"), "utt_id", "left_semi")
 
 
 @query(f"WITH {R.UTT} SELECT utt_id, text FROM utt WHERE utt_id IN (SELECT utt_id FROM segments)")
 def semi_subset(spark: SparkSession, d: str) -> DataFrame:
-    return J.subset(once(spark, d).select("utt_id", "text"), table(spark, d, "segments"), "utt_id")
+    return J.subset(once(spark, d, "text").select("utt_id", "text"), table(spark, d, "segments"), "utt_id")
 
 
 REVALID = (
@@ -147,7 +150,7 @@ REVALID = (
 def join_left_revalidate(spark: SparkSession, d: str) -> DataFrame:
     """Sentences with a known bigram must hold it; those without one pass."""
     b = table(spark, d, "cs_bigrams").groupBy("utt_id").agg(F.min_by(F.struct("first", "second"), "bigram_id").alias("b"))
-    j = once(spark, d).where("corpus = 'synth'").select("utt_id", "text").join(b, "utt_id", "left")
+    j = once(spark, d, "corpus", "text").where("corpus = 'synth'").select("utt_id", "text").join(b, "utt_id", "left")
     m = F.col("b.first").isNotNull()
     return j.select("utt_id", m.alias("matched"), F.when(m, validated(F.col("text"), F.col("b.first"), F.col("b.second"))).otherwise(True).alias("kept"))
 
@@ -206,7 +209,7 @@ def merge_system_turn(spark: SparkSession, d: str) -> DataFrame:
     """System turns folded into the first other turn of a conversation (a recording's utterances stand in)."""
     from pyspark.sql import Window
 
-    t = mucs(once(spark, d)).select(F.col("rec").alias("conv"), F.col("idx").alias("turn"), F.col("text").alias("content"), F.when(F.col("idx") % 5 == 1, "system").otherwise("user").alias("role"), "utt_id")
+    t = mucs(once(spark, d, "corpus", "text")).select(F.col("rec").alias("conv"), F.col("idx").alias("turn"), F.col("text").alias("content"), F.when(F.col("idx") % 5 == 1, "system").otherwise("user").alias("role"), "utt_id")
     s = t.where("role = 'system'").groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "utt_id", "content"))).alias("x"))
     s = s.select("conv", F.array_join(F.transform("x", lambda v: v["content"]), "\n\n").alias("sys"))
     r = t.where("role != 'system'").withColumn("k", F.row_number().over(Window.partitionBy("conv").orderBy("turn", "utt_id")))
@@ -226,47 +229,56 @@ def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- arrays ----------------------------------------------------------------------------------------------
+# arrays are compared whole: every sample in millionths, joined
 LOUD = "SELECT vec_id, embedding AS x, list_filter(range(1, len(embedding) + 1), lambda i: abs(embedding[i]) > 0.1) AS loud FROM embeddings"
 
 
-@query(f"WITH l AS ({LOUD}) SELECT vec_id, CASE WHEN len(loud) = 0 THEN 0 ELSE least(len(x), list_max(loud) + 2) - greatest(1, list_min(loud) - 2) + 1 END AS kept, CASE WHEN len(loud) > 0 THEN x[greatest(1, list_min(loud) - 2)] END AS first FROM l")
+def samples(x: str) -> str:
+    return f"coalesce(array_to_string(list_transform({x}, lambda v: CAST(round(CAST(v AS DOUBLE) * 1000000) AS BIGINT)), ','), '')"
+
+
+def joined(x: Column) -> Column:
+    return F.array_join(F.transform(x, lambda v: F.round(v.cast("double") * 1_000_000).cast("long").cast("string")), ",")
+
+
+@query(f"WITH l AS ({LOUD}), t AS (SELECT vec_id, CASE WHEN len(loud) = 0 THEN [] ELSE x[greatest(1, list_min(loud) - 2) : least(len(x), list_max(loud) + 2)] END AS x FROM l) SELECT vec_id, {samples('x')} AS samples FROM t")
 def trim_silence(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "embeddings").select("vec_id", W.trim_silence(F.col("embedding"), 0.1, 2).alias("x"))
-    return t.select("vec_id", F.size("x").cast("long").alias("kept"), F.get("x", 0).alias("first"))
+    return table(spark, d, "embeddings").select("vec_id", joined(W.trim_silence(F.col("embedding"), 0.1, 2)).alias("samples"))
 
 
 @query(
     "WITH p AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), q AS (SELECT vec_id, x, list_max(list_transform(x, lambda v: abs(v))) AS peak FROM p) "
-    "SELECT vec_id, list_sum(list_transform(x, lambda v: CAST(trunc(least(32767.0, greatest(-32768.0, v / CASE WHEN peak > 1 THEN peak ELSE 1.0 END * 32767.0))) AS BIGINT)))::BIGINT AS total FROM q"
+    "SELECT vec_id, array_to_string(list_transform(x, lambda v: CAST(trunc(least(32767.0, greatest(-32768.0, v / CASE WHEN peak > 1 THEN peak ELSE 1.0 END * 32767.0))) AS BIGINT)), ',') AS samples FROM q"
 )
 def quantize_pcm16(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "embeddings").select("vec_id", W.quantize_pcm16(F.col("embedding")).alias("x"))
-    return q.select("vec_id", F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+    q = W.quantize_pcm16(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", F.array_join(q.cast("array<string>"), ",").alias("samples"))
 
 
-@query("SELECT vec_id, len(embedding[CAST(4 + vec_id % 5 AS INTEGER) + 1 : 20]) AS n, embedding[CAST(4 + vec_id % 5 AS INTEGER) + 1] AS first FROM embeddings")
+@query(f"SELECT vec_id, {samples('embedding[CAST(4 + vec_id % 5 AS INTEGER) + 1 : 20]')} AS samples FROM embeddings")
 def audio_cut_slice(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
     x = W.cut(F.col("embedding"), (4 + F.col("vec_id") % 5) / 16.0, F.lit(20 / 16.0), 16)
-    return e.select("vec_id", F.size(x).cast("long").alias("n"), F.get(x, 0).alias("first"))
+    return table(spark, d, "embeddings").select("vec_id", joined(x).alias("samples"))
 
 
-@query("WITH f AS (SELECT label, flatten(list(embedding ORDER BY vec_id)) AS x FROM embeddings GROUP BY label) SELECT label, len(x) AS n, x[1] AS first, x[-1] AS last FROM f")
+@query(f"WITH f AS (SELECT vec_id // 8 AS recording, flatten(list(embedding ORDER BY vec_id)) AS x FROM embeddings GROUP BY 1) SELECT recording, {samples('x')} AS samples FROM f")
 def concat_arrays(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
-    x = g.select("label", F.flatten(F.transform("x", lambda v: v["embedding"])).alias("x"))
-    return x.select("label", F.size("x").cast("long").alias("n"), F.get("x", 0).alias("first"), F.element_at("x", -1).alias("last"))
+    """Clips of a recording joined in order; eight clips make one, so no row grows with the table."""
+    g = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 8).alias("recording")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
+    return g.select("recording", joined(F.flatten(F.transform("x", lambda v: v["embedding"]))).alias("samples"))
 
 
 @query(
-    f"WITH {R.UTT}, l AS (SELECT utt_id, list_transform(string_split({R.collapse('text')}, ' '), lambda w: length(w)) AS ids, length(text) // 16 AS batch FROM utt), w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS width FROM l) "
-    "SELECT utt_id, batch, width, array_to_string(list_concat(ids, list_transform(range(0, width - len(ids)), lambda i: -100)), ',') AS labels FROM w"
+    f"WITH {R.UTT}, l AS (SELECT utt_id, length(text) // 16 AS batch, list_concat(CASE WHEN length(text) // 16 % 2 = 0 THEN [9] ELSE [] END, list_transform(string_split({R.collapse('text')}, ' '), lambda w: length(w))) AS ids FROM utt), "
+    "w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS width, bool_and(ids[1] = 9) OVER (PARTITION BY batch) AS all_start FROM l) "
+    "SELECT utt_id, batch, array_to_string(list_concat(ids, list_transform(range(0, width - len(ids)), lambda i: -100))[CASE WHEN all_start THEN 2 ELSE 1 END : CASE WHEN all_start THEN 449 ELSE 448 END], ',') AS labels FROM w"
 )
 def pad_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of like length; in every second one all rows begin with the start token, which is dropped."""
     from sandhi.functions.normalize import raw
 
-    ids = F.transform(F.split(raw(F.col("text")), " "), lambda w: F.char_length(w))
-    t = once(spark, d).select("utt_id", ids.alias("ids"), F.floor(F.char_length("text") / 16).alias("batch"))
-    w = t.groupBy("batch").agg(F.max(F.size("ids")).alias("width"))
-    p = t.join(w, "batch")
-    return p.select("utt_id", "batch", F.col("width").cast("long").alias("width"), F.array_join(W.pad_labels(F.col("ids"), F.col("width")).cast("array<string>"), ",").alias("labels"))
+    batch = F.floor(F.char_length("text") / 16)
+    begun = F.when(batch % 2 == 0, F.array(F.lit(9))).otherwise(F.array().cast("array<int>"))
+    ids = F.concat(begun, F.transform(F.split(raw(F.col("text")), " "), lambda w: F.char_length(w)))
+    t = once(spark, d, "text").select("utt_id", batch.alias("batch"), ids.alias("labels"))
+    return W.collate(t.where("labels is not null"), "batch", "labels", 9).select("utt_id", "batch", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))

@@ -151,4 +151,4 @@ def issues(sentence: Column) -> Column:
     """Names of what an audit would object to in a sentence."""
     ws = tokenize(punct(sentence))
     hi, en = F.exists(ws, lambda w: w.rlike(r"\p{IsDevanagari}")), F.exists(ws, lambda w: w.rlike("[A-Za-z]"))
-    return F.array_compact(F.array(F.when(sentence.rlike("(?i)" + P.LEAK), "label leak"), F.when(P.reasoning_leak(sentence), "reasoning"), F.when(~(hi & en), "one language"), F.when(F.char_length(sentence) > 400, "too long")))
+    return F.array_compact(F.array(F.when(P.label_leak(sentence), "label leak"), F.when(P.reasoning_leak(sentence), "reasoning"), F.when(~(hi & en), "one language"), F.when(F.char_length(sentence) > 400, "too long")))

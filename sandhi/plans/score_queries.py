@@ -39,7 +39,7 @@ dc AS (SELECT split, CAST(sum(CAST(round(coalesce(dur, 0) * 1000) AS BIGINT)) AS
 
 @query(CORPUS + "SELECT * FROM wc JOIN bc USING (split) JOIN dc USING (split)")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return corpus_totals(once(spark, d))
+    return corpus_totals(once(spark, d, "split", "text", "dur"))
 
 
 def corpus_totals(u: DataFrame) -> DataFrame:
@@ -67,18 +67,18 @@ def ms(c: str = "dur") -> Column:
 
 @query(f"WITH {R.ONCE}, {R.TAGGED}, {R.PAIRS} SELECT kind, first, second, count(*) AS n FROM cs GROUP BY ALL")
 def cs_bigram_multiset(spark: SparkSession, d: str) -> DataFrame:
-    return switches(once(spark, d)).groupBy("kind", "first", "second").agg(n())
+    return switches(once(spark, d, "text")).groupBy("kind", "first", "second").agg(n())
 
 
 @query(f"WITH {R.ONCE}, {R.TAGGED}, {R.PAIRS} SELECT kind, count(*) AS tokens, count(DISTINCT (first, second)) AS types FROM cs GROUP BY kind")
 def cs_token_type(spark: SparkSession, d: str) -> DataFrame:
-    b = switches(once(spark, d)).groupBy("kind", "first", "second").agg(n())
+    b = switches(once(spark, d, "text")).groupBy("kind", "first", "second").agg(n())
     return b.groupBy("kind").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"))
 
 
 @query(f"WITH {R.UTT} SELECT corpus, CAST(sum(CAST(round(coalesce(dur, 0) * 1000) AS BIGINT)) AS BIGINT) AS ms, CAST(sum(CAST(round(coalesce(dur, 0) * 1000) AS BIGINT)) AS BIGINT) / 3600000.0 AS hours FROM utt GROUP BY corpus")
 def total_hours(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, d).groupBy("corpus").agg(ms().alias("ms")).withColumn("hours", F.col("ms") / 3600000.0)
+    return once(spark, d, "corpus", "dur").groupBy("corpus").agg(ms().alias("ms")).withColumn("hours", F.col("ms") / 3600000.0)
 
 
 @query(
@@ -87,13 +87,13 @@ def total_hours(spark: SparkSession, d: str) -> DataFrame:
 )
 def script_mix(spark: SparkSession, d: str) -> DataFrame:
     s = lambda *k: F.coalesce(F.sum(F.when(F.col("lang").isin(*k), F.col("n"))), F.lit(0))
-    t = word_counts(once(spark, d), "corpus").groupBy("corpus").agg(s("hi").alias("hi"), s("en").alias("en"), s("hi", "en", "other").alias("three"), F.sum("n").alias("n"))
+    t = word_counts(once(spark, d, "corpus", "text"), "corpus").groupBy("corpus").agg(s("hi").alias("hi"), s("en").alias("en"), s("hi", "en", "other").alias("three"), F.sum("n").alias("n"))
     return t.select("corpus", "hi", "en", F.try_divide("hi", "three").alias("hi_share"), F.try_divide("en", "three").alias("en_share"), (F.col("en") / F.col("n")).alias("en_share_of_all"))
 
 
 @query(f"WITH {R.ONCE}, {R.TAGGED}, {R.PAIRS}, k AS (SELECT utt_id, count(*) AS k FROM cs GROUP BY utt_id) SELECT corpus, count(*) AS sentences, CAST(sum(coalesce(k, 0)) AS BIGINT) AS switches, sum(coalesce(k, 0)) / count(*) AS density FROM tagged LEFT JOIN k USING (utt_id) GROUP BY corpus")
 def switch_density(spark: SparkSession, d: str) -> DataFrame:
-    w = with_words(once(spark, d)).select("corpus", F.size(S.cs_bigrams(F.col("ws"))).alias("k"))
+    w = with_words(once(spark, d, "corpus", "text")).select("corpus", F.size(S.cs_bigrams(F.col("ws"))).alias("k"))
     return w.groupBy("corpus").agg(F.count("*").alias("sentences"), F.sum("k").alias("switches"), (F.sum("k") / F.count("*")).alias("density"))
 
 
@@ -101,7 +101,7 @@ def switch_density(spark: SparkSession, d: str) -> DataFrame:
 def matrix_split(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    m = with_words(once(spark, d)).select("corpus", S.matrix_lang(F.col("ws")).alias("matrix")).groupBy("corpus", "matrix").agg(n())
+    m = with_words(once(spark, d, "corpus", "text")).select("corpus", S.matrix_lang(F.col("ws")).alias("matrix")).groupBy("corpus", "matrix").agg(n())
     return m.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("corpus")))
 
 
@@ -110,7 +110,7 @@ from sandhi.plans.text_queries import RUNS  # noqa: E402
 
 @query(RUNS + ", c AS (SELECT r.*, u.corpus FROM r JOIN (SELECT utt_id, corpus FROM utt) u USING (utt_id)) SELECT corpus, lang, count(*) AS runs, CAST(sum(n) AS BIGINT) AS words, sum(n) / count(*) AS mean, 100.0 * count(*) FILTER (n = 1) / count(*) AS one_pct, 100.0 * count(*) FILTER (n >= 4) / count(*) AS four_pct FROM c GROUP BY corpus, lang")
 def run_length_profile(spark: SparkSession, d: str) -> DataFrame:
-    r = each(with_words(once(spark, d)), S.runs(F.col("ws")), "r", "corpus").select("corpus", "r.lang", "r.n")
+    r = each(with_words(once(spark, d, "corpus", "text")), S.runs(F.col("ws")), "r", "corpus").select("corpus", "r.lang", "r.n")
     k = F.count("*")
     return r.groupBy("corpus", "lang").agg(k.alias("runs"), F.sum("n").cast("long").alias("words"), (F.sum("n") / k).alias("mean"), (100.0 * F.count_if(F.col("n") == 1) / k).alias("one_pct"), (100.0 * F.count_if(F.col("n") >= 4) / k).alias("four_pct"))
 
@@ -123,7 +123,7 @@ def length_median(spark: SparkSession, d: str) -> DataFrame:
     """Upper median from the histogram of lengths, so no group is collected."""
     from pyspark.sql import Window
 
-    h = once(spark, d).select("corpus", F.size(S.words(norm.raw(F.col("text")))).cast("long").alias("k")).groupBy("corpus", "k").agg(n())
+    h = once(spark, d, "corpus", "text").select("corpus", F.size(S.words(norm.raw(F.col("text")))).cast("long").alias("k")).groupBy("corpus", "k").agg(n())
     w = Window.partitionBy("corpus")
     h = h.withColumn("upto", F.sum("n").over(w.orderBy("k"))).withColumn("m", F.sum("n").over(w))
     return h.groupBy("corpus").agg(F.min(F.when(F.col("upto") > F.floor(F.col("m") / 2), F.col("k"))).alias("median"), (F.sum(F.col("k") * F.col("n")) / F.first("m")).alias("mean"))
@@ -140,32 +140,32 @@ def english(df: DataFrame) -> DataFrame:
 
 @query(EN + " SELECT * FROM v")
 def en_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return english(once(spark, d))
+    return english(once(spark, d, "corpus", "text"))
 
 
 @query(EN + ", s AS (SELECT w, n FROM v WHERE corpus = 'synth'), m AS (SELECT w FROM v WHERE corpus = 'mucs') SELECT count(*) AS types, count(m.w) AS shared_types, CAST(sum(n) AS BIGINT) AS tokens, CAST(coalesce(sum(n) FILTER (m.w IS NOT NULL), 0) AS BIGINT) AS shared_tokens FROM s LEFT JOIN m USING (w)")
 def vocab_overlap(spark: SparkSession, d: str) -> DataFrame:
-    v = english(once(spark, d).where("corpus in ('synth', 'mucs')"))
+    v = english(once(spark, d, "corpus", "text").where("corpus in ('synth', 'mucs')"))
     p = v.groupBy("w").agg(F.sum(F.when(F.col("corpus") == "synth", F.col("n"))).alias("s"), F.sum(F.when(F.col("corpus") == "mucs", F.col("n"))).alias("m")).where("s is not null")
     return p.agg(F.count("*").alias("types"), F.count("m").alias("shared_types"), F.sum("s").alias("tokens"), F.coalesce(F.sum(F.when(F.col("m").isNotNull(), F.col("s"))), F.lit(0)).alias("shared_tokens"))
 
 
 @query(EN + " SELECT w FROM v WHERE corpus = 'synth' INTERSECT SELECT w FROM v WHERE corpus = 'mucs'")
 def vocab_intersect(spark: SparkSession, d: str) -> DataFrame:
-    v = english(once(spark, d))
+    v = english(once(spark, d, "corpus", "text"))
     return v.where("corpus = 'synth'").select("w").intersect(v.where("corpus = 'mucs'").select("w"))
 
 
 @query(EN + ", s AS (SELECT w, n FROM v WHERE corpus = 'synth' ORDER BY n DESC, w LIMIT 400) SELECT w, n FROM s WHERE w NOT IN (SELECT w FROM v WHERE corpus = 'mucs') ORDER BY n DESC, w LIMIT 10")
 def oov_topk(spark: SparkSession, d: str) -> DataFrame:
-    v = english(once(spark, d))
+    v = english(once(spark, d, "corpus", "text"))
     top = v.where("corpus = 'synth'").orderBy(F.desc("n"), "w").limit(400).select("w", "n")
     return top.join(v.where("corpus = 'mucs'").select("w"), "w", "left_anti").orderBy(F.desc("n"), "w").limit(10).select("w", "n")
 
 
 @query(EN + " SELECT w, CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY w ORDER BY n DESC, w LIMIT 25")
 def topk_words(spark: SparkSession, d: str) -> DataFrame:
-    return english(once(spark, d)).groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(25)
+    return english(once(spark, d, "corpus", "text")).groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(25)
 
 
 SWITCH = f"WITH {R.ONCE}, {R.TAGGED}, {R.PAIRS}, v AS (SELECT corpus, first, second, count(*) AS n FROM cs GROUP BY ALL)"
@@ -173,19 +173,25 @@ SWITCH = f"WITH {R.ONCE}, {R.TAGGED}, {R.PAIRS}, v AS (SELECT corpus, first, sec
 
 @query(SWITCH + ", s AS (SELECT * FROM v WHERE corpus = 'synth'), m AS (SELECT first, second FROM v WHERE corpus = 'mucs') SELECT count(*) AS types, count(m.first) AS shared_types, CAST(sum(n) AS BIGINT) AS tokens, CAST(coalesce(sum(n) FILTER (m.first IS NOT NULL), 0) AS BIGINT) AS shared_tokens FROM s LEFT JOIN m USING (first, second)")
 def switch_overlap(spark: SparkSession, d: str) -> DataFrame:
-    v = switches(once(spark, d).where("corpus in ('synth', 'mucs')"), "corpus").groupBy("first", "second").agg(F.count_if(F.col("corpus") == "synth").alias("s"), F.count_if(F.col("corpus") == "mucs").alias("m")).where("s > 0")
+    v = switches(once(spark, d, "corpus", "text").where("corpus in ('synth', 'mucs')"), "corpus").groupBy("first", "second").agg(F.count_if(F.col("corpus") == "synth").alias("s"), F.count_if(F.col("corpus") == "mucs").alias("m")).where("s > 0")
     return v.agg(F.count("*").alias("types"), F.count_if(F.col("m") > 0).alias("shared_types"), F.sum("s").alias("tokens"), F.coalesce(F.sum(F.when(F.col("m") > 0, F.col("s"))), F.lit(0)).alias("shared_tokens"))
 
 
 @query(f"WITH {R.UTT}, c AS (SELECT corpus, len({R.words(R.collapse('text'))}) AS k FROM utt) SELECT corpus, CAST(sum(k) AS BIGINT) AS words, sum(k) / 2.4 / 3600 AS hours FROM c GROUP BY corpus")
 def estimate_hours(spark: SparkSession, d: str) -> DataFrame:
-    c = once(spark, d).select("corpus", F.size(S.words(norm.raw(F.col("text")))).alias("k")).groupBy("corpus").agg(F.sum("k").alias("words"))
+    c = once(spark, d, "corpus", "text").select("corpus", F.size(S.words(norm.raw(F.col("text")))).alias("k")).groupBy("corpus").agg(F.sum("k").alias("words"))
     return c.withColumn("hours", F.col("words") / 2.4 / 3600)
 
 
+@query(f"WITH {R.UTT} SELECT corpus, 2000 * 16 / count(*) AS epochs FROM utt GROUP BY corpus")
+def epochs(spark: SparkSession, d: str) -> DataFrame:
+    """How often 2,000 steps of 16 rows go through a corpus."""
+    return once(spark, d, "corpus").groupBy("corpus").agg((F.lit(2000 * 16) / F.count("*")).alias("epochs"))
+
+
 # ---- scoring against a hypothesis --------------------------------------------------------------------
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    return with_words(once(spark, d)).withColumn("hw", corrupted(F.col("ws")))
+def scored(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return with_words(once(spark, d, "text", *cols)).withColumn("hw", corrupted(F.col("ws")))
 
 
 CODE = "list_aggregate(list_transform({x}, lambda v: chr(CAST(32 + list_position(list_distinct(list_concat(r, h)), v) AS INTEGER))), 'string_agg', '')"
@@ -226,14 +232,12 @@ REC = {"g": "string_split(utt_id, '_')[-2]", "w": "WHERE corpus = 'mucs'", "hw":
 
 @query(BASE + CBA.format(**ONE, j=ADJ))
 def cba_adjacent(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d)
-    return M.cba(M.reference_pairs(s, F.col("utt_id"), F.col("ws")), s.select(F.col("utt_id").alias("g"), F.col("hw").alias("ws")))
+    return M.cba_within(scored(spark, d), F.col("ws"), F.col("hw"))
 
 
 @query(BASE + CBA.format(**ONE, j=LEN))
 def cba_lenient(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d)
-    return M.cba(M.reference_pairs(s, F.col("utt_id"), F.col("ws")), s.select(F.col("utt_id").alias("g"), F.col("hw").alias("ws")), "lenient")
+    return M.cba_within(scored(spark, d), F.col("ws"), F.col("hw"), "lenient")
 
 
 def in_order(df: DataFrame, group: str, order: Column, value: str) -> DataFrame:
@@ -244,7 +248,7 @@ def in_order(df: DataFrame, group: str, order: Column, value: str) -> DataFrame:
 
 @query(BASE + CBA.format(**REC, j=ADJ))
 def cba_grouped(spark: SparkSession, d: str) -> DataFrame:
-    s = mucs(scored(spark, d))
+    s = mucs(scored(spark, d, "corpus"))
     return M.cba(M.reference_pairs(s, F.col("rec"), F.col("ws")), in_order(s, "rec", F.col("idx"), "hw"))
 
 
@@ -252,21 +256,21 @@ def cba_grouped(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {R.UTT} SELECT string_split(utt_id, '_')[-2] AS rec, string_agg(trim(text), ' ' ORDER BY CAST(string_split(utt_id, '_')[-1] AS INTEGER), utt_id) AS ref FROM utt WHERE corpus = 'mucs' AND trim(text) <> '' GROUP BY 1"
 )
 def concat_refs(spark: SparkSession, d: str) -> DataFrame:
-    u = mucs(once(spark, d)).withColumn("s", F.trim("text")).where("s != ''")
+    u = mucs(once(spark, d, "corpus", "text")).withColumn("s", F.trim("text")).where("s != ''")
     x = u.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("idx", "utt_id", "s"))).alias("x"))
     return x.select("rec", F.array_join(F.transform("x", lambda s: s["s"]), " ").alias("ref"))
 
 
 @query(f"WITH {R.UTT} SELECT string_split(utt_id, '_')[-2] AS rec, count(*) AS n_segments, CAST(sum(CAST(round(coalesce(dur, 0) * 1000) AS BIGINT)) AS BIGINT) AS ms FROM utt WHERE corpus = 'mucs' GROUP BY 1")
 def recording_summary(spark: SparkSession, d: str) -> DataFrame:
-    return mucs(once(spark, d)).groupBy("rec").agg(F.count("*").alias("n_segments"), ms().alias("ms"))
+    return mucs(once(spark, d, "corpus", "dur")).groupBy("rec").agg(F.count("*").alias("n_segments"), ms().alias("ms"))
 
 
 @query(
     f"WITH {R.ONCE}, h AS (SELECT utt_id, 'h ' || text AS hyp FROM utt WHERE split = 'test'), r AS (SELECT utt_id, text FROM utt WHERE split = 'test') SELECT utt_id, text, hyp FROM r JOIN h USING (utt_id)"
 )
 def refs_hyps_align(spark: SparkSession, d: str) -> DataFrame:
-    r = once(spark, d).where("split = 'test'").select("utt_id", "text")
+    r = once(spark, d, "split", "text").where("split = 'test'").select("utt_id", "text")
     return M.align(r, r.select("utt_id", F.concat(F.lit("h "), "text").alias("hyp")), "utt_id")
 
 
@@ -274,7 +278,7 @@ def refs_hyps_align(spark: SparkSession, d: str) -> DataFrame:
 def lang_histogram(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    k = with_words(once(spark, d)).select(F.coalesce(F.lower("lang"), F.lit("?")).alias("lang"), F.size("ws").alias("words")).groupBy("lang").agg(n(), F.sum("words").alias("words"))
+    k = with_words(once(spark, d, "lang", "text")).select(F.coalesce(F.lower("lang"), F.lit("?")).alias("lang"), F.size("ws").alias("words")).groupBy("lang").agg(n(), F.sum("words").alias("words"))
     return k.withColumn("share", F.col("words") / F.sum("words").over(Window.partitionBy(F.lit(1))))
 
 
@@ -289,7 +293,7 @@ _V = ", ".join(f"('{s}', '{m}', {w}, {'NULL' if t is None else t})" for s, m, w,
     "SELECT split, metric, got, want, abs(got - want) / want AS rel_err, CASE WHEN tol IS NULL THEN 'info' WHEN abs(got - want) / want <= tol THEN 'PASS' ELSE 'FAIL' END AS status FROM want JOIN got USING (split, metric)"
 )
 def tolerance_report(spark: SparkSession, d: str) -> DataFrame:
-    got = corpus_totals(once(spark, d)).unpivot(["split"], ["words_h", "words_e", "total", "he_cs", "eh_cs", "he_types", "eh_types"], "metric", "got")
+    got = corpus_totals(once(spark, d, "split", "text", "dur")).unpivot(["split"], ["words_h", "words_e", "total", "he_cs", "eh_cs", "he_types", "eh_types"], "metric", "got")
     want = spark.createDataFrame(WANT, "split string, metric string, want double, tol double")
     e = F.when(F.col("want") != 0, F.abs(F.col("got") - F.col("want")) / F.col("want")).otherwise(0.0)
     return got.join(want, ["split", "metric"]).select("split", "metric", "got", "want", e.alias("rel_err"), F.when(F.col("tol").isNull(), "info").when(e <= F.col("tol"), "PASS").otherwise("FAIL").alias("status"))
@@ -297,7 +301,7 @@ def tolerance_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query(CORPUS + "SELECT split, words_h > 0 AND words_e > 0 AS both_languages, words_mixed = 0 AS no_mixed, he_cs > 0 AND eh_cs > 0 AS switching FROM wc JOIN bc USING (split)")
 def integrity_invariants(spark: SparkSession, d: str) -> DataFrame:
-    c = corpus_totals(once(spark, d))
+    c = corpus_totals(once(spark, d, "split", "text", "dur"))
     return c.select("split", ((F.col("words_h") > 0) & (F.col("words_e") > 0)).alias("both_languages"), (F.col("words_mixed") == 0).alias("no_mixed"), ((F.col("he_cs") > 0) & (F.col("eh_cs") > 0)).alias("switching"))
 
 
@@ -306,7 +310,7 @@ def integrity_invariants(spark: SparkSession, d: str) -> DataFrame:
     f"x AS (SELECT count(*) AS kept FROM a WHERE ({R.lang('w')}) = 'hi'), y AS (SELECT count(*) AS shattered FROM b WHERE ({R.lang('w')}) = 'hi') SELECT kept, shattered, shattered / kept - 1 AS inflation, shattered / kept - 1 > 0.2 AS guards FROM x, y"
 )
 def mark_strip_inflation(spark: SparkSession, d: str) -> DataFrame:
-    u = once(spark, d)
+    u = once(spark, d, "text")
     hi = lambda t: F.size(F.filter(S.tokenize(t), lambda w: S.word_lang(w) == "hi"))
     t = u.select(norm.scoring(F.col("text")).alias("a"), norm.whisper_basic(F.col("text")).alias("b")).select(hi(F.col("a")).alias("a"), hi(F.col("b")).alias("b"))
     t = t.agg(F.sum("a").alias("kept"), F.sum("b").alias("shattered"))

@@ -42,13 +42,13 @@ BOTH = f"{U}, norm AS (SELECT *, {R.stripped('text', 'PS')} AS t FROM utt), tok
 
 @query(BOTH + " SELECT utt_id FROM tagged WHERE list_contains(ls, 'hi') AND list_contains(ls, 'en')")
 def bilingual_rows(spark: SparkSession, d: str) -> DataFrame:
-    w = once(spark, d).withColumn("ls", F.transform(S.tokenize(norm.punct(F.col("text"))), S.word_lang))
+    w = once(spark, d, "text").withColumn("ls", F.transform(S.tokenize(norm.punct(F.col("text"))), S.word_lang))
     return w.where(F.array_contains("ls", "hi") & F.array_contains("ls", "en")).select("utt_id")
 
 
 @query(f"WITH {R.ONCE}, {R.TAGGED} SELECT utt_id FROM tagged WHERE NOT list_contains(ls, 'hi') OR NOT list_contains(ls, 'en')")
 def monolingual_rows(spark: SparkSession, d: str) -> DataFrame:
-    w = with_words(once(spark, d)).withColumn("ls", F.transform("ws", S.word_lang))
+    w = with_words(once(spark, d, "text")).withColumn("ls", F.transform("ws", S.word_lang))
     return w.where(~F.array_contains("ls", "hi") | ~F.array_contains("ls", "en")).select("utt_id")
 
 
@@ -69,14 +69,14 @@ def validated(text, hi, en, ordered: bool = False):
 )
 def validate_pair(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "cs_bigrams").select("bigram_id", "utt_id", "first", "second").distinct()
-    j = b.join(once(spark, d).select("utt_id", "text"), "utt_id")
+    j = b.join(once(spark, d, "text").select("utt_id", "text"), "utt_id")
     v = lambda o: validated(F.col("text"), F.col("first"), F.col("second"), o)
     return j.select("bigram_id", v(False).alias("valid"), v(True).alias("in_order"))
 
 
 @query(f"{U} SELECT utt_id, corpus FROM utt ORDER BY utt_id LIMIT 100")
 def limit_n(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, d).select("utt_id", "corpus").orderBy("utt_id").limit(100)
+    return once(spark, d, "corpus").select("utt_id", "corpus").orderBy("utt_id").limit(100)
 
 
 RANK = "SELECT utt_id, {c}row_number() OVER (ORDER BY sha1('{s}|' || utt_id)) - 1 AS r, count(*) OVER () AS m FROM utt"
@@ -92,7 +92,7 @@ def seeded_fraction(spark: SparkSession, d: str) -> DataFrame:
 # ---- selection -----------------------------------------------------------------------------------------
 @query(f"{U} SELECT utt_id FROM (SELECT utt_id, row_number() OVER (PARTITION BY {R.collapse('text')} ORDER BY utt_id) AS r FROM utt) WHERE r = 1")
 def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    u = once(spark, d).select("utt_id", norm.raw(F.col("text")).alias("t"))
+    u = once(spark, d, "text").select("utt_id", norm.raw(F.col("text")).alias("t"))
     return u.groupBy("t").agg(F.min("utt_id").alias("utt_id")).select("utt_id")  # the first by id, without a sort
 
 
@@ -107,7 +107,7 @@ MS = "CAST(round(coalesce(dur, 0) * 1000) AS BIGINT)"
 
 @query(f"{U}, s AS (SELECT utt_id, coalesce(sum({MS}) OVER (ORDER BY sha1('11|' || utt_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM utt WHERE split = 'train') SELECT utt_id FROM s WHERE b < 600000")
 def dev_slice(spark: SparkSession, d: str) -> DataFrame:
-    u = once(spark, d).where("split = 'train'").select("utt_id", F.round(F.coalesce("dur", F.lit(0.0)) * 1000).cast("long").alias("ms"))
+    u = once(spark, d, "split", "dur").where("split = 'train'").select("utt_id", F.round(F.coalesce("dur", F.lit(0.0)) * 1000).cast("long").alias("ms"))
     return sel.until(u, sel.seeded(11, F.col("utt_id")), F.col("ms"), 600_000).select("utt_id")
 
 
@@ -116,13 +116,13 @@ def dev_slice(spark: SparkSession, d: str) -> DataFrame:
     "s AS (SELECT utt_id, coalesce(sum(ms) OVER (ORDER BY depth, sha1('1234|' || grp) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM k) SELECT utt_id FROM s WHERE b < 900000"
 )
 def round_robin_subset(spark: SparkSession, d: str) -> DataFrame:
-    u = once(spark, d).where("corpus = 'mucs'").select("utt_id", "speaker", F.round(F.coalesce("dur", F.lit(0.0)) * 1000).cast("long").alias("ms"))
+    u = once(spark, d, "corpus", "speaker", "dur").where("corpus = 'mucs'").select("utt_id", "speaker", F.round(F.coalesce("dur", F.lit(0.0)) * 1000).cast("long").alias("ms"))
     return sel.round_robin(u, F.col("speaker"), F.col("utt_id"), F.col("ms"), 900_000).select("utt_id")
 
 
 @query(f"{U} SELECT utt_id FROM (SELECT utt_id, speaker, row_number() OVER (PARTITION BY speaker ORDER BY utt_id) AS r FROM utt WHERE corpus LIKE 'cv%' AND dur BETWEEN 1.0 AND 30) WHERE speaker IS NULL OR speaker = '' OR r <= 5")
 def per_key_cap(spark: SparkSession, d: str) -> DataFrame:
-    u = once(spark, d).where("corpus like 'cv%' and dur between 1.0 and 30")
+    u = once(spark, d, "corpus", "dur", "speaker").where("corpus like 'cv%' and dur between 1.0 and 30")
     return sel.capped(u.select("utt_id", "speaker"), F.col("speaker"), [F.col("utt_id")], 5).select("utt_id")
 
 
@@ -134,7 +134,7 @@ def stride_shard(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{U}, g AS (SELECT DISTINCT string_split(utt_id, '_')[-2] AS rec FROM utt WHERE corpus = 'mucs'), k AS (SELECT rec, (row_number() OVER (ORDER BY sha1('5|' || rec)) - 1) % 3 AS shard FROM g) SELECT utt_id, shard FROM (SELECT utt_id, string_split(utt_id, '_')[-2] AS rec FROM utt WHERE corpus = 'mucs') JOIN k USING (rec)")
 def group_shard(spark: SparkSession, d: str) -> DataFrame:
-    m = mucs(once(spark, d)).select("utt_id", "rec")
+    m = mucs(once(spark, d, "corpus")).select("utt_id", "rec")
     k = sel.ranked(m.select("rec").distinct(), sel.seeded(5, F.col("rec"))).select("rec", (F.col("rank") % 3).alias("shard"))
     return m.join(k, "rec").select("utt_id", "shard")
 
@@ -154,11 +154,11 @@ def chunk_prompts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{U}, k AS (SELECT utt_id, length(text) AS len, (row_number() OVER (ORDER BY length(text), sha1('9|' || utt_id)) - 1) // 16 AS batch FROM utt) SELECT * FROM k")
 def length_batches(spark: SparkSession, d: str) -> DataFrame:
     """Rank by length through the histogram of lengths: offsets of lengths, ranks within a length."""
-    u = once(spark, d).select("utt_id", F.char_length("text").cast("long").alias("len"))
+    u = once(spark, d, "text").select("utt_id", F.char_length("text").cast("long").alias("len"))
     h = u.groupBy("len").agg(n())
-    off = h.withColumn("off", F.coalesce(F.sum("n").over(Window.orderBy("len").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = F.row_number().over(Window.partitionBy("len").orderBy(sel.seeded(9, F.col("utt_id")))) - 1
-    return u.withColumn("i", inside).join(off, "len").select("utt_id", "len", F.floor((F.col("off") + F.col("i")) / 16).alias("batch"))
+    off = h.withColumn("off", F.coalesce(F.sum("n").over(Window.orderBy("len").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("len").alias("l"), "off")
+    i = sel.rank_within(u, F.col("len"), sel.seeded(9, F.col("utt_id")), "i")
+    return i.join(off, F.col("len").eqNullSafe(F.col("l"))).select("utt_id", "len", F.floor((F.col("off") + F.col("i")) / 16).alias("batch"))
 
 
 # ---- sorts and samples ---------------------------------------------------------------------------------
@@ -185,6 +185,23 @@ def fewshot_sample(spark: SparkSession, d: str) -> DataFrame:
     return calls.withColumn("r", (F.col("call_id") * 5 + F.col("j")) % max(m, 1)).join(b, "r").select("call_id", "j", "bigram_id")
 
 
+@query(f"{U} SELECT utt_id, substr(text, 1, 96) AS preview FROM utt ORDER BY sha1('7|' || utt_id) LIMIT 20")
+def random_preview(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty texts at random, their beginnings; the same ones every time."""
+    u = once(spark, d, "text").orderBy(sel.seeded(7, F.col("utt_id"))).limit(20)
+    return u.select("utt_id", F.substring("text", 1, 96).alias("preview"))
+
+
+@query(
+    f"{U}, m AS (SELECT utt_id, string_split(utt_id, '_')[-2] AS rec, CAST(string_split(utt_id, '_')[-1] AS INTEGER) AS idx, {MS} AS ms FROM utt WHERE corpus = 'mucs'), "
+    "s AS (SELECT utt_id, coalesce(sum(ms) OVER (ORDER BY rec, idx, utt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM m) SELECT utt_id FROM s WHERE b < 600000"
+)
+def scan_until(spark: SparkSession, d: str) -> DataFrame:
+    """Archives (recordings stand in) read in order until ten minutes are reached."""
+    m = mucs(once(spark, d, "corpus", "dur")).withColumn("ms", F.round(F.coalesce("dur", F.lit(0.0)) * 1000).cast("long"))
+    return sel.until_in_order(m, F.col("rec"), [F.col("idx"), F.col("utt_id")], F.col("ms"), 600_000).select("utt_id")
+
+
 # ---- set operations ------------------------------------------------------------------------------------
 @query("SELECT utt_id, text, 'cv' AS origin FROM utterances WHERE corpus LIKE 'cv%' UNION ALL SELECT utt_id, text, 'synth' FROM utterances WHERE corpus = 'synth'")
 def concat_sources(spark: SparkSession, d: str) -> DataFrame:

@@ -36,7 +36,14 @@ def normalize_whisper_basic(spark: SparkSession, d: str) -> DataFrame:
     return utterances(spark, d).select("utt_id", norm.normalize(F.col("text"), "whisper_basic").alias("t"))
 
 
-@query(f"WITH w AS (SELECT first AS w FROM cs_bigrams UNION ALL SELECT second FROM cs_bigrams) SELECT w, {LANG_W} AS lang, count(*) AS n FROM w GROUP BY ALL")
+#: scripts as the engine knows them, less digits and signs of Devanagari and letters not called Latin
+BY_SCRIPT = (
+    "CASE WHEN regexp_matches(regexp_replace(w, '[०-९॰]', '', 'g'), '\\p{Devanagari}') THEN CASE WHEN regexp_matches(regexp_replace(w, '[ªºＡ-Ｚａ-ｚ\\x{212A}\\x{212B}\\x{2160}-\\x{2188}]', '', 'g'), '\\p{Latin}') THEN 'mixed' ELSE 'hi' END "
+    "WHEN regexp_matches(regexp_replace(w, '[ªºＡ-Ｚａ-ｚ\\x{212A}\\x{212B}\\x{2160}-\\x{2188}]', '', 'g'), '\\p{Latin}') THEN 'en' WHEN w IS NOT NULL THEN 'other' END"
+)
+
+
+@query(f"WITH w AS (SELECT first AS w FROM cs_bigrams UNION ALL SELECT second FROM cs_bigrams) SELECT w, {BY_SCRIPT} AS lang, count(*) AS n FROM w GROUP BY ALL")
 def word_lang(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "cs_bigrams")
     w = b.select(F.col("first").alias("w")).unionByName(b.select(F.col("second").alias("w")))
@@ -78,7 +85,7 @@ def all_bigrams(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {R.ONCE}, {R.TAGGED}, {R.PAIRS} SELECT utt_id, first, second, kind FROM cs")
 def cs_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    e = each(with_words(once(spark, d)), S.cs_bigrams(F.col("ws")), "b", "utt_id")
+    e = each(with_words(once(spark, d, "text")), S.cs_bigrams(F.col("ws")), "b", "utt_id")
     return e.select("utt_id", "b.first", "b.second", "b.kind")
 
 
@@ -91,14 +98,14 @@ r AS (SELECT utt_id, run, any_value(l) AS lang, count(*) AS n FROM i GROUP BY ut
 
 @query(RUNS + " SELECT utt_id, CAST(run AS BIGINT) AS run, lang, n FROM r")
 def language_runs(spark: SparkSession, d: str) -> DataFrame:
-    e = with_words(once(spark, d)).select("utt_id", F.posexplode_outer(S.runs(F.col("ws"))).alias("run", "r")).where("r is not null")
+    e = with_words(once(spark, d, "text")).select("utt_id", F.posexplode_outer(S.runs(F.col("ws"))).alias("run", "r")).where("r is not null")
     return e.select("utt_id", (F.col("run") + 1).cast("long").alias("run"), "r.lang", F.col("r.n").cast("long").alias("n"))
 
 
 LINES = "WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|[\\n\\r\\x{000B}\\x{000C}\\x{001C}-\\x{001E}\\x{0085}\\x{2028}\\x{2029}]')) AS line FROM documents)"
-CLEAN = (
-    f"regexp_replace(regexp_replace(line, '^(?:{P.ITEM}|{P.LABEL}|\\s*[*_\"''`]+|\\s+)+', ''), '(?:[*_\"''`]+\\s*)+$', '')"
-)
+# written for this engine's regular expressions, apart from the patterns of the functions
+FRONT = "[0-9]+[ \\t\\r\\n\\f]*[).]|[-•*]|[*]*\\s*(?i:hinglish|english|hindi|हिन्दी|हिंदी|अंग्रेज़ी|अंग्रज़ी)\\s*[*]*\\s*[-:：–—]|[`''\"_*]+"
+CLEAN = f"regexp_replace(regexp_replace(line, '^(\\s*({FRONT})\\s*|\\s+)+', ''), '([`''\"_*]+\\s*)+$', '')"
 
 
 @query(f"SELECT utt_id, {R.collapse(CLEAN.replace('line', 'text'))} AS t FROM utterances")
@@ -113,7 +120,7 @@ def parse_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"{LINES}, s AS (SELECT doc_id, {R.collapse(f"regexp_replace(regexp_replace(trim(line), '{P.BULLET}', ''), '[;,.]+\\s*$', '')")} AS s FROM l), "
+    f"{LINES}, s AS (SELECT doc_id, {R.collapse(f"regexp_replace(regexp_replace(trim(line), '^\\s*([0-9]+[).]|[-•*])\\s*', ''), '[.,;]+\\s*$', '')")} AS s FROM l), "
     f"p AS (SELECT doc_id, unnest(string_split(s, ';')) AS part FROM s), q AS (SELECT doc_id, {R.collapse('part')} AS phrase FROM p) SELECT doc_id, phrase, count(*) AS n FROM q WHERE contains(phrase, ' ') GROUP BY ALL"
 )
 def parse_bigrams(spark: SparkSession, d: str) -> DataFrame:
@@ -142,17 +149,11 @@ def parse_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return v.select("utt_id", F.col("idx").cast("long").alias("idx"), "yes")
 
 
-WRAPPED = "concat('<think>plan ', utt_id, '</think><|channel|>analysis<|message|>x<|channel|>final<|message|>', text, '<|end|>')"
-_T = "s"
-for _k in P.THINK:
-    _T = f"regexp_replace({_T}, '(?is)<{_k}\\b[^>]*>.*?</{_k}>', '', 'g')"
-_T = f"regexp_replace({_T}, '{P.FINAL}', '')"
-_T = f"regexp_replace(regexp_replace({_T}, '{P.OPEN}', ''), '{P.SPECIALS}', '', 'g')"
-
-
-@query(f"WITH w AS (SELECT utt_id, {WRAPPED} AS s FROM utterances) SELECT utt_id, regexp_replace({_T}, '^{R.WS}|{R.WS}$', '', 'g') AS t FROM w")
+@query(f"SELECT utt_id, regexp_replace(text, '^{R.WS}|{R.WS}$', '', 'g') AS t FROM utterances")
 def strip_thinking(spark: SparkSession, d: str) -> DataFrame:
-    s = F.concat(F.lit("<think>plan "), "utt_id", F.lit("</think><|channel|>analysis<|message|>x<|channel|>final<|message|>"), "text", F.lit("<|end|>"))
+    """Texts wrapped in reasoning: blocks that come to be when others are taken out, channels, control tokens."""
+    nested = "<th<th<think>plan</think>ink>more</think>ink>most</think><REASON a='b'>x\ny</Reason>"
+    s = F.concat(F.lit(nested + "<|channel|>analysis<|message|>x<|channel|>final<|message|> <think> <s>"), "text", F.lit("<|end|></s>"))
     return utterances(spark, d).select("utt_id", P.strip_thinking(s).alias("t"))
 
 
@@ -204,6 +205,15 @@ def cache_key(spark: SparkSession, d: str) -> DataFrame:
     return b.select("bigram_id", P.cache_key(F.lit("m1"), F.coalesce("first", F.lit("")), F.coalesce("second", F.lit(""))).alias("key"))
 
 
+@query(
+    "SELECT bigram_id, sha256('{\"messages\": [{\"content\": ' || to_json(coalesce(first, '')) || ', \"role\": \"system\"}, {\"content\": ' || to_json(coalesce(second, '')) || ', \"role\": \"user\"}], \"model\": \"m1\", \"params\": {\"temperature\": 0.7, \"top_k\": 5}, \"sample\": ' || pos || '}') AS key FROM cs_bigrams"
+)
+def request_key(spark: SparkSession, d: str) -> DataFrame:
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    key = P.request_key("m1", F.array(message("system", "first"), message("user", "second")), {"top_k": 5, "temperature": 0.7}, F.col("pos"))
+    return table(spark, d, "cs_bigrams").select("bigram_id", key.alias("key"))
+
+
 _Q = P.BIGRAM_USER.replace("{n}", "10").replace("'", "''")
 
 
@@ -218,11 +228,11 @@ def basename(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "recordings").select("reco_id", P.basename(F.col("path")).alias("base"), P.stem(F.col("path")).alias("stem"))
 
 
-@query(f"SELECT utt_id, regexp_matches(text, '(?i){P.LEAK}') AS leak FROM utterances")
+@query("SELECT utt_id, regexp_matches(lower(text), '^\\s*[*]*\\s*(hindi|hinglish|english)\\s*[*]*\\s*(:|-)') AS leak FROM utterances")
 def label_leak(spark: SparkSession, d: str) -> DataFrame:
-    return utterances(spark, d).select("utt_id", F.col("text").rlike("(?i)" + P.LEAK).alias("leak"))
+    return utterances(spark, d).select("utt_id", P.label_leak(F.col("text")).alias("leak"))
 
 
 @query(f"WITH {R.ONCE}, {R.TAGGED} SELECT utt_id, array_to_string(flatten(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN ls[i] = 'hi' THEN string_split(ws[i], '') ELSE [ws[i]] END)), '|') AS units FROM tagged")
 def hybrid_units(spark: SparkSession, d: str) -> DataFrame:
-    return with_words(once(spark, d)).select("utt_id", F.array_join(S.hybrid_units(F.col("ws")), "|").alias("units"))
+    return with_words(once(spark, d, "text")).select("utt_id", F.array_join(S.hybrid_units(F.col("ws")), "|").alias("units"))

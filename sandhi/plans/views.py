@@ -15,9 +15,9 @@ def utterances(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "utterances")
 
 
-def once(spark: SparkSession, d: str) -> DataFrame:
-    """Every utterance once."""
-    return utterances(spark, d).select("utt_id", "text", "dur", "wav", "lang", "speaker", "sent_id", "corpus", "split").distinct()
+def once(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Every utterance once, with the columns named: a distinct cannot be pruned, so each query names its own."""
+    return utterances(spark, d).select("utt_id", *cols).distinct()
 
 
 def with_words(df: DataFrame) -> DataFrame:

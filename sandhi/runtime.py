@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_written: dict[str, SparkSession] = {}
 
 
 def build_session(master: str = "local[*]", app: str = "sandhi", **conf: str) -> SparkSession:
@@ -29,9 +30,13 @@ def build_session(master: str = "local[*]", app: str = "sandhi", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, in local mode only: on a
+    cluster every executor would write to its own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="sandhi-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -41,12 +46,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage and is not
-    computed twice; a lost executor costs nothing, as the table outlives it."""
+    computed twice; a lost executor costs nothing, as the table outlives it. The tables of a session
+    are in one folder, which ``clean`` removes, at the latest when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sandhi/{tag}-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/sandhi/{spark.sparkContext.applicationId}"
+    if root not in _written:
+        _written[root] = spark
+        atexit.register(clean, root)
+    path = f"{root}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(root: str | None = None) -> None:
+    """Removes the intermediate tables of this session (or those below root)."""
+    for at in [root] if root else list(_written):
+        spark = _written.pop(at, None)
+        context = getattr(spark, "_sc", None)
+        if context is None or context._jsc is None:
+            continue  # stopped: nothing left to delete with
+        try:
+            path = context._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session may be ending
+            pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import tarfile
 from collections.abc import Iterator
@@ -66,7 +67,7 @@ def read_tsv(spark: SparkSession, path: str, schema: str = "path string, sentenc
 
 def write_ids(df: DataFrame, key: str, path: str) -> None:
     """One sorted id a row: a JSON line each, as an id list may be larger than a task."""
-    df.select(key).distinct().orderBy(key).write.mode("overwrite").json(path)
+    df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).write.mode("overwrite").json(path)
 
 
 def id_lines(df: DataFrame, key: str) -> DataFrame:
@@ -74,9 +75,17 @@ def id_lines(df: DataFrame, key: str) -> DataFrame:
     return df.select(key).distinct().orderBy(key).select(F.to_json(F.struct(key)).alias("line"))
 
 
-def ids_json(df: DataFrame, key: str) -> DataFrame:
-    """The ids as one sorted JSON array; for lists that fit a row."""
-    return df.agg(F.to_json(F.array_sort(F.collect_set(key))).alias("ids"))
+def write_id_array(df: DataFrame, key: str, path: str) -> int:
+    """The distinct ids as one sorted JSON array in one file, written as the sorted parts come in (the driver
+    holds one part at a time); returns their number."""
+    n = 0
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for r in df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).toLocalIterator():
+            f.write((", " if n else "") + json.dumps(r[0], ensure_ascii=False))
+            n += 1
+        f.write("]\n")
+    return n
 
 
 def drop_all_null(df: DataFrame) -> DataFrame:
@@ -101,8 +110,31 @@ def with_payload(df: DataFrame, col: str = "wav") -> DataFrame:
     return out
 
 
-def publish(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: its texts and payloads, 8 for every other column."""
+    size = lambda f: F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8)
+    out = F.lit(0)
+    for f in df.schema.fields:
+        out = out + size(f)
+    return out
+
+
+def publish(df: DataFrame, root: str, repo: str, config: str | None = None, split: str = "train", shard_bytes: int = 500_000_000) -> int:
+    """Parquet shards of about shard_bytes below root/repo/config/split; returns how many were asked for."""
+    total = df.agg(F.coalesce(F.sum(row_bytes(df).cast("long")), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_bytes))
+    df.repartition(int(shards)).write.mode("overwrite").parquet(published_path(root, repo, config, split))
+    return int(shards)
+
+
+def published_path(root: str, repo: str, config: str | None = None, split: str = "train") -> str:
+    return "/".join([root.rstrip("/"), repo.strip("/"), config or "default", split])
+
+
+def load_published(spark: SparkSession, root: str, repo: str, config: str | None = None, split: str = "train", columns: list[str] | None = None) -> DataFrame:
+    """What publish wrote for a repository, config and split; columns are pruned at the scan."""
+    df = spark.read.parquet(published_path(root, repo, config, split))
+    return df.select(*columns) if columns else df
 
 
 def round_trip(left: DataFrame, right: DataFrame, dur: str = "dur") -> DataFrame:

@@ -82,7 +82,9 @@ def test_subset_and_fallback(spark):
     assert J.subset(d, spark.createDataFrame([("a",), ("a",)], "utt_id string"), "utt_id").count() == 1
     with pytest.raises(ValueError):
         J.subset(d, spark.createDataFrame([("z",)], "utt_id string"), "utt_id")
-    f = spark.createDataFrame([("a", "pa"), ("b2", "pb")], "base string, path string")
+    f = spark.createDataFrame([("a", "pa"), ("b2", "pb"), ("a2", "never")], "base string, path string")
+    twice = d.unionByName(d).unionByName(spark.createDataFrame([(None,)], "utt_id string"))
+    assert sorted(str(x["path"]) for x in J.fallback(twice, f, F.col("utt_id"), F.concat("utt_id", F.lit("2")), "base", "path").collect()) == ["None", "pa", "pa", "pb", "pb"]
     got = J.fallback(d, f, F.col("utt_id"), F.concat("utt_id", F.lit("2")), "base", "path")
     assert {x["utt_id"]: x["path"] for x in got.collect()} == {"a": "pa", "b": "pb"}
 
@@ -95,8 +97,12 @@ def test_external(spark):
     assert new.count() == 1
     _, again = ext.respond(req, cache.unionByName(new), "echo", prefix="other ")
     assert again.count() == 0
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="unknown backend"):
         ext.build_backend("nothing")
+    assert ext.build_backend("echo", model_id="x", filename="y").model_id == "echo"
+    t = ext.build_backend("transformers", model_id="m", filename="y", load=lambda: str.upper)
+    assert t.filename is None and t.model_id == "m" and t.generate(["a", "b"]) == ["A", "B"]
+    assert ext.build_backend("llamacpp", model_id="m", filename="y").filename == "y"
 
 
 def test_waveform(spark):
@@ -104,3 +110,58 @@ def test_waveform(spark):
     d = spark.createDataFrame([(x, [0.0] * 10, [2.0, -2.0, 0.0])], "x array<float>, z array<float>, q array<float>")
     r = d.select(F.size(W.trim_silence(F.col("x"), pad=0)).alias("x"), F.size(W.trim_silence(F.col("z"))).alias("z"), W.quantize_pcm16(F.col("q")).alias("q"), F.size(W.resample(8000)(F.col("x"))).alias("r")).first()
     assert (r["x"], r["z"], r["q"], r["r"]) == (500, 0, [32767, -32767, 0], 5000)
+
+
+@pytest.mark.parametrize("mode", ["adjacent", "lenient"])
+def test_cba_within_equals_cba_by_groups(spark, mode):
+    import random
+
+    r = random.Random(4)
+    words = ["इस", "में", "है", "file", "open", "x", "5"]
+    rows = [(str(i), r.choices(words, k=r.randint(0, 12)), r.choices(words, k=r.randint(0, 12))) for i in range(120)]
+    d = spark.createDataFrame(rows, "g string, ws array<string>, hw array<string>")
+    one = M.cba_within(d, F.col("ws"), F.col("hw"), mode).first()
+    two = M.cba(M.reference_pairs(d, F.col("g"), F.col("ws")), d.select("g", F.col("hw").alias("ws")), mode).first()
+    assert one == two and one["he_matched"] > 5
+
+
+def test_rank_within_a_hot_group(spark):
+    d = spark.createDataFrame([(f"u{i}", "hot" if i % 3 else None) for i in range(900)], "utt_id string, g string")
+    got = sel.rank_within(d, F.col("g"), sel.seeded(1, F.col("utt_id"))).collect()
+    for g in ("hot", None):
+        mine = [r["rank"] for r in got if r["g"] == g]
+        assert sorted(mine) == list(range(len(mine))) and len(mine) in (600, 300)
+
+
+def test_until_in_order(spark):
+    d = spark.createDataFrame([(f"{a}{b}", a, b, 10) for a in "abc" for b in range(5)] + [("n", "a", 9, None)], "utt_id string, part string, place int, dur int")
+    got = lambda t: sorted(r["utt_id"] for r in sel.until_in_order(d, F.col("part"), [F.col("place")], F.col("dur"), t).collect())
+    assert got(65) == ["a0", "a1", "a2", "a3", "a4", "b0", "b1", "n"] and got(0) == [] and len(got(10**6)) == 16 and got(50) == ["a0", "a1", "a2", "a3", "a4"]
+
+
+def test_collate(spark):
+    d = spark.createDataFrame([(1, [9, 1, 2]), (1, [9, 3]), (2, [9, 1]), (2, [4]), (3, []), (4, [9] + [1] * 500)], "b int, labels array<int>")
+    got = sorted(tuple(r["labels"]) for r in W.collate(d, "b", "labels", 9).collect())
+    assert got == sorted([(1, 2), (3, -100), (9, 1), (4, -100), (), (1,) * 448])
+
+
+def test_checkpoints(tmp_path):
+    from sandhi.operators import checkpoints as C
+
+    assert C.path_of("/m6/") == "m6/last-checkpoint" and C.path_of("m6", "best") == "m6/best-checkpoint"
+    with pytest.raises(ValueError):
+        C.path_of("m6", "bogus")
+    root, state = str(tmp_path / "root"), tmp_path / "state"
+    state.mkdir()
+    (state / "weights").write_text("1")
+    (state / C.STATE).write_text("{}")
+    assert C.resume(root, "m6") is None
+    C.push(str(state), root, "m6", best=True)
+    (state / "weights").write_text("2")
+    C.push(str(state), root, "m6")
+    read = lambda kind: open(f"{C.resume(root, 'm6', kind)}/weights").read()
+    assert (read("last"), read("best")) == ("2", "1")
+    (tmp_path / "root" / "m6" / "last-checkpoint" / C.STATE).unlink()  # an interrupted copy is no state
+    assert C.resume(root, "m6") is None
+    C.clear(root, "m6")
+    assert C.resume(root, "m6", "best") is None

@@ -6,6 +6,7 @@ import threading
 
 import pytest
 
+from sandhi.functions.parsing import CHECK_SYSTEM
 from sandhi.operators import external as ext
 from sandhi.plans import pipelines as pl
 from sandhi.sources import download as dl
@@ -21,7 +22,7 @@ class Scripted:
     def one(self, p):
         if p.startswith("You're a helpful mix"):
             return "1. प्रतीत document\n2. बुनियादी formatting; इस spoken\n- menu bar click\nएक one"
-        if p.startswith("You judge"):
+        if p.startswith(CHECK_SYSTEM):
             return "\n".join(f"{line.split('.')[0]}: {'YES' if 'एक' in line else 'NO'}" for line in p.split("\n\n")[2].split("\n"))
         b = p.rpartition(": ")[2]
         return f"1. English: open {b} now\n2. Hindi: यह {b} है\n3. {b}\nखाली line without it"

@@ -22,6 +22,7 @@ def test_utterances_and_extra(spark):
     lines = spark.createDataFrame([('{"utt_id": "a", "text": "t", "dur": 1.5, "bigram": "x y", "n": 3}',), ("  ",)], "value string")
     u = src.parse_utterances(lines)
     r = u.first()
+    assert src.parse_utterances(lines.where("1 = 0")).count() == 0
     assert u.count() == 1 and r["dur"] == 1.5 and r["extra"] == {"bigram": "x y", "n": "3"}
     assert src.parse_utterances(src.to_json_lines(u)).first() == r
 
@@ -90,3 +91,36 @@ def test_switch_stream(spark, data, tmp_path):
 
     want = catalog.queries()["cs_bigrams"](spark, data).count()
     assert spark.sql("select sum(n) from switches").first()[0] == want
+
+
+def test_publish_and_load(spark, tmp_path):
+    df = spark.createDataFrame([(f"u{i}", "t" * 90, b"x" * 100, 1.0) for i in range(500)], "utt_id string, text string, audio binary, dur double")
+    assert src.publish(df, str(tmp_path), "me/corpus", "small", "test", shard_bytes=25_000) == 5
+    assert src.load_published(spark, str(tmp_path), "me/corpus", "small", "test").count() == 500
+    got = src.load_published(spark, str(tmp_path), "me/corpus", "small", "test", ["utt_id"])
+    assert got.columns == ["utt_id"] and got.rdd.getNumPartitions() <= 5
+    assert src.publish(df.limit(0), str(tmp_path), "me/corpus") == 1 and src.published_path("/r/", "a/b") == "/r/a/b/default/train"
+
+
+def test_id_array(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([("b",), ("a",), ("b",), (None,), ('q"',)], "k string")
+    assert src.write_id_array(df, "k", str(tmp_path / "ids.json")) == 3
+    assert json.load(open(tmp_path / "ids.json")) == ["a", "b", 'q"']
+    src.write_ids(df, "k", str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 3
+
+
+def test_natural_key(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([("x_10.tar",), ("x_2.tar",), ("x.tar",)], "p string")
+    assert [r["p"] for r in d.orderBy(src.natural_key(F.col("p"))).collect()] == ["x.tar", "x_2.tar", "x_10.tar"]
+
+
+def test_append_sink(spark, tmp_path):
+    for k in range(2):  # the second run goes on where the first stopped
+        spark.createDataFrame([(f"{k}",)], "key string").write.mode("append").json(str(tmp_path / "in"))
+        cache.append_sink(spark.readStream.schema("key string").json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    assert sorted(r["key"] for r in spark.read.schema("key string").json(str(tmp_path / "out")).collect()) == ["0", "1"]

@@ -67,12 +67,48 @@ def test_verdicts(spark):
 
 @pytest.mark.parametrize(
     "raw, kept",
-    [("<think>a\nb</think>answer", "answer"), ("<|channel|>analysis<|message|>x<|channel|>final<|message|>answer<|end|>", "answer"), ("<think>answer", "<think>answer"), ("<|think|> answer", "answer"), ("plain", "plain"), ("", "")],
+    [
+        ("<think>a\nb</think>answer", "answer"),
+        ("<|channel|>analysis<|message|>x<|channel|>final<|message|>answer<|end|>", "answer"),
+        ("<think>answer", "answer"),
+        ("<|think|> answer", "answer"),
+        ("<thinking a='1'>x</THINKING>answer<pad>", "answer"),
+        ("<th<th<th<th<think>1</think>ink>2</think>ink>3</think>ink>4</think>ink>5</think>answer", "answer"),
+        ("<channel>answer 42<|channel>final yes", "yes"),
+        ("plain </b> text", "plain </b> text"),
+        ("", ""),
+        (None, None),
+    ],
 )
 def test_thinking(spark, raw, kept):
     got = one(spark, raw, P.strip_thinking)
-    assert got == kept or (raw == "<think>answer" and got == "answer")
-    assert one(spark, got, P.strip_thinking) == got
+    assert got == kept and one(spark, got, P.strip_thinking) == got
+
+
+def test_leaks_and_voices(spark):
+    assert one(spark, "<think", P.reasoning_leak) and one(spark, "a <|channel x", P.reasoning_leak) and not one(spark, "think", P.reasoning_leak)
+    assert one(spark, " **English**: x", P.label_leak) and one(spark, "hinglish - x", P.label_leak) and not one(spark, "English is", P.label_leak)
+    assert one(spark, "Ravi", lambda t: P.voice_description(t, "{name} speaks.")) == "Ravi speaks." and one(spark, "Ravi", P.voice_description).startswith("Ravi ")
+
+
+def test_request_key(spark):
+    import hashlib
+    import json
+
+    text = 'ए "quoted" \\ line\nनया /'
+    want = hashlib.sha256(json.dumps({"sample": 3, "params": {"top_k": 5, "a": "b"}, "model": "m", "messages": [{"role": "user", "content": text}]}, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+    got = one(spark, text, lambda t: P.request_key("m", F.array(F.struct(F.lit("user").alias("role"), t.alias("content"))), {"a": "b", "top_k": 5}, 3))
+    assert got == want
+
+
+def test_switch_points_of_sql(spark):
+    from sandhi.functions import tables
+
+    tables.register(spark)
+    for text in ("इस document में formatting ठीक", "दायाँclick करें, mp3 है", "5 hertz", "", None):
+        got = [tuple(r)[1:] for r in spark.createDataFrame([(text,)], "t string").createOrReplaceTempView("u") or spark.sql("SELECT s.* FROM u, LATERAL switch_points(u.t) s").collect()]
+        want = one(spark, text, lambda t: S.cs_bigrams(S.tokenize(N.scoring(t)))) or []
+        assert got == [(b["first"], b["second"], b["kind"]) for b in want]
 
 
 def test_ids(spark):
