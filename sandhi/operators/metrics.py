@@ -79,23 +79,23 @@ def rates(j: DataFrame) -> DataFrame:
     return t.select("*", rate(c("he_matched"), c("he_total")).alias("cba_he"), rate(c("eh_matched"), c("eh_total")).alias("cba_eh"), rate(c("he_matched") + c("eh_matched"), c("he_total") + c("eh_total")).alias("cba_total"))
 
 
-def cba_within(df: DataFrame, ref: Column, hyp: Column, mode: str = "adjacent") -> DataFrame:
-    """cba where every record is a group of its own: both multisets are compared inside the row, and nothing
-    but four sums is shuffled."""
+def cba_within(df: DataFrame, key: str, ref: Column, hyp: Column, mode: str = "adjacent") -> DataFrame:
+    """cba where every record is a group of its own. Pairs of both sides leave the record as rows with their
+    counts, keyed by the record first: on a table partitioned by the key nothing more is shuffled."""
     if mode not in ("adjacent", "lenient"):
         raise ValueError(f"unknown mode {mode!r}; adjacent or lenient")
-    rows = df.select(cs_bigrams(ref).alias("r"), (all_bigrams(hyp) if mode == "adjacent" else hyp).alias("h")).where(F.size("r") > 0)
-    times = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
-
-    def hit(p: Column) -> Column:
-        if mode == "adjacent":
-            return F.size(F.filter("h", lambda x: (x["first"] == p["first"]) & (x["second"] == p["second"])))
-        return F.least(times("h", p["first"]), times("h", p["second"]))
-
-    def total(kind: str, of) -> Column:
-        return F.aggregate(F.filter(F.array_distinct("r"), lambda p: p["kind"] == kind), F.lit(0), lambda a, p: a + of(p))
-
-    counts = [(kind, total(kind, lambda p: times("r", p)), total(kind, lambda p: F.least(times("r", p), hit(p)))) for kind in ("HE", "EH")]
-    sums = rows.agg(*(F.sum(x).alias(f"{kind}_{c}") for kind, n, m in counts for c, x in (("n", n), ("hit", m))))
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"{k}_n").alias("n"), F.col(f"{k}_hit").alias("hit")) for k in ("HE", "EH")))
-    return rates(sums.select(F.inline(each)))
+    r = df.select(key, cs_bigrams(ref).alias("r"), (all_bigrams(hyp) if mode == "adjacent" else hyp).alias("h"))
+    row = lambda b, he, eh, m: F.struct(b["first"].alias("first"), b["second"].alias("second"), he.alias("he"), eh.alias("eh"), m.alias("m"))
+    one, none = F.lit(1), F.lit(0)
+    side = lambda b, k: (b["kind"] == k).cast("int")
+    if mode == "adjacent":
+        pairs = F.concat(F.transform("r", lambda b: row(b, side(b, "HE"), side(b, "EH"), none)), F.transform("h", lambda b: row(b, none, none, one)))
+        times = F.sum("m")
+    else:
+        held = lambda w: F.size(F.filter("h", lambda x: x == w))
+        pairs = F.transform("r", lambda b: row(b, side(b, "HE"), side(b, "EH"), F.least(held(b["first"]), held(b["second"]))))
+        times = F.max("m")
+    e = r.select(key, F.explode_outer(pairs).alias("b")).where("b is not null").select(key, "b.*")
+    g = e.groupBy(key, "first", "second").agg(F.sum("he").alias("he"), F.sum("eh").alias("eh"), times.alias("m"))
+    each = F.array(*(F.struct(F.lit(k.upper()).alias("kind"), F.col(k).alias("n"), F.least(k, "m").alias("hit")) for k in ("he", "eh")))
+    return rates(g.where("he + eh > 0").select(F.inline(each)))

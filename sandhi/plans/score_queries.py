@@ -191,7 +191,9 @@ def epochs(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- scoring against a hypothesis --------------------------------------------------------------------
 def scored(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    return with_words(once(spark, d, "text", *cols)).withColumn("hw", corrupted(F.col("ws")))
+    """Every utterance's tokens and hypothesis, partitioned by utt_id."""
+    u = utterances(spark, d).select("utt_id", "text", *cols).repartition("utt_id").distinct()
+    return with_words(u).withColumn("hw", corrupted(F.col("ws")))
 
 
 CODE = "list_aggregate(list_transform({x}, lambda v: chr(CAST(32 + list_position(list_distinct(list_concat(r, h)), v) AS INTEGER))), 'string_agg', '')"
@@ -232,12 +234,12 @@ REC = {"g": "string_split(utt_id, '_')[-2]", "w": "WHERE corpus = 'mucs'", "hw":
 
 @query(BASE + CBA.format(**ONE, j=ADJ))
 def cba_adjacent(spark: SparkSession, d: str) -> DataFrame:
-    return M.cba_within(scored(spark, d), F.col("ws"), F.col("hw"))
+    return M.cba_within(scored(spark, d), "utt_id", F.col("ws"), F.col("hw"))
 
 
 @query(BASE + CBA.format(**ONE, j=LEN))
 def cba_lenient(spark: SparkSession, d: str) -> DataFrame:
-    return M.cba_within(scored(spark, d), F.col("ws"), F.col("hw"), "lenient")
+    return M.cba_within(scored(spark, d), "utt_id", F.col("ws"), F.col("hw"), "lenient")
 
 
 def in_order(df: DataFrame, group: str, order: Column, value: str) -> DataFrame:

@@ -120,7 +120,7 @@ def test_cba_within_equals_cba_by_groups(spark, mode):
     words = ["इस", "में", "है", "file", "open", "x", "5"]
     rows = [(str(i), r.choices(words, k=r.randint(0, 12)), r.choices(words, k=r.randint(0, 12))) for i in range(120)]
     d = spark.createDataFrame(rows, "g string, ws array<string>, hw array<string>")
-    one = M.cba_within(d, F.col("ws"), F.col("hw"), mode).first()
+    one = M.cba_within(d, "g", F.col("ws"), F.col("hw"), mode).first()
     two = M.cba(M.reference_pairs(d, F.col("g"), F.col("ws")), d.select("g", F.col("hw").alias("ws")), mode).first()
     assert one == two and one["he_matched"] > 5
 
