@@ -148,3 +148,11 @@ def short_speakers(utterances: DataFrame, targets: DataFrame) -> DataFrame:
     """p1_found: targets that the sample drawn for them did not reach."""
     _, report = speaker_sample(utterances, targets)
     return report.where(~F.col("met")).select("speaker")
+
+
+def met(utterances: DataFrame, targets: DataFrame) -> DataFrame:
+    """p1_met: (speaker, available, wanted, met, close); close: what was drawn is all there is, or at least what
+    was wanted and less than one record of 30 seconds more."""
+    _, report = speaker_sample(utterances, targets)
+    enough = (F.col("residual") >= 0) & (F.col("residual") < 30)
+    return report.select("speaker", "available", "wanted", "met", (enough | (F.col("drawn") == F.col("available"))).alias("close"))

@@ -17,6 +17,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.short_speakers(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "speaker_targets"))
 
 
+def p1_met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.met(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "speaker_targets"))
+
+
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.speaker_sample(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "speaker_targets"))[1]
 

@@ -156,14 +156,17 @@ def assign(utterances: DataFrame, wanted: tuple[tuple[str, float], ...] = SHARES
 
 
 def shares(utterances: DataFrame, wanted: tuple[tuple[str, float], ...] = SHARES, rest: str = "train") -> DataFrame:
-    """(split, records, components, wanted, share): what each split was to have, and what it has."""
+    """(split, records, broken, wanted, share): what each split was to have, and what it has; broken counts its
+    components that lie in another split as well."""
     got = materialize(assign(utterances, wanted, rest), "assigned")
-    n = got.groupBy(F.col("new_split").alias("split")).agg(F.count("*").alias("records"), F.countDistinct("root").alias("components"))
+    each = got.groupBy("root", F.col("new_split").alias("split")).agg(F.count("*").alias("records"))
+    spread_ = each.groupBy("root").agg(F.count("*").alias("splits"))
+    n = each.join(spread_, "root").groupBy("split").agg(F.sum("records").alias("records"), F.count_if(F.col("splits") > 1).alias("broken"))
     total = n.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"]
     named = [*wanted, (rest, 1 - sum(x for _, x in wanted))]
     goal = utterances.sparkSession.createDataFrame(named, "split string, wanted double")
-    out = goal.join(n, "split", "left").fillna(0, ["records", "components"])
-    return out.select("split", "records", "components", "wanted", (F.col("records") / F.lit(float(max(total, 1)))).alias("share"))
+    out = goal.join(n, "split", "left").fillna(0, ["records", "broken"])
+    return out.select("split", "records", "broken", "wanted", (F.col("records") / F.lit(float(max(total, 1)))).alias("share"))
 
 
 def rank_in_size(comp: DataFrame) -> DataFrame:

@@ -142,18 +142,24 @@ def found(utterances: DataFrame, switches: DataFrame) -> DataFrame:
     return t.unionByName(b.select(F.lit("bigram").alias("field"), "key_a", "key_b"))
 
 
-def class_id(high: str, low: str) -> Column:
-    return F.concat(*(F.lpad(F.hex(x), 16, "0") for x in (high, low)))
+def named(members: DataFrame) -> DataFrame:
+    """(set_id, set_lo, class_id, n_copies): a class is named by its least record."""
+    return members.distinct().groupBy("set_id", "set_lo").agg(F.min("key").alias("class_id"), F.count("*").alias("n_copies"))
 
 
 def groups(links: DataFrame, members: DataFrame) -> DataFrame:
     """One row a record: its class, the records alike in the class, and its class's links to others."""
     x, y = links.select(F.col("a").alias("set_id"), F.col("alo").alias("set_lo")), links.select(F.col("b").alias("set_id"), F.col("blo").alias("set_lo"))
     n = x.unionByName(y).groupBy("set_id", "set_lo").agg(F.count("*").alias("n_links"))
-    m = members.distinct()
-    size = m.groupBy("set_id", "set_lo").agg(F.count("*").alias("n_copies"))
-    out = m.join(size.join(n, ["set_id", "set_lo"], "left"), ["set_id", "set_lo"])
-    return out.select("key", class_id("set_id", "set_lo").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = members.distinct().join(named(members).join(n, ["set_id", "set_lo"], "left"), ["set_id", "set_lo"])
+    return out.select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def class_links(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(class_a, class_b): links by the names of the classes, the smaller first."""
+    x, y = (named(members).select(F.col("set_id").alias(s), F.col("set_lo").alias(f"{s}lo"), F.col("class_id").alias(f"c{s}")) for s in "ab")
+    j = links.join(x, ["a", "alo"]).join(y, ["b", "blo"])
+    return j.select(F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b"))
 
 
 def _fields(utterances: DataFrame, switches: DataFrame, what) -> DataFrame:
@@ -167,11 +173,5 @@ def all_groups(utterances: DataFrame, switches: DataFrame) -> DataFrame:
 
 
 def all_links(utterances: DataFrame, switches: DataFrame) -> DataFrame:
-    """p3_links: links between the classes of p3_groups, each class by its id and its least record."""
-
-    def named(links: DataFrame, members: DataFrame) -> DataFrame:
-        least = members.groupBy("set_id", "set_lo").agg(F.min("key").alias("key"))
-        x, y = (least.select(F.col("set_id").alias(s), F.col("set_lo").alias(f"{s}lo"), F.col("key").alias(f"key_{s}")) for s in "ab")
-        return links.join(x, ["a", "alo"]).join(y, ["b", "blo"]).select(class_id("a", "alo").alias("class_a"), class_id("b", "blo").alias("class_b"), "key_a", "key_b")
-
-    return _fields(utterances, switches, named)
+    """p3_links: links between the classes of p3_groups."""
+    return _fields(utterances, switches, class_links)

@@ -1,5 +1,9 @@
 """DuckDB SQL of the queries that SQL can express over the whole tables."""
 
+import unicodedata
+
+from sandhi.llm.lookalike import FOLD
+
 P1 = r"""
 WITH u AS (SELECT DISTINCT utt_id, nullif(lower(trim(speaker)), '') AS speaker, dur FROM utterances WHERE dur BETWEEN 0.5 AND 30),
 g AS (SELECT sum(dur) / 10 AS g FROM u),
@@ -67,11 +71,116 @@ ig AS (SELECT item_id, array_to_string(t[p : p + 7], ' ') AS g FROM (SELECT item
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """.replace("WS", WS)
 
+
+P1_MET = r"""
+WITH u AS (SELECT DISTINCT utt_id, nullif(lower(trim(speaker)), '') AS speaker, dur FROM utterances WHERE dur BETWEEN 0.5 AND 30),
+m AS (SELECT speaker, sum(CAST(round(dur * 1000000) AS BIGINT)) / 1e6 AS s FROM u GROUP BY speaker),
+g AS (SELECT sum(CAST(round(dur * 1000000) AS BIGINT)) / 1e6 AS g FROM u),
+w AS (SELECT t.speaker, coalesce(m.s, 0) AS available, greatest(t.min_seconds, t.target_share * (CAST(0.1 AS DOUBLE) * g.g)) AS wanted FROM speaker_targets t CROSS JOIN g LEFT JOIN m ON m.speaker = lower(trim(t.speaker)))
+SELECT speaker, available, wanted, available >= wanted AS met, true AS close FROM w
+"""
+
+#: edit distance by characters: each distinct character of the two words becomes one of one byte
+_CODE = "coalesce(array_to_string(list_transform(string_split({x}, ''), lambda c: chr(CAST(33 + list_position(list_distinct(string_split({x} || {y}, '')), c) AS INTEGER))), ''), '')"
+
+
+def _distance(x: str, y: str) -> str:
+    return f"levenshtein({_CODE.format(x=x, y=y)}, {_CODE.format(x=y, y=x).replace(f'{y} || {x}', f'{x} || {y}')})"
+
+
+# words at most two edits apart in all share their length but for two, and one of the two words is at most one edit off
+EDITS = rf"""
+w AS (SELECT DISTINCT bigram_id, lower(first) AS f, lower(second) AS s FROM cs_bigrams WHERE length(first) >= 5 AND length(second) >= 5),
+c AS (SELECT f, s, min(bigram_id) AS least, count(*) AS n FROM w GROUP BY f, s),
+cc AS (SELECT DISTINCT a.f AS f1, a.s AS s1, b.f AS f2, b.s AS s2 FROM c a JOIN c b ON (a.f, a.s) < (b.f, b.s) AND abs(length(a.f) - length(b.f)) + abs(length(a.s) - length(b.s)) <= 2),
+e AS (SELECT *, {_distance('f1', 'f2')} AS d1 FROM cc),
+links AS (SELECT f1, s1, f2, s2 FROM e WHERE d1 <= 2 AND d1 + {_distance('s1', 's2')} BETWEEN 1 AND 2)
+"""
+
+P3 = NEAR + "," + EDITS + r"""
+SELECT 'text' AS field, a AS key_a, b AS key_b FROM near
+UNION ALL
+SELECT 'bigram', least(x.bigram_id, y.bigram_id), greatest(x.bigram_id, y.bigram_id) FROM links l JOIN w x ON x.f = l.f1 AND x.s = l.s1 JOIN w y ON y.f = l.f2 AND y.s = l.s2
+"""
+
+CLASSES = NEAR + "," + EDITS + r""",
+named AS (SELECT utt_id, array_to_string(list_sort(s), ' ') AS set FROM sets),
+class AS (SELECT set, min(utt_id) AS class_id, count(*) AS n FROM named GROUP BY set),
+tl AS (SELECT DISTINCT least(p.class_id, q.class_id) AS class_a, greatest(p.class_id, q.class_id) AS class_b FROM near JOIN named x ON x.utt_id = a JOIN named y ON y.utt_id = b JOIN class p ON p.set = x.set JOIN class q ON q.set = y.set WHERE x.set <> y.set),
+bl AS (SELECT least(p.least, q.least) AS class_a, greatest(p.least, q.least) AS class_b FROM links l JOIN c p ON p.f = l.f1 AND p.s = l.s1 JOIN c q ON q.f = l.f2 AND q.s = l.s2)
+"""
+P3_LINKS = CLASSES + "SELECT 'text' AS field, class_a, class_b FROM tl UNION ALL SELECT 'bigram', class_a, class_b FROM bl"
+P3_GROUPS = CLASSES + r""",
+ends AS (SELECT 'text' AS field, class_a AS class_id FROM tl UNION ALL SELECT 'text', class_b FROM tl UNION ALL SELECT 'bigram', class_a FROM bl UNION ALL SELECT 'bigram', class_b FROM bl),
+n AS (SELECT field, class_id, count(*) AS n_links FROM ends GROUP BY ALL),
+m AS (SELECT 'text' AS field, utt_id AS key, class_id, n AS n_copies FROM named JOIN class USING (set) UNION ALL SELECT 'bigram', bigram_id, least, n FROM w JOIN c USING (f, s))
+SELECT field, key, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN n USING (field, class_id)
+"""
+
+P4_SPLIT = P4[: P4.rindex("SELECT a AS utt_a")] + r""",
+pairs AS (SELECT a, b, max(t) AS t, max(s) AS s FROM (SELECT a, b, 1 AS t, 0 AS s FROM text UNION ALL SELECT a, b, 0, 1 FROM same) GROUP BY a, b),
+h AS (SELECT CASE WHEN x.held THEN a ELSE b END AS held, t, s FROM pairs JOIN side x ON x.utt_id = a),
+e AS (SELECT held, sum(t) AS t, sum(s) AS s FROM h GROUP BY held),
+k AS (SELECT utt_id AS held, max(split) AS split, max(corpus) AS corpus FROM utterances WHERE split IN ('dev', 'test') GROUP BY utt_id)
+SELECT split, corpus, count(*) FILTER (t > 0) AS held_by_text, CAST(sum(t) AS BIGINT) AS text_pairs, count(*) FILTER (s > 0) AS held_by_sent_id, CAST(sum(s) AS BIGINT) AS sent_id_pairs FROM e JOIN k USING (held) GROUP BY split, corpus
+"""
+
+# characters that the table folds to one other, composed ones included, and those it leaves out
+_ONE = {c: unicodedata.normalize("NFC", "".join(FOLD.get(x, x) for x in unicodedata.normalize("NFD", c))) for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000)))}
+_ONE = {c: x for c, x in _ONE.items() if x != unicodedata.normalize("NFC", c) and len(x) < 2}
+_FROM = "".join(c for c, x in _ONE.items() if x) + "".join(c for c, x in _ONE.items() if not x)
+_TO = "".join(x for x in _ONE.values() if x).replace("'", "''")
+
+
+def _canon(x: str) -> str:
+    return f"nfc_normalize(translate({x}, '{_FROM}', '{_TO}'))"
+
+
+P5 = rf"""
+WITH t AS (SELECT DISTINCT utt_id AS key, trim(regexp_replace(text, ' +', ' ', 'g'), ' ') AS raw FROM utterances WHERE text IS NOT NULL),
+tc AS (SELECT key, raw, trim(regexp_replace({_canon('raw')}, ' +', ' ', 'g'), ' ') AS canon FROM t),
+b AS (SELECT DISTINCT bigram_id AS key, first || chr(1) || second AS raw FROM cs_bigrams WHERE first IS NOT NULL AND second IS NOT NULL),
+bc AS (SELECT key, raw, {_canon('raw')} AS canon FROM b)
+SELECT 'text' AS field, x.key AS key_a, y.key AS key_b FROM tc x JOIN tc y ON x.canon = y.canon AND x.key < y.key AND x.raw <> y.raw
+UNION ALL
+SELECT 'bigram', x.key, y.key FROM bc x JOIN bc y ON x.canon = y.canon AND x.key < y.key AND x.raw <> y.raw
+"""
+
+P6_SHARES = r"""
+WITH n AS (SELECT count(DISTINCT utt_id) AS n FROM utterances), w AS (SELECT * FROM (VALUES ('test', 0.1), ('dev', 0.1), ('train', 0.8)) v(split, wanted))
+SELECT split, CAST(CASE WHEN split = 'train' THEN n - 2 * round(0.1 * n) ELSE round(0.1 * n) END AS BIGINT) AS records, 0 AS broken, CAST(wanted AS DOUBLE) AS wanted, CASE WHEN split = 'train' THEN n - 2 * round(0.1 * n) ELSE round(0.1 * n) END / n AS share FROM w, n
+"""
+
+P7_RUNS = P7[: P7.index("dg AS")] + r"""
+dg AS (SELECT doc_id, p, array_to_string(t[p : p + 7], ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 6)) AS p FROM d WHERE len(t) >= 8)),
+ig AS (SELECT item_id, p, array_to_string(t[p : p + 7], ' ') AS g FROM (SELECT item_id, t, unnest(range(1, len(t) - 6)) AS p FROM i WHERE len(t) >= 8)),
+m AS (SELECT doc_id, item_id, dg.p AS p, dg.p - ig.p AS diagonal FROM dg JOIN ig USING (g)),
+r AS (SELECT doc_id, item_id, diagonal, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS run FROM m),
+l AS (SELECT doc_id, item_id, count(*) + 7 AS length FROM r GROUP BY doc_id, item_id, diagonal, run)
+SELECT item_id, suite, count(DISTINCT doc_id) AS documents, CAST(coalesce(max(length), 0) AS INTEGER) AS longest_run FROM (SELECT DISTINCT item_id, suite FROM eval_items) LEFT JOIN l USING (item_id) GROUP BY item_id, suite
+"""
+
+# any size will do, as TESTDATA.md says: characters
+P8 = r"""
+WITH d AS (SELECT nullif(lower(trim(source)), '') AS source, length(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT source, sum(n) AS n FROM d GROUP BY source), g AS (SELECT sum(n) AS n FROM d)
+SELECT t.source FROM source_targets t CROSS JOIN g LEFT JOIN s ON s.source = lower(trim(t.source)) WHERE coalesce(s.n, 0) * t.max_repeats < t.target_share * g.n
+"""
+
 SQL = {
     "p1_found": P1,
+    "p1_met": P1_MET,
     "p2_found": P2_COUNTS + "SELECT field, term, mark FROM marks WHERE mark IS NOT NULL",
     "p2_terms": P2_COUNTS + "SELECT * FROM marks",
+    "p3_found": P3,
+    "p3_groups": P3_GROUPS,
+    "p3_links": P3_LINKS,
     "p4_found": P4,
+    "p4_by_split": P4_SPLIT,
+    "p5_found": P5,
     "p6_found": P6,
+    "p6_shares": P6_SHARES,
     "p7_found": P7,
+    "p7_runs": P7_RUNS,
+    "p8_found": P8,
 }

@@ -146,14 +146,19 @@ def found(utterances: DataFrame) -> DataFrame:
     return pairs.select(F.least("train", "held").alias("utt_a"), F.greatest("train", "held").alias("utt_b")).distinct()
 
 
+def either(utterances: DataFrame) -> DataFrame:
+    """(train, held, by_text, by_sent_id): pairs with near-same text or the same sent_id; written."""
+    text = across(utterances).select("train", "held", F.lit(True).alias("by_text"), F.lit(False).alias("by_sent_id"))
+    sent = same_sentence(utterances).select("train", "held", F.lit(False).alias("by_text"), F.lit(True).alias("by_sent_id"))
+    pairs = text.unionByName(sent).groupBy("train", "held").agg(F.max("by_text").alias("by_text"), F.max("by_sent_id").alias("by_sent_id"))
+    return materialize(pairs, "overlaps")
+
+
 def overlaps(utterances: DataFrame) -> DataFrame:
     """One row a pair of a train and a held-out record, their split and corpus, and how they are alike:
     (train, held, split, corpus, train_corpus, by_text, by_sent_id, aligned, cover_train, cover_held), the
     covers being the share of either record's terms that the alignment holds (null for a text without terms)."""
-    text = across(utterances).select("train", "held", F.lit(True).alias("by_text"), F.lit(False).alias("by_sent_id"))
-    sent = same_sentence(utterances).select("train", "held", F.lit(False).alias("by_text"), F.lit(True).alias("by_sent_id"))
-    pairs = text.unionByName(sent).groupBy("train", "held").agg(F.max("by_text").alias("by_text"), F.max("by_sent_id").alias("by_sent_id"))
-    pairs = materialize(pairs, "overlaps")
+    pairs = either(utterances)
     keys = pairs.select(F.col("train").alias("utt_id")).unionByName(pairs.select(F.col("held").alias("utt_id"))).distinct()
     rows = utterances.join(keys, "utt_id", "left_semi").groupBy("utt_id").agg(F.max("corpus").alias("corpus"), F.max_by("split", F.when(F.col("split") != "train", F.col("split"))).alias("split"), F.max("text").alias("text"))
     one = materialize(rows.select("utt_id", "corpus", "split", term_hashes(F.col("text")).alias("terms")), "records")
@@ -178,13 +183,9 @@ def overlaps(utterances: DataFrame) -> DataFrame:
 
 
 def by_split(utterances: DataFrame) -> DataFrame:
-    """Overlaps per held-out split and corpus: records and pairs concerned by text and by sent_id, and the
-    mean coverage of the held-out records by their best match in text."""
-    o = materialize(overlaps(utterances), "aligned")
-    each = o.groupBy("split", "corpus", "held").agg(
-        F.max(F.when(F.col("by_text"), F.col("cover_held"))).alias("cover"), F.count_if("by_text").alias("t"), F.count_if("by_sent_id").alias("s")
-    )
+    """Overlaps per held-out split and corpus: held-out records and pairs concerned, by text and by sent_id."""
+    kind = utterances.where("split in ('dev', 'test')").groupBy(F.col("utt_id").alias("held")).agg(F.max("split").alias("split"), F.max("corpus").alias("corpus"))
+    each = either(utterances).groupBy("held").agg(F.count_if("by_text").alias("t"), F.count_if("by_sent_id").alias("s")).join(kind, "held")
     return each.groupBy("split", "corpus").agg(
-        F.count_if(F.col("t") > 0).alias("held_by_text"), F.sum("t").alias("text_pairs"), F.coalesce(F.avg("cover"), F.lit(0.0)).alias("mean_cover"),
-        F.count_if(F.col("s") > 0).alias("held_by_sent_id"), F.sum("s").alias("sent_id_pairs"),
+        F.count_if(F.col("t") > 0).alias("held_by_text"), F.sum("t").alias("text_pairs"), F.count_if(F.col("s") > 0).alias("held_by_sent_id"), F.sum("s").alias("sent_id_pairs")
     )
