@@ -40,7 +40,7 @@ def manifest_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy(*src.FIELDS).agg(n())
 
 
-@query("WITH u AS (SELECT utt_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') || ' ' || epoch_us(arrived_at) AS t, arrived_at FROM utterances WHERE text IS NOT NULL) SELECT utt_id AS key, arg_max(t, arrived_at) AS value FROM u GROUP BY key")
+@query(f"WITH u AS (SELECT utt_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') || ' ' || epoch_us(arrived_at), '^{R.WS}', '') AS t, arrived_at FROM utterances WHERE text IS NOT NULL) SELECT utt_id AS key, arg_max(t, arrived_at) AS value FROM u GROUP BY key")
 def kv_parse(spark: SparkSession, d: str) -> DataFrame:
     """Each delivery is a line that ends in its time, so the last one of a key can be told from the others."""
     lines = utterances(spark, d).select(F.concat("utt_id", F.lit(" "), F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit(" "), F.unix_micros("arrived_at")).alias("value"), "arrived_at")
