@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +32,25 @@ def mono(channels: Column) -> Column:
     return F.transform(channels, lambda f: F.aggregate(f, F.lit(0.0).cast("double"), lambda a, v: a + v) / F.size(f))
 
 
+def duration(x: Column, sr: int) -> Column:
+    return F.size(x) / F.lit(float(sr))
+
+
 def resample(sr: int, to: int = 16_000):
-    """Arrow UDF: linear interpolation from one rate to another."""
+    """Linear interpolation from one rate to another, as a function of a column of array<float>."""
+
+    def run(x: Column) -> Column:
+        if sr == to:
+            return x
+        n, last = F.round(F.size(x) * (to / sr)).cast("int"), F.size(x) - 1
 
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        def one(x):
-            if x is None or not len(x) or sr == to:
-                return x
-            n = int(round(len(x) * to / sr))
-            return np.interp(np.arange(n) * (sr / to), np.arange(len(x)), np.asarray(x, dtype=np.float64)).astype(np.float32)
+        def one(i: Column) -> Column:
+            at = i * F.lit(sr / to)
+            lo = F.least(F.floor(at).cast("int"), last)
+            a, b = F.get(x, lo).cast("double"), F.get(x, F.least(lo + 1, last)).cast("double")
+            return (a + (b - a) * F.least(F.lit(1.0), at - lo)).cast("float")
 
-        return s.map(one)
+        return F.when(F.size(x) == 0, x).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), one))
 
     return run
 

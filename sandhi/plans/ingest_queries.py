@@ -33,11 +33,12 @@ def pruned_scan(spark: SparkSession, d: str) -> DataFrame:
     return utterances(spark, d).select("utt_id", "dur")
 
 
-@query("SELECT utt_id, text, dur, wav, lang, speaker, sent_id, count(*) AS n FROM utterances GROUP BY ALL")
+@query("SELECT utt_id, text, dur, wav, lang, speaker, sent_id, coalesce(array_to_string(list_sort(list_filter(list_transform(map_entries(extra), lambda e: e.key || '=' || e.value), lambda x: x IS NOT NULL)), ';'), '') AS more, count(*) AS n FROM utterances GROUP BY ALL")
 def manifest_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """To JSON lines and back."""
+    """To JSON lines and back, the entries of extra as sorted text."""
     back = src.parse_utterances(src.to_json_lines(utterances(spark, d).select(*src.FIELDS, "extra")))
-    return back.groupBy(*src.FIELDS).agg(n())
+    more = F.array_join(F.array_sort(F.transform(F.map_entries("extra"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return back.withColumn("more", F.coalesce(more, F.lit(""))).groupBy(*src.FIELDS, "more").agg(n())
 
 
 @query(f"WITH u AS (SELECT utt_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') || ' ' || epoch_us(arrived_at), '^{R.WS}', '') AS t, arrived_at FROM utterances WHERE text IS NOT NULL) SELECT utt_id AS key, arg_max(t, arrived_at) AS value FROM u GROUP BY key")
@@ -261,6 +262,27 @@ def audio_cut_slice(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", joined(x).alias("samples"))
 
 
+@query(f"SELECT vec_id, len(embedding) / 16.0 AS seconds, {samples('list_transform(range(1, len(embedding) + 1), lambda i: CAST((embedding[i] + embedding[-i]) / 2.0 AS FLOAT))')} AS samples FROM embeddings")
+def mono_clip(spark: SparkSession, d: str) -> DataFrame:
+    """Two channels (the second is the first backwards) to their mean."""
+    frames = F.zip_with("embedding", F.reverse("embedding"), lambda a, b: F.array(a, b))
+    x = F.transform(W.mono(frames), lambda v: v.cast("float"))
+    return table(spark, d, "embeddings").select("vec_id", W.duration(F.col("embedding"), 16).alias("seconds"), joined(x).alias("samples"))
+
+
+AT = "(i * CAST(0.6 AS DOUBLE))"
+
+
+@query(
+    f"WITH r AS (SELECT vec_id, list_transform(range(0, CAST(round(len(embedding) * (1 / CAST(0.6 AS DOUBLE))) AS BIGINT)), lambda i: CAST(CAST(embedding[least(floor({AT}), len(embedding) - 1) + 1] AS DOUBLE) + "
+    f"(CAST(embedding[least(floor({AT}) + 1, len(embedding) - 1) + 1] AS DOUBLE) - CAST(embedding[least(floor({AT}), len(embedding) - 1) + 1] AS DOUBLE)) * least(1.0, {AT} - least(floor({AT}), len(embedding) - 1)) AS FLOAT)) AS x FROM embeddings) "
+    f"SELECT vec_id, {samples('x')} AS samples FROM r"
+)
+def resample_clip(spark: SparkSession, d: str) -> DataFrame:
+    """From 6 samples a second to 10."""
+    return table(spark, d, "embeddings").select("vec_id", joined(W.resample(6, 10)(F.col("embedding"))).alias("samples"))
+
+
 @query(f"WITH f AS (SELECT vec_id // 8 AS recording, flatten(list(embedding ORDER BY vec_id)) AS x FROM embeddings GROUP BY 1) SELECT recording, {samples('x')} AS samples FROM f")
 def concat_arrays(spark: SparkSession, d: str) -> DataFrame:
     """Clips of a recording joined in order; eight clips make one, so no row grows with the table."""
