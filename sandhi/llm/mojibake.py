@@ -52,7 +52,7 @@ IDEOGRAPH = re.compile("[\\u2e80-\\u9fff\\ue000-\\uf8ff\\ufe30-\\ufe4f\\uff00-\\
 ODD_TEXT = "[^\\x00-\\x7f\\u0900-\\u097f]"
 #: log odds that a well-formed sequence of bytes gives for garbling, by kind of encoding
 FORMED, FORMED_LETTERED = 12.0, -2.0
-KEYED = 4  # known characters of a pattern by which it is joined with words
+KEYED = 3  # known characters of a pattern by which it is joined with words
 
 HIGH = "".join(bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0x100))
 PLAUSIBLE = {chr(c) for c in range(0x900, 0x980)} | {chr(c) for c in range(0x80, 0x100)} | set(HIGH) | {"‌", "‍", "₹", "‐", "‑", "‒", "―", "′", "″", "﻿"}
@@ -433,11 +433,13 @@ def open_words(done: str, holes: list[str]) -> list[tuple[int, list[tuple[list[s
     return out
 
 
-def pattern(sets: list[str]) -> tuple[str, int, str, str]:
-    """(what each place may be, number of places, the first known ones, the characters there), lower case."""
+def pattern(sets: list[str]) -> tuple[str, int, str, str, str | None]:
+    """(what each place may be, number of places, the first known ones, the characters there, the word if all
+    are known), lower case."""
     low = [x.lower() for x in sets]
-    known = [i for i, x in enumerate(low) if len(x) == 1][:KEYED]
-    return json.dumps(low, ensure_ascii=False), len(low), ",".join(map(str, known)), "".join(low[i] for i in known)
+    known = [i for i, x in enumerate(low) if len(x) == 1]
+    whole = "".join(low) if len(known) == len(low) else None
+    return json.dumps(low, ensure_ascii=False), len(low), ",".join(map(str, known[:KEYED])), "".join(low[i] for i in known[:KEYED]), whole
 
 
 def fits(p: str, word: str) -> bool:
@@ -494,13 +496,19 @@ def pair_counts(texts: DataFrame, col: str) -> np.ndarray:
 
 
 def best_words(patterns: DataFrame, texts: DataFrame, text: str, model) -> DataFrame:
-    """patterns(p, size, places, known) to (p, word, score): of all words of all texts that fit, the best.
+    """patterns(p, size, places, known, whole) to (p, word, score): of all words of all texts that fit, the best.
     model: a broadcast of the pair counts."""
-    words = texts.select(F.explode_outer(term_array(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("word is not null")
-    kinds = patterns.select("size", "places").distinct()
-    at = F.filter(F.split("places", ","), lambda x: x != "")
-    keyed = words.join(kinds, F.char_length("word") == F.col("size")).withColumn("known", F.array_join(F.transform(at, lambda i: F.substring(F.col("word"), i.cast("int") + 1, F.lit(1))), ""))
-    both = keyed.join(patterns, ["size", "places", "known"]).select("p", "word", "n")
+    words = texts.select(F.explode_outer(term_array(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = materialize(words, "vocabulary")
+    open_ = patterns.where("whole is null")
+    kinds = open_.select("size", "places").distinct()
+    at = F.split("places", ",")
+    kinds = kinds.select("size", "places", *(F.get(at, k).try_cast("int").alias(f"k{k}") for k in range(KEYED)))
+    known = F.concat(*(F.when(F.col(f"k{k}").isNull(), "").otherwise(F.substring("word", F.col(f"k{k}") + 1, F.lit(1))) for k in range(KEYED)))
+    # an open place is no ASCII character, so no plain ASCII word fits
+    keyed = words.where(F.col("word").rlike("[^\\x00-\\x7f]")).join(kinds, F.char_length("word") == F.col("size")).select("word", "n", "size", "places", known.alias("known"))
+    both = keyed.join(open_, ["size", "places", "known"]).select("p", "word", "n")
+    both = both.unionByName(words.join(patterns.where("whole is not null"), F.col("word") == F.col("whole")).select("p", "word", "n"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(model.value)
@@ -528,16 +536,17 @@ def decode(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                     keep.append(i)
                     got.append(unravel(t, m))
                     ps = {pattern(sets) for _, ways in open_words(got[-1][0], got[-1][1]) for sets, _ in ways}
-                    pats.append([dict(zip(("p", "size", "places", "known"), p)) for p in sorted(ps)])
+                    pats.append([dict(zip(("p", "size", "places", "known", "whole"), p)) for p in sorted(ps, key=lambda p: p[0])])
             yield pa.RecordBatch.from_arrays(
                 [*b.take(pa.array(keep, pa.int64())).columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.list_(pa.string())), pa.array([",".join(x[2]) for x in got], pa.string()), pa.array([x[3] for x in got], pa.bool_()), pa.array(pats, PATTERNS)],
                 ["doc", "text", "done", "holes", "encodings", "whole", "patterns"],
             )
 
-    shape = f"doc {kind}, text string, done string, holes array<string>, encodings string, whole boolean, patterns array<struct<p: string, size: int, places: string, known: string>>"
+    shape = f"doc {kind}, text string, done string, holes array<string>, encodings string, whole boolean, patterns array<struct<p: string, size: int, places: string, known: string, whole: string>>"
     undone = materialize(rows.where(F.col("text").rlike(ODD_TEXT)).mapInArrow(undo, shape).withColumn("row", F.monotonically_increasing_id()), "undone")
     each = undone.select("row", F.explode("patterns").alias("p")).select("row", "p.*")
-    best = materialize(best_words(each.drop("row").distinct(), rows, "text", model), "words")
+    patterns = materialize(each.drop("row").distinct(), "patterns")  # its size is known to the planner
+    best = materialize(best_words(patterns, rows, "text", model), "words")
     # the words of one document's holes
     words = each.join(best, "p").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("p", F.struct("word", "score")))).alias("known"))
     joined = undone.join(words, "row", "left").select("doc", "text", "done", "holes", "encodings", "whole", F.to_json("known").alias("known"))
@@ -557,7 +566,7 @@ def decode(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return joined.mapInArrow(put, f"doc {kind}, text string, restored string, encodings string, complete boolean")
 
 
-PATTERNS = pa.list_(pa.struct([("p", pa.string()), ("size", pa.int32()), ("places", pa.string()), ("known", pa.string())]))
+PATTERNS = pa.list_(pa.struct([("p", pa.string()), ("size", pa.int32()), ("places", pa.string()), ("known", pa.string()), ("whole", pa.string())]))
 
 
 def found(documents: DataFrame) -> DataFrame:
