@@ -188,7 +188,7 @@ def canonical(records: DataFrame, sep: str = " ") -> tuple[DataFrame, DataFrame]
     spaced = F.translate("raw", SPACES, " " * len(SPACES)) if sep == " " else F.col("raw")
     cut = materialize(odd.select("raw").distinct().select("raw", F.posexplode_outer(F.split(blanks(spaced) if sep == " " else spaced, sep)).alias("pos", "token")), "tokens")
     strange = cut.where(F.col("token").rlike(ODD)).select("token")
-    vocabulary = plain.select(F.explode_outer(F.split("raw", sep)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    vocabulary = materialize(plain.select(F.explode_outer(F.split("raw", sep)).alias("token")).groupBy("token").agg(F.count("*").alias("n")), "vocabulary")
     spelled = cut.join(spellings(vocabulary, strange), "token", "left").select("raw", "pos", F.coalesce("canon", "token").alias("canon"))
     # a token of nothing but ignorables leaves no blank behind
     text = spelled.groupBy("raw").agg(F.array_sort(F.collect_list(F.struct("pos", "canon"))).alias("t")).select("raw", F.array_join("t.canon", sep).alias("canon"))
