@@ -147,9 +147,11 @@ def prefix_keys(v: np.ndarray, c: np.ndarray, n: np.ndarray, p: np.ndarray, tile
 
 def once(b: pa.RecordBatch) -> pa.RecordBatch:
     """Rows of equal id, lo and side once, so that a group of copies, however large, adds one row a batch."""
-    at = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
-    _, first = np.unique(at, axis=1, return_index=True)
-    return b.take(pa.array(np.sort(first)))
+    at = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+    o = np.lexsort(at)
+    new = np.ones(len(o), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[o][1:] != x[o][:-1] for x in at])
+    return b if new.all() else b.take(pa.array(np.sort(o[new])))
 
 
 def distinct(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,12 +165,12 @@ def distinct(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequencies(df: DataFrame) -> DataFrame:
-    """(token, n) of all tokens of two records or more of df(id, lo, side, tokens), materialised."""
+    """(token, n) of all tokens of two records or more of df(id, lo, side, tokens), materialised; the tokens of a
+    record are distinct."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, _ = distinct(*lists(once(b).column(3)))
-            t, k = np.unique(v, return_counts=True)
+            t, k = np.unique(lists(once(b).column(3))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(k.astype(np.int64))], ["token", "n"])
 
     got = df.select("id", "lo", "side", "tokens").mapInArrow(count, "token long, n long")
@@ -177,7 +179,7 @@ def frequencies(df: DataFrame) -> DataFrame:
 
 def by_join(df: DataFrame, freq: DataFrame) -> DataFrame:
     """df(id, lo, side, tokens) with its tokens in the global order, and their frequencies, by a shuffle."""
-    each = df.dropDuplicates(["id", "lo", "side"]).select("id", "lo", "side", F.explode_outer(F.array_distinct("tokens")).alias("token"))
+    each = df.dropDuplicates(["id", "lo", "side"]).select("id", "lo", "side", F.explode_outer("tokens").alias("token"))
     t = each.join(freq, "token", "left").select("id", "lo", "side", F.struct(F.coalesce("n", F.lit(1).cast("long")).alias("n"), "token").alias("t"))
     t = t.groupBy("id", "lo", "side").agg(F.sort_array(F.collect_list("t")).alias("t"))  # one record's tokens
     return t.select("id", "lo", "side", F.col("t.token").alias("tokens"), F.col("t.n").alias("counts"))
@@ -195,8 +197,8 @@ ENTRY = "block long, meta int, id long, side byte, " + ", ".join(f"{s} long" for
 
 
 def entries(df: DataFrame, rule: Rule, least: int = 2) -> DataFrame:
-    """df(id long, lo long, side byte, tokens array<long>) to block entries of the records with at least
-    ``least`` distinct tokens. id and lo together name a set; only id goes on, and sets that share it are
+    """df(id long, lo long, side byte, tokens array<long>), the tokens of a record being distinct, to block
+    entries of the records with at least ``least`` tokens. id and lo together name a set; only id goes on, and sets that share it are
     told apart where pairs are verified. meta is 4 times the size plus the role in a pair of tiles."""
     freq = frequencies(df)
     spark = df.sparkSession
@@ -214,14 +216,13 @@ def entries(df: DataFrame, rule: Rule, least: int = 2) -> DataFrame:
         if joins:
             c = lists(b.column(4))[0]
         else:
-            v, n = distinct(v, n)
             c = np.ones(len(v), dtype=np.int64)
             t, k = sent.value
             if len(t):
                 at = np.minimum(np.searchsorted(t, v), len(t) - 1)
                 c = np.where(t[at] == v, k[at], 1)
-                o = np.lexsort((v, c, np.repeat(np.arange(len(n)), n)))
-                v, c = v[o], c[o]
+            o = np.lexsort((v, c, np.repeat(np.arange(len(n)), n)))
+            v, c = v[o], c[o]
         big = n >= max(2, least)
         inside = np.repeat(big, n)
         return b.filter(pa.array(big)), v[inside], c[inside], n[big]

@@ -26,9 +26,8 @@ SEP = "\u0001"
 
 
 def classes(df: DataFrame, key: str, text: str, extra: list[str] | None = None, least: int = 1) -> DataFrame:
-    """(key, set_id, set_lo, n, terms, *extra) a row of df with at least ``least`` distinct terms: the term
-    hashes in order, their distinct number, and the 128 bits that name the set they form; written to the
-    shared folder."""
+    """(key, set_id, set_lo, n, terms, *extra) a row of df with at least ``least`` distinct terms: their hashes,
+    sorted, their number, and the 128 bits that name the set they form; written to the shared folder."""
     extra = extra or []
     kinds = dict(df.dtypes)
     base = df.select(F.col(key).alias("key"), term_hashes(F.col(text)).alias("terms"), *extra)
@@ -47,7 +46,7 @@ def classes(df: DataFrame, key: str, text: str, extra: list[str] | None = None,
                     ident.append(mix(np.add.reduceat(part, starts(size)) if len(part) else np.zeros(0, np.uint64)))
             ok = pa.array(size >= least)
             out = pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(x.view(np.int64)) for x in ident), pa.array(size.astype(np.int32)), list_array(v, n, pa.int64()), *b.columns[2:]],
+                [b.column(0), *(pa.array(x.view(np.int64)) for x in ident), pa.array(size.astype(np.int32)), list_array(tokens, size, pa.int64()), *b.columns[2:]],
                 ["key", "set_id", "set_lo", "n", "terms", *extra],
             )
             yield out.filter(ok)
@@ -65,7 +64,7 @@ def verified(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFram
     """(a, alo, b, blo, shared, joint) of the pairs (a, b) of sets that truly share num/den of their terms;
     table has one row or more a set."""
     ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    one = table.join(ids, "set_id", "left_semi").groupBy("set_id", "set_lo").agg(F.array_distinct(F.first("terms")).alias("terms"))
+    one = table.join(ids, "set_id", "left_semi").groupBy("set_id", "set_lo").agg(F.first("terms").alias("terms"))
     one = materialize(one, "ends")
     x, y = (one.select(F.col("set_id").alias(s), F.col("set_lo").alias(f"{s}lo"), F.col("terms").alias(f"{s}terms")) for s in "ab")
     both = pairs.join(x, "a").join(y, "b").where("a != b or alo < blo")
