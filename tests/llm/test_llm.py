@@ -20,13 +20,84 @@ def con(data):
     return tables(data)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, data, con, name):
-    df = QUERIES[name](spark, data)
-    if name in SQL:
-        compare(df, SQL[name], con)
-    else:
-        assert df.count() >= 0
+    compare(QUERIES[name](spark, data), SQL[name], con)
+
+
+def rows_of(spark, data, name):
+    return [r.asDict() for r in QUERIES[name](spark, data).collect()]
+
+
+def test_sample_of_the_table(spark, data, con):
+    sample, report = rows_of(spark, data, "p1_sample"), {r["speaker"].strip().lower(): r for r in rows_of(spark, data, "p1_report")}
+    short = {r["speaker"].strip().lower() for r in rows_of(spark, data, "p1_found")}
+    assert len({r["utt_id"] for r in sample}) == len(sample) > 0
+    for name, r in report.items():
+        mine = [x for x in sample if x["speaker"] == name]
+        assert abs(sum(x["dur"] for x in mine) - r["drawn"]) < 1e-3 and len(mine) == r["n_drawn"]
+        assert (name in short) == (not r["met"]) and (r["drawn"] == r["available"] if name in short else 0 <= r["residual"] < 30)
+
+
+def test_overlaps_of_the_table(spark, data, con):
+    found = {(r["utt_a"], r["utt_b"]) for r in rows_of(spark, data, "p4_found")}
+    rows = rows_of(spark, data, "p4_overlaps")
+    assert {tuple(sorted((r["train"], r["held"]))) for r in rows} == found and len(rows) == len(found)
+    split = dict(con.execute("SELECT DISTINCT utt_id, split FROM utterances").fetchall())
+    for r in rows:
+        assert split[r["train"]] == "train" and split[r["held"]] == r["split"] and (r["by_text"] or r["by_sent_id"])
+        assert not r["by_text"] or r["cover_held"] > 0.2
+
+
+def test_spellings_of_the_table(spark, data):
+    pairs = {(r["field"], r["key_a"], r["key_b"]) for r in rows_of(spark, data, "p5_found")}
+    alike = defaultdict(list)
+    for r in rows_of(spark, data, "p5_spelled"):
+        alike[r["field"], r["canon"]].append((r["key"], r["raw"]))
+    got = {(f, min(a, x), max(a, x)) for (f, _), v in alike.items() for a, ra in v for x, rx in v if a != x and ra != rx}
+    assert got == pairs and len(pairs) > 0
+
+
+def test_splits_of_the_table(spark, data, con):
+    rows = rows_of(spark, data, "p6_splits")
+    where = defaultdict(set)
+    for r in rows:
+        where[r["root"]].add(r["new_split"])
+    assert all(len(x) == 1 for x in where.values()) and len(rows) == con.execute("SELECT count(DISTINCT utt_id) FROM utterances").fetchone()[0]
+    tied = con.execute("SELECT DISTINCT lower(trim(speaker)), utt_id FROM utterances WHERE trim(speaker) <> ''").fetchall()
+    new, of = {r["utt_id"]: r["new_split"] for r in rows}, defaultdict(set)
+    for speaker, u in tied:
+        of[speaker].add(new[u])
+    assert all(len(x) == 1 for x in of.values())
+
+
+def test_leaks_of_the_table(spark, data):
+    pairs = rows_of(spark, data, "p7_pairs")
+    found = {(r["doc_id"], r["item_id"]) for r in rows_of(spark, data, "p7_found")}
+    assert {(r["doc_id"], r["item_id"]) for r in pairs if r["kind"] == "verbatim"} == found
+    assert all(r["run"] >= 8 if r["kind"] == "verbatim" else r["run"] == 0 and r["share"] >= leak.SHARE for r in pairs)
+    assert all(r["shared"] >= r["run"] and 0 < r["cover"] <= 1 for r in pairs)
+    report = rows_of(spark, data, "p7_report")
+    assert sum(r["verbatim"] for r in report) == len(found) and sum(r["paraphrased"] for r in report) == len(pairs) - len(found)
+
+
+def test_mix_of_the_table(spark, data):
+    mix, report = rows_of(spark, data, "p8_mix"), {r["source"].strip().lower(): r for r in rows_of(spark, data, "p8_report")}
+    short = {r["source"].strip().lower() for r in rows_of(spark, data, "p8_found")}
+    assert [r["position"] for r in mix] == sorted(r["position"] for r in mix) and 0 <= mix[0]["position"] <= mix[-1]["position"] < 1
+    for name, r in report.items():
+        mine = [x for x in mix if x["source"] == name]
+        uses = Counter(x["doc"] for x in mine)
+        assert sum(x["tokens"] for x in mine) == r["mixed"] and max(uses.values(), default=0) <= r["max_repeats"]
+        assert (name in short) == (r["mixed"] < r["wanted"]) == (not r["met"])
+    assert abs(sum(r["actual_share"] for r in report.values()) - 1) < 1e-6
+
+
+def test_restored_of_the_table(spark, data):
+    found = {r["doc_id"] for r in rows_of(spark, data, "p9_found")}
+    rows = rows_of(spark, data, "p9_restored")
+    assert {r["doc_id"] for r in rows} == found and sum(r["complete"] for r in rows) >= 0.8 * len(rows) > 0
+    assert not any(mojibake.LOST in r["restored"] or mojibake.HOLE in r["restored"] for r in rows if r["complete"])
 
 
 def utts(spark, rows):
@@ -182,6 +253,33 @@ def test_empty_tables(spark):
     assert [r["speaker"] for r in balance.short_speakers(u, t).collect()] == ["a"]
     s = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
     assert mixing.compose(docs, s)[0].count() == 0
+    assert [(r["source"], r["met"], r["mixed"]) for r in mixing.report(*reversed(mixing.compose(docs, s))).collect()] == [("a", True, 0)]
+    items = spark.createDataFrame([(1, "a b c d e f g h i", "s")], "item_id long, text string, suite string")
+    assert leak.pairs(docs, items).count() == 0 and leak.report(docs, items).first()["verbatim"] == 0 and leak.runs(docs, items).first()["documents"] == 0
+    assert neardup.all_groups(u, b).count() == 0 and neardup.all_links(u, b).count() == 0
+    assert overlap.overlaps(u).count() == 0 and overlap.by_split(u).count() == 0
+    assert lookalike.spelled(u, b).count() == 0 and mojibake.decode(docs).count() == 0
+    assert [(r["split"], r["records"], r["share"]) for r in components.shares(u).orderBy("split").collect()] == [("dev", 0, 0.0), ("test", 0, 0.0), ("train", 0, 0.0)]
+    assert [(r["met"], r["close"]) for r in balance.met(u, t).collect()] == [(False, True)]
+    none = t.where("1 = 0")
+    assert balance.speaker_sample(u, none)[0].count() == 0 and mixing.short_sources(docs, s.where("1 = 0")).count() == 0
+
+
+def test_nulls_in_every_column(spark):
+    u = utts(spark, [(None,) * 7, ("u1", None, None, None, None, None, None), (None, "a b c d e f g h i", 1.0, "s", "x", "mucs", "train"), ("u2", "a b c d e f g h i", 1.0, "S ", "x", "mucs", "dev")])
+    b = switches(spark, [(None,) * 5, ("b1", None, "files", "words", None), (None, None, "filed", "words", "HE")])
+    docs = spark.createDataFrame([(None, None, None), (None, "caf\ufffd a b c d e f g h", None), (1, None, " S")], "doc_id long, text string, source string")
+    items = spark.createDataFrame([(None, "a b c d e f g h", None), (2, None, "s")], "item_id long, text string, suite string")
+    assert neardup.found(u, b).count() >= 0 and neardup.all_groups(u, b).count() == 4 and neardup.all_links(u, b).count() == 1
+    assert {r["held"] for r in overlap.overlaps(u).collect()} <= {"u2"}
+    assert {(r["field"], r["term"]) for r in termcount.all_counts(u, b).where("field = 'kind'").collect()} == {("kind", "HE")}
+    assert lookalike.found(u, b).count() == 0 and lookalike.spelled(u, b).count() == 4
+    assert components.assign(u).count() == 3 and components.spread(u).count() == 2
+    assert [(r["doc_id"], r["item_id"]) for r in leak.found(docs, items).collect()] == [(None, None)]
+    assert [r["doc_id"] for r in mojibake.found(docs).collect()] == [None] and mojibake.decode(docs).first()["complete"] is False
+    assert mixing.short_sources(docs, spark.createDataFrame([(None, None, None), ("s", 0.5, None)], "source string, target_share double, max_repeats int")).count() == 1
+    t = spark.createDataFrame([(None, None, None), ("s", None, 1.0)], "speaker string, target_share double, min_seconds double")
+    assert [r["speaker"] for r in balance.short_speakers(u, t).collect()] == []
 
 
 def test_terms(spark):
