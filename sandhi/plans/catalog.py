@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sandhi.plans import ingest_queries, score_queries, select_queries, text_queries  # noqa: F401
+from sandhi.plans import ingest_queries, io_queries, score_queries, select_queries, text_queries  # noqa: F401
 from sandhi.plans.registry import QUERIES, SQL, Query
 
 

@@ -274,8 +274,8 @@ AT = "(i * CAST(0.6 AS DOUBLE))"
 
 
 @query(
-    f"WITH r AS (SELECT vec_id, list_transform(range(0, CAST(round(len(embedding) * (1 / CAST(0.6 AS DOUBLE))) AS BIGINT)), lambda i: CAST(CAST(embedding[least(floor({AT}), len(embedding) - 1) + 1] AS DOUBLE) + "
-    f"(CAST(embedding[least(floor({AT}) + 1, len(embedding) - 1) + 1] AS DOUBLE) - CAST(embedding[least(floor({AT}), len(embedding) - 1) + 1] AS DOUBLE)) * least(1.0, {AT} - least(floor({AT}), len(embedding) - 1)) AS FLOAT)) AS x FROM embeddings) "
+    f"WITH r AS (SELECT vec_id, list_transform(range(0, CAST(round(len(embedding) * (1 / CAST(0.6 AS DOUBLE))) AS BIGINT)), lambda i: CAST(CAST(embedding[CAST(least(floor({AT}), len(embedding) - 1) AS BIGINT) + 1] AS DOUBLE) + "
+    f"(CAST(embedding[CAST(least(floor({AT}) + 1, len(embedding) - 1) AS BIGINT) + 1] AS DOUBLE) - CAST(embedding[CAST(least(floor({AT}), len(embedding) - 1) AS BIGINT) + 1] AS DOUBLE)) * least(1.0, {AT} - least(floor({AT}), len(embedding) - 1)) AS FLOAT)) AS x FROM embeddings) "
     f"SELECT vec_id, {samples('x')} AS samples FROM r"
 )
 def resample_clip(spark: SparkSession, d: str) -> DataFrame:

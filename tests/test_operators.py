@@ -108,8 +108,14 @@ def test_external(spark):
 def test_waveform(spark):
     x = [0.0] * 1000 + [0.5] * 500 + [0.0] * 1000
     d = spark.createDataFrame([(x, [0.0] * 10, [2.0, -2.0, 0.0])], "x array<float>, z array<float>, q array<float>")
-    r = d.select(F.size(W.trim_silence(F.col("x"), pad=0)).alias("x"), F.size(W.trim_silence(F.col("z"))).alias("z"), W.quantize_pcm16(F.col("q")).alias("q"), F.size(W.resample(8000)(F.col("x"))).alias("r")).first()
-    assert (r["x"], r["z"], r["q"], r["r"]) == (500, 0, [32767, -32767, 0], 5000)
+    r = d.select(F.size(W.trim_silence(F.col("x"), pad=0)).alias("kept"), F.size(W.trim_silence(F.col("z"))).alias("none"), W.quantize_pcm16(F.col("q")).alias("pcm"), F.size(W.resample(8000)(F.col("x"))).alias("r")).first()
+    assert (r["kept"], r["none"], r["pcm"], r["r"]) == (500, 0, [32767, -32767, 0], 5000)
+    import numpy as np
+
+    y = np.random.default_rng(1).uniform(-1, 1, 44).astype(np.float32)
+    got = spark.createDataFrame([([float(v) for v in y],), ([],), ([0.5],)], "y array<float>").select(W.resample(11, 16)(F.col("y")).alias("r")).collect()
+    want = np.interp(np.arange(64) * (11 / 16), np.arange(44), y.astype(np.float64))
+    assert np.allclose(got[0]["r"], want, atol=1e-6) and got[1]["r"] == [] and got[2]["r"] == [0.5]
 
 
 @pytest.mark.parametrize("mode", ["adjacent", "lenient"])
