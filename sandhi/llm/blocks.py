@@ -1,7 +1,7 @@
 """Candidate pairs of similar token sets: rare-token blocks, compared tile by tile.
 
 A record is a set of 64-bit tokens. Its tokens are put in one global order, rare ones first, by their exact
-numbers of records (ties by token). Its keys name the blocks it enters; two similar records always have a
+numbers of records (those of fewer than RARE and ties by token). Its keys name the blocks it enters; two similar records always have a
 key in common:
 
 * ``Jaccard`` and ``Edits``: the first p tokens (the prefix) hold a shared token, the first p + 1 two. A token
@@ -35,7 +35,8 @@ from sandhi.llm.common import lists, mix, starts, within
 from sandhi.runtime import materialize
 
 TILE = 4096
-KNOWN = 1 << 20  # tokens of two records or more whose frequencies are broadcast at most
+RARE = 8  # tokens of fewer records are all equally rare in the order
+KNOWN = 1 << 20  # tokens of RARE records or more whose frequencies are broadcast at most
 WORDS = 2  # 64-bit words of a signature
 
 
@@ -165,7 +166,7 @@ def distinct(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequencies(df: DataFrame) -> DataFrame:
-    """(token, n) of all tokens of two records or more of df(id, lo, side, tokens), materialised; the tokens of a
+    """(token, n) of all tokens of RARE records or more of df(id, lo, side, tokens), materialised; the tokens of a
     record are distinct."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,7 @@ def frequencies(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(k.astype(np.int64))], ["token", "n"])
 
     got = df.select("id", "lo", "side", "tokens").mapInArrow(count, "token long, n long")
-    return materialize(got.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "frequencies")
+    return materialize(got.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE), "frequencies")
 
 
 def by_join(df: DataFrame, freq: DataFrame) -> DataFrame:

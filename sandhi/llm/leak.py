@@ -242,7 +242,7 @@ class Index:
 def indexed(group: Group, idf: np.ndarray, basis: np.ndarray) -> Index:
     rec, first, width = group.passages()
     square = (idf**2).astype(np.float32)[:, None]
-    length = np.sqrt(projected(group.flat, first, width, square)[:, 0])
+    length = np.sqrt(np.maximum(projected(group.flat, first, width, square)[:, 0], 1e-12))
     unit = projected(group.flat, first, width, idf[:, None] * basis) / length[:, None]
     rest = np.sqrt(np.maximum(1 - (unit**2).sum(axis=1), 0))
     least = np.zeros(len(first), dtype=np.float32)

@@ -274,7 +274,7 @@ def test_nulls_in_every_column(spark):
     assert {r["held"] for r in overlap.overlaps(u).collect()} <= {"u2"}
     assert {(r["field"], r["term"]) for r in termcount.all_counts(u, b).where("field = 'kind'").collect()} == {("kind", "HE")}
     assert lookalike.found(u, b).count() == 0 and lookalike.spelled(u, b).count() == 4
-    assert components.assign(u).count() == 3 and components.spread(u).count() == 2
+    assert components.assign(u).count() == 4 and components.spread(u).count() == 2
     assert [(r["doc_id"], r["item_id"]) for r in leak.found(docs, items).collect()] == [(None, None)]
     assert [r["doc_id"] for r in mojibake.found(docs).collect()] == [None] and mojibake.decode(docs).first()["complete"] is False
     assert mixing.short_sources(docs, spark.createDataFrame([(None, None, None), ("s", 0.5, None)], "source string, target_share double, max_repeats int")).count() == 1
