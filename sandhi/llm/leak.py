@@ -39,7 +39,7 @@ from sandhi.llm.overlap import lcs
 from sandhi.runtime import materialize
 
 RUN, WIDE, STEP = 8, 16, 8
-RANK = 256
+RANK = 512
 SIDE = 64  # random directions multiplied with the passages of the documents
 FIT_DOCS = 20_000  # documents, chosen by hash, whose passages shape the latent space; all are searched
 GROUP_TERMS = 16_384
