@@ -13,14 +13,14 @@ from sandhi.plans import registry as R
 from sandhi.plans.ingest_queries import REQ, requests
 from sandhi.plans.registry import query
 from sandhi.plans.views import once, utterances
-from sandhi.runtime import materialize, shared_dir, table
+from sandhi.runtime import materialize, own_dir, shared_dir, table
 from sandhi.sources import manifests as src
 from sandhi.streaming import cache
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, beside the session's intermediate tables."""
-    return f"{shared_dir(spark)}/sandhi/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path beside the application's intermediate tables."""
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
-_written: dict[str, SparkSession] = {}
+_written: set[str] = set()
 
 
 def build_session(master: str = "local[*]", app: str = "sandhi", **conf: str) -> SparkSession:
@@ -46,30 +46,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage and is not
-    computed twice; a lost executor costs nothing, as the table outlives it. The tables of a session
-    are in one folder, which ``clean`` removes, at the latest when the driver's Python ends."""
+    computed twice; a lost executor costs nothing, as the table outlives it. The tables of an
+    application are in one folder, which is removed when the driver's JVM ends, or by ``clean``."""
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/sandhi/{spark.sparkContext.applicationId}"
-    if root not in _written:
-        _written[root] = spark
-        atexit.register(clean, root)
-    path = f"{root}/{tag}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean(root: str | None = None) -> None:
-    """Removes the intermediate tables of this session (or those below root)."""
-    for at in [root] if root else list(_written):
-        spark = _written.pop(at, None)
-        context = getattr(spark, "_sc", None)
-        if context is None or context._jsc is None:
-            continue  # stopped: nothing left to delete with
-        try:
-            path = context._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001 - the session may be ending
-            pass
+def _hadoop(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; made, and marked to be deleted in the end, when first asked for."""
+    at = f"{shared_dir(spark)}/sandhi/{spark.sparkContext.applicationId}"
+    if at not in _written:
+        fs, path = _hadoop(spark, at)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _written.add(at)
+    return at
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes this application's intermediate tables now; DataFrames that read them can no longer be used."""
+    at = f"{shared_dir(spark)}/sandhi/{spark.sparkContext.applicationId}"
+    fs, path = _hadoop(spark, at)
+    fs.delete(path, True)
+    _written.discard(at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

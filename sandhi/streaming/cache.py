@@ -18,12 +18,10 @@ def answer_stream(requests: DataFrame, cache_path: str, checkpoint: str, backend
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(["key"])
-        try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             known = spark.read.schema("key string, response string").parquet(cache_path)
             new = new.join(known.select("key"), "key", "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         generate(new, backend, **options).write.mode("append").parquet(cache_path)
 
     w = requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

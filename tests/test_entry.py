@@ -49,3 +49,23 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_intermediate_tables_are_removed(tmp_path):
+    """By clean at once, and when the driver ends, whether or not the session was stopped."""
+    code = """
+import os, sys
+from sandhi.runtime import build_session, clean, materialize
+spark = build_session('local[1]', 'end', spark_checkpoint_dir='file://' + sys.argv[1])
+assert materialize(spark.range(3), 'x').count() == 3 and len(os.listdir(sys.argv[1] + '/sandhi')) == 1
+clean(spark)
+assert os.listdir(sys.argv[1] + '/sandhi') == []
+assert materialize(spark.range(3), 'y').count() == 3
+if sys.argv[2] == 'stop':
+    spark.stop()
+print(len(os.listdir(sys.argv[1] + '/sandhi')))
+"""
+    for end in ("stop", "leave"):
+        r = subprocess.run([sys.executable, "-c", code, str(tmp_path), end], cwd=REPO, capture_output=True, text=True, timeout=180, env={**os.environ, "PYTHONPATH": REPO})
+        assert r.returncode == 0 and r.stdout.strip().endswith("1"), r.stderr[-2000:]
+        assert os.listdir(tmp_path / "sandhi") == []
