@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,16 @@ class Jaccard:
         return prefix_keys(v, c, n, self.prefix(n), self.tile)
 
 
+@cache
+def _common(num: int, den: int, n: int) -> int:
+    out = n
+    for m in range(-(-num * n // den), n * den // num + 1):
+        s = -(-num * (n + m) // (num + den))
+        if s <= min(n, m):
+            out = min(out, 3 * s - n - m - 1)
+    return out
+
+
 @dataclass(frozen=True)
 class Minima(Jaccard):
     """The same sets, found by rolling hashes of two neighbours in the order. Of u tokens in all, d not
@@ -70,12 +81,7 @@ class Minima(Jaccard):
 
     def common(self, n: int) -> int:
         """Least number of rolling hashes that a record of n tokens shares with a similar one."""
-        out = n
-        for m in range(-(-self.num * n // self.den), n * self.den // self.num + 1):
-            s = -(-self.num * (n + m) // (self.num + self.den))
-            if s <= min(n, m):
-                out = min(out, 3 * s - n - m - 1)
-        return out
+        return _common(self.num, self.den, n)
 
     def keys(self, v: np.ndarray, c: np.ndarray, n: np.ndarray, more: int = 0) -> Keys:
         sizes = np.unique(n)

@@ -185,6 +185,25 @@ def test_entries_a_record_do_not_grow(spark, monkeypatch, rule):
     assert large <= 10 and small <= 10
 
 
+def test_similar_sets_share_enough_rolling_hashes():
+    """In any order of the tokens: by chance and in the worst case, every second token of the larger set left out."""
+    from sandhi.llm import blocks
+
+    r, rule = random.Random(7), blocks.Minima()
+    for _ in range(4000):
+        u = r.randint(8, 40)
+        d = r.randint(0, 3 * u // 10)
+        out = r.sample(range(u), d) if r.random() < 0.5 else list(range(1, 2 * d, 2))
+        a = [x for x in range(u) if x not in out or r.random() < 0.5]
+        b = [x for x in range(u) if x not in out or x not in a]
+        shared = set(zip(a, a[1:])) & set(zip(b, b[1:]))
+        for x, y in ((a, b), (b, a)):
+            if len(x) >= 8 and len(set(a) & set(b)) * 10 >= 7 * len(set(a) | set(b)):
+                few = rule.common(len(x))
+                assert few >= 3 and len(shared) >= few
+                assert set(list(zip(x, x[1:]))[: len(x) - few]) & shared
+
+
 def test_sets_of_one_id(spark, monkeypatch):
     """Two sets whose first 64 bits agree are told apart, and compared."""
     from sandhi.llm import neardup as nd
