@@ -348,40 +348,40 @@ def candidates(entered: DataFrame, rule: Rule, cross: bool = False) -> DataFrame
     find = pair_finder(rule, cross)
     names = entered.columns
 
-    def repeated(e: dict) -> dict:
-        """Without entries equal to the one before (copies from other batches)."""
-        keep = np.ones(len(e["block"]), dtype=bool)
-        same = [e[k][1:] == e[k][:-1] for k in names]
-        keep[1:] = ~np.logical_and.reduce(same)
+    def ordered(parts: list[dict]) -> dict:
+        """All parts as one, sorted, without repeated entries (copies from other batches)."""
+        e = {k: np.concatenate([x[k] for x in parts]) for k in names}
+        o = np.lexsort((*(e[s] for s in SIGNS), e["side"], e["id"], e["meta"], e["block"]))
+        e = {k: x[o] for k, x in e.items()}
+        keep = np.ones(len(o), dtype=bool)
+        keep[1:] = ~np.logical_and.reduce([e[k][1:] == e[k][:-1] for k in names])
         return {k: x[keep] for k, x in e.items()}
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(parts: list[dict]):
-            e = {k: np.concatenate([x[k] for x in parts]) for k in names}
-            o = np.lexsort((*(e[s] for s in SIGNS), e["side"], e["id"], e["meta"], e["block"]))
-            e = repeated({k: x[o] for k, x in e.items()})
-            i, j = find(e)
-            a, b = e["id"][i], e["id"][j]
-            swap = e["side"][i] > e["side"][j] if cross else a > b
-            p = np.unique(np.stack([np.where(swap, b, a), np.where(swap, a, b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
+    def pairs(e: dict) -> pa.RecordBatch:
+        i, j = find(e)
+        a, b = e["id"][i], e["id"][j]
+        swap = e["side"][i] > e["side"][j] if cross else a > b
+        p = np.unique(np.stack([np.where(swap, b, a), np.where(swap, a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        rows = 0
         for b in batches:
             e = {k: b.column(x).to_numpy(zero_copy_only=False) for x, k in enumerate(names)}
             e |= {s: e[s].view(np.uint64) for s in SIGNS}  # bits of a negative number would be those of its size
-            if not len(e["block"]):
-                continue
-            e = repeated(e)
             held.append(e)
-            last = int(np.searchsorted(e["block"], e["block"][-1]))
-            rows = sum(len(x["block"]) for x in held)
-            if rows - (len(e["block"]) - last) < 100_000 or last == 0:
+            rows += len(e["block"])
+            if rows < 100_000:
                 continue
-            head, tail = {k: x[:last] for k, x in e.items()}, {k: x[last:] for k, x in e.items()}
-            yield flush([*held[:-1], head])
-            held = [tail]
+            e = ordered(held)
+            # the last block may go on; what is held of it has no copies, so it is no larger than a pair of tiles
+            last = int(np.searchsorted(e["block"], e["block"][-1]))
+            if last:
+                yield pairs({k: x[:last] for k, x in e.items()})
+            held = [{k: x[last:] for k, x in e.items()}]
+            rows = len(held[0]["block"])
         if held:
-            yield flush(held)
+            yield pairs(ordered(held))
 
-    return entered.repartition("block").sortWithinPartitions("block", "id", "side").mapInArrow(compare, "a long, b long").distinct()
+    return entered.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long").distinct()
