@@ -10,7 +10,8 @@ compare the passages of their documents with the items' passages by cosine:
 * for verbatim runs the least cosine is what a run of RUN of the item passage's terms gives; the parts of
   both vectors outside the latent space are bounded by Cauchy-Schwarz and added, so no passage with such a
   run is below it;
-* for paraphrases (``near``) the cosine in the latent space has to reach COSINE.
+* for paraphrases (``near``) the cosine in the NEAR_RANK strongest dimensions has to reach COSINE, and a
+  passage to have as many terms of the items as the least share of the shortest passage.
 
 Candidates are checked exactly: longest common run, longest common subsequence, coverage of the item and
 of its best passage. The items have no answers to check.
@@ -45,6 +46,7 @@ FIT_DOCS = 20_000  # documents, chosen by hash, whose passages shape the latent
 GROUP_TERMS = 16_384
 SEGMENT = 4_096  # terms of an item, or of a segment of it; segments overlap by WIDE
 PASS_GROUPS = 4
+NEAR_RANK = 256  # dimensions in which paraphrases are looked for
 COSINE, SHARE = 0.45, 0.6  # least cosine of a paraphrase, and least share of the item passage's terms kept in order
 
 
@@ -274,26 +276,30 @@ def in_group(ix: Index, ids: np.ndarray, n: np.ndarray, near: bool) -> dict[tupl
     inside = np.repeat(f, k) + within(k)
     run_here = np.add.reduceat(long_runs(ids, n)[inside].astype(np.int64), starts(k)) >= RUN
     known = np.add.reduceat((ids >= 0)[inside].astype(np.int64), starts(k))
-    ok = run_here | (near & (known >= int(SHARE * RUN)))
-    doc, f, k, run_here = doc[ok], f[ok], k[ok], run_here[ok]
-    factor = np.hstack([ix.idf[:, None] * ix.basis, (ix.idf**2)[:, None]]).astype(np.float32)
     at, seg = starts(n), starts(ix.group.n)
     segments = len(ix.group.n)
+    factor = np.hstack([ix.idf[:, None] * ix.basis, (ix.idf**2)[:, None]]).astype(np.float32)
     pairs, close = [], []
-    for s in range(0, len(f), 4096):
-        y = projected(ids, f[s : s + 4096], k[s : s + 4096], factor)
+    rd, rf, rk = doc[run_here], f[run_here], k[run_here]
+    for s in range(0, len(rf), 4096):
+        y = projected(ids, rf[s : s + 4096], rk[s : s + 4096], factor)
         norm = np.sqrt(np.maximum(y[:, -1], 1e-12))
         q = y[:, :-1] / norm[:, None]
         rest = np.sqrt(np.maximum(1 - (q**2).sum(axis=1), 0))
-        cosine = q @ ix.unit.T
-        bound = (cosine + rest[:, None] * ix.rest[None, :]) * norm[:, None]
-        i, j = np.nonzero((bound >= (ix.least / ix.length)[None, :] * (1 - 1e-3)) & run_here[s : s + 4096, None])
-        i, j = shared_weight(ix, ids, f[s : s + 4096], k[s : s + 4096], i, j)
-        pairs.append(doc[s : s + 4096][i].astype(np.int64) * segments + ix.owner[j])
-        if near:
-            # in the latent space alone: both vectors are as long as the parts of them inside it
-            inside_q, inside_p = np.sqrt(np.maximum((q**2).sum(axis=1), 1e-12)), np.sqrt(np.maximum((ix.unit**2).sum(axis=1), 1e-12))
-            i, j = np.nonzero(cosine >= COSINE * inside_q[:, None] * inside_p[None, :])
+        bound = (q @ ix.unit.T + rest[:, None] * ix.rest[None, :]) * norm[:, None]
+        i, j = np.nonzero(bound >= (ix.least / ix.length)[None, :] * (1 - 1e-3))
+        i, j = shared_weight(ix, ids, rf[s : s + 4096], rk[s : s + 4096], i, j)
+        pairs.append(rd[s : s + 4096][i].astype(np.int64) * segments + ix.owner[j])
+    if near:
+        # the strongest directions, in which both vectors are as long as the parts of them inside
+        ok = known >= -(-SHARE * RUN // 1)
+        doc, f, k = doc[ok], f[ok], k[ok]
+        strong = np.ascontiguousarray(factor[:, : min(NEAR_RANK, ix.basis.shape[1])])
+        unit = ix.unit[:, : strong.shape[1]]
+        unit = unit / np.sqrt(np.maximum((unit**2).sum(axis=1), 1e-12))[:, None]
+        for s in range(0, len(f), 4096):
+            q = projected(ids, f[s : s + 4096], k[s : s + 4096], strong)
+            i, j = np.nonzero(q @ unit.T >= COSINE * np.sqrt(np.maximum((q**2).sum(axis=1), 1e-12))[:, None])
             close.append(np.stack([i + s, j]))
     for x in np.unique(np.concatenate(pairs)) if pairs else ():
         d, g = divmod(int(x), segments)
