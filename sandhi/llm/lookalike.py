@@ -43,9 +43,8 @@ def compatible() -> dict[str, str]:
     letters and Roman numerals."""
     out = {}
     for c in map(chr, range(0x80, sys.maxunicode + 1)):
-        tag, _, rest = unicodedata.decomposition(c).partition(" ")
-        latin = unicodedata.name(c, "").startswith(("LATIN SMALL LIGATURE", "ROMAN NUMERAL", "SMALL ROMAN NUMERAL"))
-        if tag in ("<wide>", "<narrow>", "<font>") or tag == "<compat>" and latin:
+        tag = unicodedata.decomposition(c).partition(" ")[0]
+        if tag in ("<wide>", "<narrow>", "<font>") or tag == "<compat>" and unicodedata.name(c).startswith(("LATIN SMALL LIGATURE", "ROMAN NUMERAL", "SMALL ROMAN NUMERAL")):
             out[c] = unicodedata.normalize("NFKC", c)
     return out
 

@@ -10,8 +10,8 @@ the gaps aligned, and the aligned share reported for either record.
 
 Null and blank texts have no fingerprints; null and empty sent_ids tie nothing; repeated deliveries count
 once; rows of a split other than train, dev and test are left out; a key delivered in two splits is no
-overlap with itself; empty tables give empty results. Only
-the named columns are read.
+overlap with itself; empty tables give empty results. Only the
+named columns are read.
 """
 
 from __future__ import annotations
@@ -98,17 +98,26 @@ def coverage(a: list, b: list, seeds: list[tuple[int, int]], k: int = GRAM) -> i
     return n + lcs(a[i:], b[j:])
 
 
-def seeds(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Positions in a and in b of equal winnowed hashes, all of a hash with all of it."""
+def seeds(a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
+    """Positions in a and in b of equal winnowed hashes, all of a hash with all of it; None where those would
+    be more than four times the terms, as in texts that say the same again and again."""
     v, n = np.array(a + b, dtype=np.int64), np.array([len(a), len(b)])
     h, m = rolling(v, n)
     at, k = minima(h, m)
     mine: dict[int, list[int]] = {}
     for p in at[: k[0]]:
         mine.setdefault(int(h[p]), []).append(int(p))
+    if sum(len(mine.get(int(h[p]), ())) for p in at[k[0] :]) > 4 * len(v):
+        return None
     return [(i, int(p - m[0])) for p in at[k[0] :] for i in mine.get(int(h[p]), ())]
 
 
+def aligned(a: list[int], b: list[int]) -> int:
+    """Terms aligned along the chain of seeds, or, where there are too many of them, by the whole texts."""
+    s = seeds(a, b)
+    return lcs(a, b) if s is None else coverage(a, b, s)
+
+
 def across(utterances: DataFrame, num: int = 7, den: int = 10, least: int = 8) -> DataFrame:
     """(train, held): pairs of near-same texts."""
     side = F.when(F.col("split") == "train", 0).when(F.col("split").isin("dev", "test"), 1)
@@ -171,7 +180,7 @@ def overlaps(utterances: DataFrame) -> DataFrame:
         for r in batches:
             got, la, lb = [], [], []
             for a, b in zip(r.column(7).to_pylist(), r.column(8).to_pylist()):
-                got.append(coverage(a, b, seeds(a, b)))
+                got.append(aligned(a, b))
                 la.append(len(a))
                 lb.append(len(b))
             n = np.array(got, dtype=np.int64)

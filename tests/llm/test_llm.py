@@ -150,6 +150,14 @@ def test_near_texts_match_brute_force(spark, monkeypatch):
     assert all(0 < r["cover_held"] <= 1 and 0 < r["cover_train"] <= 1 for r in cover)
 
 
+def test_alignment():
+    a, b = list(range(40)), list(range(5, 20)) + [900] + list(range(20, 40))
+    assert overlap.seeds(a, b) and overlap.aligned(a, b) == 35 == overlap.lcs(a, b)
+    assert overlap.aligned([], []) == 0 and overlap.aligned([1], [2]) == 0 and overlap.aligned([1, 2], [2, 1]) == 1
+    again = [1, 2, 3, 4, 5, 6, 7] * 1500
+    assert overlap.seeds(again, again) is None and overlap.aligned(again, again[:-7]) == len(again) - 7
+
+
 def test_tiles_of_a_hot_block(spark, monkeypatch):
     from sandhi.llm import blocks
 
